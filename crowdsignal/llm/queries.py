@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_benchmark_leaks
 from .near_dup import op4_minhash_near_dup
+from .packing import op2_token_packing
 
-QUERIES = {"op4_minhash_near_dup": op4_minhash_near_dup}
+QUERIES = {f.__name__: f for f in (op2_token_packing, op4_minhash_near_dup, op7_benchmark_leaks)}
 ORACLES: dict[str, str] = {}
