@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op7_benchmark_leaks
 from .near_dup import op4_minhash_near_dup
 from .packing import op2_token_packing
+from .quality import op1_quality
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_packing, op4_minhash_near_dup, op7_benchmark_leaks)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_packing, op4_minhash_near_dup, op7_benchmark_leaks, op8_toxicity)}
 ORACLES: dict[str, str] = {}
