@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op7_benchmark_leaks
+from .html_text import op10_html_text
+from .mixing import OP5_SQL, op5_source_mixing
 from .near_dup import op4_minhash_near_dup
 from .packing import op2_token_packing
 from .quality import op1_quality
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_packing, op4_minhash_near_dup, op7_benchmark_leaks, op8_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_packing, op4_minhash_near_dup, op5_source_mixing, op7_benchmark_leaks, op8_toxicity, op10_html_text)}
+ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL}
