@@ -8,7 +8,8 @@ from .mixing import OP5_SQL, op5_source_mixing
 from .near_dup import op4_minhash_near_dup
 from .packing import op2_token_packing
 from .quality import op1_quality
+from .secrets import op3_secret_scan
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_packing, op4_minhash_near_dup, op5_source_mixing, op7_benchmark_leaks, op8_toxicity, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_packing, op3_secret_scan, op4_minhash_near_dup, op5_source_mixing, op7_benchmark_leaks, op8_toxicity, op10_html_text)}
 ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL}
