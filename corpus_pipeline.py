@@ -1,4 +1,66 @@
-"""The training-data pipeline (stages are added as their operators land)."""
+"""The training-data pipeline: toxicity, near-duplicates, decontamination, mixing, packing.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its result is written as Parquet and read again as the
+next stage's ``docs``. All but the last return the columns of ``documents``. Models, groups, budgets and packs are made
+from the stage's own input; only labels and benchmark items come from ``sf_dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crowdsignal.llm import decontaminate, mixing, near_dup, packing, toxicity
+from crowdsignal.llm.common import materialize, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, by what the labels outside the held-out fifth teach."""
+    scorer = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    model = spark.sparkContext.broadcast(scorer)
+    scored = toxicity.add_columns(docs, "text", "_toxicity double", lambda texts: [(model.value.score(x),) for x in texts])
+    return scored.where(F.col("_toxicity") < 0.5).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, by five-word shingles at 80 %; repeated rows once."""
+    kept = near_dup.near_duplicates(docs, n_words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one.select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    names = docs.columns
+    marked = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(F.size("leaks") == 0).select(names)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at weights 5, 2 and 1: documents repeated by epoch, the one at a budget's end cut at the word."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of 2,048 token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+
+#: Learned scores and token ids are beyond SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,49 +9,28 @@ from .common import materialize, table
 
 #: Samples in a fingerprint, and the hexadecimal digits of each.
 SAMPLES, DIGITS = 32, 6
-#: Points of the quantile tables of the gamma distribution.
-QUANTILES = 4096
 _ROWS_A_BUCKET = 250
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(n: int = QUANTILES) -> list[float]:
-    """The mid-point quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    out, x = [], 0.0
-    for i in range(n):
-        p, low, high = (i + 0.5) / n, x, 40.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
-        out.append(x)
-        x = low
-    return out
-
-
-def _literal(values: list[float]) -> Column:
-    """A constant array, folded once when the query is planned."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
-
-
-def sample_keys(term: Column, weight: Column, samples: int = SAMPLES) -> list[Column]:
+def sample_keys(term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
     """For each sample a whole number whose minimum over a document's terms is the sample (Ioffe 2010).
 
-    r and c are Gamma(2, 1) and b is uniform, all drawn from a hash of the term and the sample's number. With
-    t = floor(ln w / r + b), the term of the least ln a = ln c - r (t - b + 1) is chosen, and two documents choose the
-    same (term, t) with the probability of their generalised Jaccard similarity. The upper bits of a key are ln a, the
-    lowest 24 a hash of the term and t.
+    r and c are Gamma(2, 1), minus the logarithm of a product of two uniform numbers, and b is uniform, all cut from two
+    hashes of the term and the sample's number. With t = floor(ln w / r + b), the term of the least
+    ln a = ln c - r (t - b + 1) is chosen, and two documents choose the same (term, t) with the probability of their
+    generalised Jaccard similarity. The upper bits of a key are ln a, the lowest 24 a hash of the term and t.
     """
-    quantiles = gamma_quantiles()
-    gammas, logs = _literal(quantiles), _literal([math.log(q) for q in quantiles])
+    unit = lambda h, at: (F.shiftright(h, at).bitwiseAND(0x1FFFFF) + 1) / F.lit(2097154.0)
     keys = []
     for k in range(samples):
-        h = F.xxhash64(term, F.lit(k))
-        r = F.get(gammas, h.bitwiseAND(QUANTILES - 1).cast("int"))
-        log_c = F.get(logs, F.shiftright(h, 12).bitwiseAND(QUANTILES - 1).cast("int"))
-        b = F.shiftright(h, 24).bitwiseAND(0xFFFF) / F.lit(65536.0)
-        t = F.floor(F.log(weight) / r + b)
+        h, g = F.xxhash64(term, F.lit(k)), F.xxhash64(term, F.lit(k + samples))
+        r = -F.log(unit(h, 0) * unit(h, 21))
+        log_c = F.log(-F.log(unit(g, 0) * unit(g, 21)))
+        b = F.shiftright(h, 42).bitwiseAND(0x1FFFFF) / F.lit(2097152.0)
+        t = F.floor(log_weight / r + b)
         log_a = log_c - r * (t - b + 1)
-        name = F.shiftrightunsigned(h, 40).bitwiseXOR((t * F.lit(0x9E3779)).bitwiseAND(0xFFFFFF))
+        name = F.shiftrightunsigned(g, 40).bitwiseXOR((t * 0x9E3779).bitwiseAND(0xFFFFFF))
         keys.append(F.shiftleft(((log_a + 64) * F.lit(float(1 << 30))).cast("long"), 24).bitwiseOR(name))
     return keys
 
@@ -62,30 +39,12 @@ def _digits(minimum: Column) -> Column:
     return F.lpad(F.lower(F.hex(minimum.bitwiseAND(0xFFFFFF))), DIGITS, "0")
 
 
-def terms(text: Column) -> Column:
-    """The lower-case words of a text; one empty term where it has none."""
-    words = F.filter(F.split(F.lower(text), _WHITE), lambda w: w != "")
-    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
-
-
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples of two fingerprints: an unbiased estimate of their similarity."""
     same = [(F.substring(a, 1 + i * DIGITS, DIGITS) == F.substring(b, 1 + i * DIGITS, DIGITS)).cast("int") for i in range(samples)]
     return sum(same[1:], same[0]) / F.lit(float(samples))
 
 
-def fingerprints(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``(keys..., fingerprint)``: one per value of ``keys``, which must tell the rows apart.
-
-    Words are counted and the samples' minima taken by key, so texts do not move if ``rows`` is dealt by one of the keys.
-    Equal texts have equal fingerprints; null and empty texts share one, which equals no other text's.
-    """
-    words = rows.select(*keys, F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
-    counts = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("weight"))
-    least = counts.groupBy(*keys).agg(*(F.min(c).alias(f"s{k}") for k, c in enumerate(sample_keys(F.col("term"), F.col("weight").cast("double"), samples))))
-    return least.select(*keys, F.concat(*(_digits(F.col(f"s{k}")) for k in range(samples))).alias("fingerprint"))
-
-
 def _in_buckets(docs: DataFrame, per_bucket: int) -> DataFrame:
     """``docs(doc_id, text)`` with a bucket of about ``per_bucket`` rows; buckets follow each other in the order of ids.
 
@@ -152,27 +111,31 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. One shuffle of the
     texts; counting and sampling stay in the bucket. A row's facts (length and digest) travel as marked terms among its
-    words, so that no text is kept for them.
+    words, so that no text is kept for them. Texts without words have a fingerprint of zeros, which no word gives.
 
     Cases: null texts are empty; repeated rows and ids as in ``with_next``; a single row is its own next; null ids are
     kept, first in order; an empty table gives no rows; other columns are not read.
     """
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(clean).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    term = lambda w: F.struct(F.lit(0).alias("fact"), F.xxhash64(w).alias("value"))
+    words = lambda c: F.split(F.lower(c), _WHITE)
     digest = F.sha2("edited", 256)
-    quarters = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]
-    facts = F.array(*(F.struct(F.lit(i + 1).alias("fact"), v.alias("value")) for i, v in enumerate([F.length("text").cast("long"), *quarters])))
-    variants = F.array(F.struct(F.lit(0).alias("variant"), F.concat(F.transform(terms(F.col("text")), term), facts).alias("terms")), F.struct(F.lit(1).alias("variant"), F.transform(terms(F.col("edited")), term).alias("terms")))
+    quarters = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10) for i in range(4)]
+    facts = [F.concat(F.lit(f" {i}"), v) for i, v in enumerate([F.length("text").cast("string"), *quarters])]  # no word holds a space
+    variants = F.array(F.struct(F.lit(0).alias("variant"), F.concat(words(F.col("text")), F.array(*facts)).alias("terms")), F.struct(F.lit(1).alias("variant"), F.concat(words(F.col("edited")), F.array(F.lit(" 9"))).alias("terms")))
     keys = ["bucket", "place", "doc_id", "variant"]
-    spread = rows.select("bucket", "place", "doc_id", F.explode(variants).alias("v")).select("bucket", "place", "doc_id", "v.variant", F.explode("v.terms").alias("t"))
-    counts = spread.select(*keys, "t.fact", "t.value").groupBy(*keys, "fact", "value").agg(F.count("*").alias("weight"))
-    word = F.col("fact") == 0
-    minima = [F.min(F.when(word, c)).alias(f"s{k}") for k, c in enumerate(sample_keys(F.col("value"), F.col("weight").cast("double"), samples))]
-    known = [F.max(F.when(F.col("fact") == i + 1, F.col("value"))).alias(f"f{i}") for i in range(5)]
+    spread = rows.select("bucket", "place", "doc_id", F.explode(variants).alias("v")).select("bucket", "place", "doc_id", "v.variant", F.explode("v.terms").alias("term")).where("term <> ''")
+    is_fact = F.startswith("term", F.lit(" "))
+    fact = F.when(is_fact, F.substring("term", 2, 1).cast("int")).otherwise(-1)
+    value = F.when(is_fact, F.expr("try_cast(substring(term, 3) as bigint)")).otherwise(F.xxhash64("term"))
+    counts = spread.select(*keys, fact.alias("fact"), value.alias("value")).groupBy(*keys, "fact", "value").agg(F.count("*").alias("weight"))
+    counts = counts.withColumn("log_weight", F.log(F.col("weight").cast("double")))
+    minima = [F.min(F.when(F.col("fact") < 0, c)).alias(f"s{k}") for k, c in enumerate(sample_keys(F.col("value"), F.col("log_weight"), samples))]
+    known = [F.max(F.when(F.col("fact") == i, F.col("value"))).alias(f"f{i}") for i in range(5)]
     least = counts.groupBy(*keys).agg(*minima, *known)
     sha = F.when(F.col("f1").isNotNull(), F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(1, 5)))))
-    marks = least.select(*keys, F.col("f0").alias("n_chars"), sha.alias("sha"), F.concat(*(_digits(F.col(f"s{k}")) for k in range(samples))).alias("mark"))
+    mark = F.concat(*(_digits(F.coalesce(f"s{k}", F.lit(0))) for k in range(samples)))
+    marks = least.select(*keys, F.col("f0").alias("n_chars"), sha.alias("sha"), mark.alias("mark"))
     own = F.col("variant") == 0
     done = marks.groupBy("bucket", "place", "doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(own, F.col("mark"))).alias("fingerprint"), F.max(F.when(~own, F.col("mark"))).alias("edited_fingerprint"))
     done = materialize(done, "fingerprints")

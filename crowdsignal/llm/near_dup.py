@@ -16,6 +16,9 @@ from .components import connected_components
 
 #: With 32 bands of 5 minima, a pair at the threshold of 0.8 misses every band with probability 3e-6.
 BANDS, ROWS = 32, 5
+#: A pair is ruled out where its signatures' estimate is so far below the threshold: with 160 minima the estimate for a
+#: pair at 0.8 has a standard deviation of 0.032, so this is five of them (one such pair in three million).
+SLACK = 0.16
 _BLOCK = 2048
 
 
@@ -68,36 +71,39 @@ def signatures(docs: DataFrame, text_col: str, n_words: int, bands: int, rows: i
                 h = shingle_hashes(text, n_words)
                 n.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sigs.append(minima(h, bands * rows, seed).tobytes() if len(h) else None)
+                sigs.append(minima(h, bands * rows, seed).view(np.int32) if len(h) else None)
             yield pdf[keep].assign(n_shingles=np.array(n, np.int64), set_key=keys, minima=sigs)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col)
-    return docs.mapInPandas(sign, f"{schema}, n_shingles long, set_key binary, minima binary")
+    return docs.mapInPandas(sign, f"{schema}, n_shingles long, set_key binary, minima array<int>")
 
 
 def _band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(class, band): one row per class and band; band is a hash of the band's number and its minima."""
-    width = 4 * rows
-    keys = [F.xxhash64(F.lit(i), F.substring("minima", i * width + 1, width)) for i in range(bands)]
+    keys = [F.xxhash64(F.lit(i), *(F.get("minima", F.lit(i * rows + j)) for j in range(rows))) for i in range(bands)]
     return classes.select("class", F.explode(F.array(*keys)).alias("band"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sides: DataFrame, n_words: int, percent: int, slack: float = SLACK) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    ``texts(class, text)`` has one row per class. The member's text joins first, then the pivot's: the pivot may be one
-    hot key, which the skewed join splits; its set is computed once per run of rows.
+    ``sides(class, n_shingles, minima, text)`` has one row per class. The member joins first, then the pivot: the pivot
+    may be one hot key, which the skewed join splits; its set is computed once per run of rows. Sizes and signatures rule
+    pairs out before their sets are made.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    mine = texts.join(wanted, "class", "left_semi")
-    rows = pairs.join(mine.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(mine.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    of = lambda x: sides.select(F.col("class").alias(x), F.struct("n_shingles", "minima", "text").alias(f"of_{x}"))
+    rows = pairs.join(of("b"), "b").join(of("a"), "a")
+    rows = rows.where(F.least("of_a.n_shingles", "of_b.n_shingles") * 100 >= F.greatest("of_a.n_shingles", "of_b.n_shingles") * percent)
+    rows = rows.select("a", "b", F.col("of_a.minima").alias("m_a"), F.col("of_b.minima").alias("m_b"), F.col("of_a.text").alias("text_a"), F.col("of_b.text").alias("text_b"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, pivot = None, None
         for pdf in batches:
             hit = []
-            for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
+            for a, ma, mb, ta, tb in zip(pdf["a"], pdf["m_a"], pdf["m_b"], pdf["text_a"], pdf["text_b"], strict=True):
+                if np.mean(ma == mb) < percent / 100 - slack:
+                    hit.append(False)
+                    continue
                 if a != last:
                     last, pivot = a, shingle_hashes(ta, n_words)
                 other = shingle_hashes(tb, n_words)
@@ -108,35 +114,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) ->
     return rows.mapInPandas(check, "a long, b long")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, slack: float = 0.25) -> DataFrame:
-    """Drop pairs that sizes or signatures rule out: a size ratio below the threshold, or an estimate ``slack`` below it.
+def _lonely(sides: DataFrame, n_words: int) -> DataFrame:
+    """(class, lonely): how many shingles of a class no other class of ``sides`` has; classes without such are left out."""
 
-    With 160 minima the estimate of a pair at 0.8 has a standard deviation of 0.032, so 0.25 is over seven of them.
-    """
-    side = classes.select("class", "n_shingles", "minima")
-    got = pairs.join(side.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("minima").alias("m_b")), "b")
-    got = got.join(side.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("minima").alias("m_a")), "a")
-    got = got.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            same = [np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) for x, y in zip(pdf["m_a"], pdf["m_b"], strict=True)]
-            yield pdf.loc[np.array(same, float) >= percent / 100 - slack, ["a", "b"]]
+            for name, text in zip(pdf["class"], pdf["text"], strict=True):
+                h = shingle_hashes(text, n_words).view(np.int64)
+                yield pd.DataFrame({"class": np.full(len(h), name, np.int64), "h": h})
 
-    return got.select("a", "b", "m_a", "m_b").mapInPandas(close, "a long, b long")
+    rows = sides.select("class", "text").mapInPandas(spread, "class long, h long")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return alone.groupBy("class").agg(F.count("*").alias("lonely"))
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, seed: int = 7, pivot_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """Group documents whose word-shingle sets overlap by ``percent`` or more -> ``(doc_id, n_shingles, component_id, kept)``.
 
     1. One pass over the texts gives each document its shingle count, a 128-bit key of its shingle set, and its minima.
        Documents with one set form a class, named by a 64-bit hash of the key; copies cost nothing beyond this point.
-    2. Classes meet in buckets by band. A bucket never makes all its pairs: each round links every member to one pivot of
-       its bucket, drops pairs that sizes or signatures rule out, confirms the rest on the full sets, and joins what is
-       linked into components. The first round takes the smallest class as pivot, later rounds another one for each
-       bucket, and only where members of a bucket are still in different components.
-    3. After ``pivot_rounds`` the pairs still apart within a bucket are all confirmed, so no link is lost, however a
-       bucket is made up; pairs within one component need no check, as they cannot change the result.
+    2. Classes meet in buckets by band. A bucket never makes all its pairs. First every class is tried with one other,
+       the one of its buckets' pivots that shares most rows with others, as a family's original does. Then, where a
+       bucket is in several components, members outside its main component are tried with one member of that.
+    3. What is still apart within a bucket is settled exactly, so no link is lost, however a bucket is made up: members
+       outside the bucket's main component are tried with all members of other components that a bound allows. The
+       bound: shingles that no other class of these buckets has cannot be shared, so what is left of the smaller side
+       must reach the intersection that the two sizes ask for. In a family of copies edited independently it excludes
+       nearly all pairs where edits differ; signatures, compared where the members meet, exclude most of the others.
+       Pairs within one component cannot change the result.
     4. Alternating large-star and small-star gives the components.
 
     Cases: null, empty and blank texts have no shingles and stay alone; a text of fewer than ``n_words`` words is one
@@ -145,41 +150,65 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     """
     text = F.col(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("h")).alias("text_key"))
-    signed = materialize(signatures(base, "text", n_words, bands, rows, seed).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("set_key"))), "signatures")
+    # ids travel through pandas as text: it has no null among 64-bit integers
+    signed = signatures(base.withColumn("doc_id", F.col("doc_id").cast("string")), "text", n_words, bands, rows, seed).withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = materialize(signed.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("set_key"))), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.first("class").alias("class"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
     classes = materialize(classes.drop("set_key"), "classes")
 
     buckets = _band_keys(classes, bands, rows)
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).where("n > 1")
-    members = materialize(buckets.join(shared, "band").select("band", "class", "pivot"), "buckets")
-    at = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "at")
-    texts = materialize(at.join(base, F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key"))).groupBy("class").agg(F.first("text").alias("text")), "texts")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(buckets.join(shared, "band").select("band", "class", "n"), "buckets")
+    popular = members.groupBy("class").agg(F.sum("n").alias("weight"))
+    pivots = members.join(popular, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("pivot"))
+    best = members.join(pivots, "band").where("class <> pivot.class").groupBy("class").agg(F.max("pivot")["class"].alias("pivot"))
+    at = classes.join(members.select("class").distinct(), "class", "left_semi").drop("first_id")
+    found = at.join(base, F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key")))
+    sides = materialize(found.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n_shingles", "minima", "text"))), "sides")
 
     def confirmed(tries: DataFrame) -> DataFrame:
         tries = tries.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        return materialize(_verified(materialize(_plausible(tries, classes, percent), "pairs"), texts, n_words, percent), "links")
+        return materialize(_confirmed(tries, sides, n_words, percent), "links")
 
-    links = confirmed(members.where("class <> pivot"))
-    component = connected_components(links)
-    for again in range(1, pivot_rounds + 1):
+    def still_apart(component: DataFrame) -> DataFrame:
+        """Members of buckets in several components, with the bucket's main component and one member of it."""
         now = members.join(component.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("component"))
-        other = F.min_by(F.struct("class", "component"), F.xxhash64("class", "band", F.lit(again)))
-        apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), other.alias("p")).where("low < high")
-        left = materialize(now.join(apart.select("band", "p"), "band").select("band", "class", "component", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component")), "apart")
-        if left.isEmpty():
-            break
-        if again < pivot_rounds:
-            tries = left.where("component <> pivot_component")
-        else:  # whatever is still apart, exactly
-            x, y = left.alias("x"), left.alias("y")
-            tries = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))).select("x.class", F.col("y.class").alias("pivot"))
-        more = confirmed(tries)
+        sizes = now.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("class", F.xxhash64("class", "band")).alias("pivot"))
+        apart = sizes.groupBy("band").agg(F.max(F.struct("n", "component", "pivot")).alias("main"), F.count("*").alias("k")).where("k > 1")
+        return materialize(now.join(apart, "band").select("band", "class", "component", F.col("main.component").alias("main"), F.col("main.pivot").alias("pivot")), "apart")
+
+    links = confirmed(best)
+    component = connected_components(links)
+    apart = still_apart(component)
+    if not apart.isEmpty():
+        links = links.union(confirmed(apart.where("component <> main")))
+        component = connected_components(links)
+        apart = still_apart(component)
+    if not apart.isEmpty():
+        more = confirmed(_rest(apart, sides, n_words, percent))
         if not more.isEmpty():
-            links = links.union(more)
-            component = connected_components(links)
+            component = connected_components(links.union(more))
     return _assemble(signed, classes, component)
 
 
+def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Pairs (class, pivot) of different components within a bucket that the bound on shared shingles allows."""
+    involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
+    bound = involved.select("class", "n_shingles").join(_lonely(involved, n_words), "class", "left")
+    bound = bound.select("class", "n_shingles", (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shareable"))
+    signed = involved.select("class", "minima")
+    able = apart.drop("main", "pivot").join(bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent), "class").join(signed, "class").select("band", "class", "component", "n_shingles", "shareable", "minima")
+    able = materialize(able, "able")
+    sizes = able.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    few = able.join(main, "band").where("component <> main").alias("x")
+    every = able.alias("y")
+    enough = F.least("x.shareable", "y.shareable") * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
+    same = F.aggregate(F.zip_with("x.minima", "y.minima", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e)
+    close = F.when(enough, same >= F.lit(percent / 100 - SLACK) * F.size("x.minima")).otherwise(False)
+    return few.join(every, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.class").alias("class"), F.col("y.class").alias("pivot"))
+
+
 def _assemble(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
     """The smallest doc_id of each component, for every row; rows without shingles are their own component."""
     reach = classes.join(component.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "first_id")
