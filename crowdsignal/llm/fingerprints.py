@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Samples in a fingerprint, and the hexadecimal digits of each.
-SAMPLES, DIGITS = 32, 6
+SAMPLES, DIGITS = 24, 6
 _ROWS_A_BUCKET = 250
 _WHITE = r"[\x20\x09-\x0D]+"
 
