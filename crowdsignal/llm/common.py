@@ -41,3 +41,8 @@ def held_out(doc_id: Column) -> Column:
 
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_partition))
+
+
+def small(dim: DataFrame, bound: int = 100_000) -> DataFrame:
+    """``dim`` with a broadcast hint if it has at most ``bound`` rows, counted no further than that."""
+    return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions_for, table
+from .common import WORD, partitions_for, small, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     levels = ranked.withColumn("level", left / F.sum("weight").over(rest))
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(Window.partitionBy())["level"]
+    level = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(Window.partitionBy())  # levels fall from there on
     return levels.withColumn("common", level).select("source", "source_size", F.when(F.col("common").isNull() | (F.col("ratio") < F.col("common")), F.col("cap")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
@@ -66,7 +66,7 @@ def _mixed(base: DataFrame, rows: int, weights: tuple[float, ...], max_epochs: i
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     offset = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = sums.withColumn("offset", offset).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("slice").alias("at"), "offset", "source_size", "target")
-    joined = base.join(F.broadcast(plan) if slices <= 1000 else plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
+    joined = base.join(small(plan), F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
     inside = Window.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)

@@ -22,6 +22,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS = 4_000
 #: A span's log-likelihood ratio must reach this.
 LEAST_RATIO = 12.0
+#: Counts that the single-character distribution is worth beside a character's own pairs.
+BACK_OFF = 4.0
 _SIZE = len(ALPHABET) + 1
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
@@ -64,22 +66,27 @@ def _codes(s: Column) -> Column:
 def train_markov(samples: DataFrame) -> list[float]:
     """``samples(value, random boolean)`` -> the log-likelihood ratio of each character pair, row by row.
 
-    Pairs of characters are counted in both kinds of strings; a pair's probability given its first character is smoothed
-    by one count for each character, and the random model is mixed with the uniform one in equal parts, as a corpus may
-    hold random strings of one alphabet only. At most the square of the alphabet's size, 68 x 68, reaches the driver.
+    Pairs of characters are counted in both kinds of strings. In ordinary ones a pair's probability given its first
+    character is drawn to that of the second alone; the random model is mixed with the uniform one in equal parts, as a
+    corpus may hold random strings of one alphabet only. At most the square of the alphabet's size, 68 x 68, reaches the driver.
     """
     codes = _codes(F.col("value"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("codes") - 1), lambda i: F.element_at("codes", i) * _SIZE + F.element_at("codes", i + 1))
     coded = samples.where("length(value) >= 2").select("random", codes.alias("codes"))
     counts = coded.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
-    table_of = {True: [1.0] * _SIZE**2, False: [1.0] * _SIZE**2}
+    seen = {True: [0.0] * _SIZE**2, False: [0.0] * _SIZE**2}
     for r in counts:
-        table_of[r["random"]][r["pair"]] += r["count"]
+        seen[r["random"]][r["pair"]] += r["count"]
+    single = [sum(seen[False][b::_SIZE]) + 0.5 for b in range(_SIZE)]
+    plain = [x / sum(single) for x in single]
     out = []
     for a in range(_SIZE):
-        row = {k: t[a * _SIZE : (a + 1) * _SIZE] for k, t in table_of.items()}
-        totals = {k: sum(v) for k, v in row.items()}
-        out.extend(math.log((0.5 * row[True][b] / totals[True] + 0.5 / _SIZE) / (row[False][b] / totals[False])) for b in range(_SIZE))
+        rand, own = (seen[k][a * _SIZE : (a + 1) * _SIZE] for k in (True, False))
+        n_rand, n_own = sum(rand), sum(own)
+        for b in range(_SIZE):
+            p_rand = 0.5 * (rand[b] + 1) / (n_rand + _SIZE) + 0.5 / _SIZE
+            p_own = (own[b] + BACK_OFF * plain[b]) / (n_own + BACK_OFF)
+            out.append(math.log(p_rand / p_own))
     return out
 
 
