@@ -110,7 +110,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``docs(doc_id, text)`` -> fingerprints of every text and its edited text, and their likeness.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. One shuffle of the
-    texts; counting and sampling stay in the bucket. A row's facts (length and digest) travel as marked terms among its
+    texts; counting and sampling stay in the bucket. A row's facts (id, length and digest) travel as marked terms among its
     words, so that no text is kept for them. Texts without words have a fingerprint of zeros, which no word gives.
 
     Cases: null texts are empty; repeated rows and ids as in ``with_next``; a single row is its own next; null ids are
@@ -118,26 +118,25 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(clean).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    words = lambda c: F.split(F.lower(c), _WHITE)
     digest = F.sha2("edited", 256)
     quarters = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10) for i in range(4)]
-    facts = [F.concat(F.lit(f" {i}"), v) for i, v in enumerate([F.length("text").cast("string"), *quarters])]  # no word holds a space
-    variants = F.array(F.struct(F.lit(0).alias("variant"), F.concat(words(F.col("text")), F.array(*facts)).alias("terms")), F.struct(F.lit(1).alias("variant"), F.concat(words(F.col("edited")), F.array(F.lit(" 9"))).alias("terms")))
-    keys = ["bucket", "place", "doc_id", "variant"]
-    spread = rows.select("bucket", "place", "doc_id", F.explode(variants).alias("v")).select("bucket", "place", "doc_id", "v.variant", F.explode("v.terms").alias("term")).where("term <> ''")
+    facts = [F.concat(F.lit(f" {i}"), v) for i, v in enumerate([F.col("doc_id").cast("string"), F.length("text").cast("string"), *quarters])]  # no word holds a space
+    both = F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t"), F.array(*facts).alias("facts")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"), F.array(F.lit(" 9")).alias("facts")))
+    each = rows.select("bucket", "place", F.explode(both).alias("v")).select("bucket", (F.col("place") * 2 + F.col("v.variant")).alias("slot"), "v.t", "v.facts")
+    spread = each.select("bucket", "slot", F.explode(F.concat(F.split(F.lower("t"), _WHITE), "facts")).alias("term")).where("term <> ''")
     is_fact = F.startswith("term", F.lit(" "))
     fact = F.when(is_fact, F.substring("term", 2, 1).cast("int")).otherwise(-1)
     value = F.when(is_fact, F.expr("try_cast(substring(term, 3) as bigint)")).otherwise(F.xxhash64("term"))
-    counts = spread.select(*keys, fact.alias("fact"), value.alias("value")).groupBy(*keys, "fact", "value").agg(F.count("*").alias("weight"))
+    counts = spread.select("bucket", "slot", fact.alias("fact"), value.alias("value")).groupBy("bucket", "slot", "fact", "value").agg(F.count("*").alias("weight"))
     counts = counts.withColumn("log_weight", F.log(F.col("weight").cast("double")))
     minima = [F.min(F.when(F.col("fact") < 0, c)).alias(f"s{k}") for k, c in enumerate(sample_keys(F.col("value"), F.col("log_weight"), samples))]
-    known = [F.max(F.when(F.col("fact") == i, F.col("value"))).alias(f"f{i}") for i in range(5)]
-    least = counts.groupBy(*keys).agg(*minima, *known)
-    sha = F.when(F.col("f1").isNotNull(), F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(1, 5)))))
+    known = [F.max(F.when(F.col("fact") == i, F.col("value"))).alias(f"f{i}") for i in range(6)]
+    least = counts.groupBy("bucket", "slot").agg(*minima, *known)
+    sha = F.when(F.col("f2").isNotNull(), F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(2, 6)))))
     mark = F.concat(*(_digits(F.coalesce(f"s{k}", F.lit(0))) for k in range(samples)))
-    marks = least.select(*keys, F.col("f0").alias("n_chars"), sha.alias("sha"), mark.alias("mark"))
-    own = F.col("variant") == 0
-    done = marks.groupBy("bucket", "place", "doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(own, F.col("mark"))).alias("fingerprint"), F.max(F.when(~own, F.col("mark"))).alias("edited_fingerprint"))
+    marks = least.select("bucket", F.shiftright("slot", 1).alias("place"), (F.col("slot") % 2 == 0).alias("own"), F.col("f0").alias("doc_id"), F.col("f1").alias("n_chars"), sha.alias("sha"), mark.alias("mark"))
+    own = F.col("own")
+    done = marks.groupBy("bucket", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(own, F.col("mark"))).alias("fingerprint"), F.max(F.when(~own, F.col("mark"))).alias("edited_fingerprint"))
     done = materialize(done, "fingerprints")
 
     order = Window.partitionBy("bucket").orderBy("place")
