@@ -39,10 +39,11 @@ def time_check(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s"
     return df.withColumn("time_reason", F.when(lag.isNull(), "invalid_timestamp").when(lag < -future, "future").when(lag > delay, "delayed"))
 
 
-def velocity(df: DataFrame, profile: str = "ing_tw", by: tuple[str, ...] = ("source",), ts: str = "event_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+def velocity(df: DataFrame, profile: str = "ing_tw", by: tuple[str, ...] = ("source",), ts: str = "event_s", order: tuple[str, ...] = ("event_id",), exact: bool = False) -> DataFrame:
     """Adds ``velocity``: the short window's rate over the long one's, counting a row and those before it.
 
-    Rows with one time are counted in ``order``: peers that come later are taken off the range frame's count.
+    Rows with one time are counted in ``order``: peers that come later are taken off the range frame's count. ``exact``
+    leaves out the profile's rounding.
     """
     p = P.VELOCITY[profile]
     edge = 1 if p["open"] else 0
@@ -51,7 +52,7 @@ def velocity(df: DataFrame, profile: str = "ing_tw", by: tuple[str, ...] = ("sou
     over = lambda s: F.count("*").over(Window.partitionBy(*by).orderBy(ts).rangeBetween(-(s - edge), 0)) - later
     short, long = over(p["short"]) / F.lit(float(p["short"])), over(p["long"]) / F.lit(float(p["long"]))
     ratio = F.when(long > 0, short / long).otherwise(p["default"])
-    return df.withColumn("velocity", ratio if p["digits"] is None else F.round(ratio, p["digits"]))
+    return df.withColumn("velocity", ratio if exact or p["digits"] is None else F.round(ratio, p["digits"]))
 
 
 def velocity_asof(df: DataFrame, as_of: int, profile: str = "crawl_tg", by: tuple[str, ...] = ("channel",), ts: str = "event_s") -> DataFrame:

@@ -46,18 +46,10 @@ def _velocity_sql(p: dict, by: str) -> str:
 
 
 def _velocity(name: str, profile: str, by: tuple[str, ...]):
-    p = P.VELOCITY[profile] | {"digits": None}
-
-    @register(name, with_messages(_velocity_sql(p, ", ".join(by))))
+    @register(name, with_messages(_velocity_sql(P.VELOCITY[profile], ", ".join(by))))
     def run(spark, sf_dir):
         # rounded at six digits on both sides: two would put ties at the mercy of the last bit
-        rows = messages(spark, sf_dir)
-        exact = {**P.VELOCITY, profile: p}
-        saved, P.VELOCITY = P.VELOCITY, exact
-        try:
-            out = ordered.velocity(rows, profile, by, order=("event_id", "replay"))
-        finally:
-            P.VELOCITY = saved
+        out = ordered.velocity(messages(spark, sf_dir), profile, by, order=("event_id", "replay"), exact=True)
         return out.select(*ID, F.round("velocity", 6).alias("ratio"))
 
 
