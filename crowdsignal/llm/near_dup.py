@@ -19,6 +19,10 @@ BANDS, ROWS = 32, 5
 #: A pair is ruled out where its signatures' estimate is so far below the threshold: with 160 minima the estimate for a
 #: pair at 0.8 has a standard deviation of 0.032, so this is five of them (one such pair in three million).
 SLACK = 0.16
+#: What is left after the pivots is compared by 1,024 bytes, with a deviation of 0.0125; again five of them.
+FINE, FINE_SLACK = 1024, 0.0625
+#: Rows of a side that meet in one group.
+BLOCK_ROWS = 1024
 _BLOCK = 2048
 
 
@@ -42,7 +46,7 @@ def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _family(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and increments of ``size`` multiply-shift hash functions."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -78,10 +82,14 @@ def signatures(docs: DataFrame, text_col: str, n_words: int, bands: int, rows: i
     return docs.mapInPandas(sign, f"{schema}, n_shingles long, set_key binary, minima array<int>")
 
 
+def _keys_of(bands: int, rows: int) -> list:
+    """A hash of each band's number and minima."""
+    return [F.xxhash64(F.lit(i), *(F.get("minima", F.lit(i * rows + j)) for j in range(rows))) for i in range(bands)]
+
+
 def _band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(class, band): one row per class and band; band is a hash of the band's number and its minima."""
-    keys = [F.xxhash64(F.lit(i), *(F.get("minima", F.lit(i * rows + j)) for j in range(rows))) for i in range(bands)]
-    return classes.select("class", F.explode(F.array(*keys)).alias("band"))
+    """(class, band): one row per class and band."""
+    return classes.select("class", F.explode(F.array(*_keys_of(bands, rows))).alias("band"))
 
 
 def _confirmed(pairs: DataFrame, sides: DataFrame, n_words: int, percent: int, slack: float = SLACK) -> DataFrame:
@@ -140,7 +148,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
        outside the bucket's main component are tried with all members of other components that a bound allows. The
        bound: shingles that no other class of these buckets has cannot be shared, so what is left of the smaller side
        must reach the intersection that the two sizes ask for. In a family of copies edited independently it excludes
-       nearly all pairs where edits differ; signatures, compared where the members meet, exclude most of the others.
+       nearly all pairs where edits differ; finer signatures, compared in blocks of a bucket, exclude most of the others.
        Pairs within one component cannot change the result.
     4. Alternating large-star and small-star gives the components.
 
@@ -185,28 +193,63 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
         component = connected_components(links)
         apart = still_apart(component)
     if not apart.isEmpty():
-        more = confirmed(_rest(apart, sides, n_words, percent))
+        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows, seed))
         if not more.isEmpty():
             component = connected_components(links.union(more))
     return _assemble(signed, classes, component)
 
 
-def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Pairs (class, pivot) of different components within a bucket that the bound on shared shingles allows."""
+def _fine(sides: DataFrame, n_words: int, seed: int) -> DataFrame:
+    """(class, fine): the lowest bytes of many more minima, a signature of one kilobyte for a text of any length."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            marks = [minima(shingle_hashes(t, n_words), FINE, seed + 1).astype(np.uint8).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"class": pdf["class"], "fine": marks})
+
+    return sides.select("class", "text").mapInPandas(sign, "class long, fine binary")
+
+
+def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """Pairs (class, pivot) of different components within a bucket that the bound and the fine signatures allow.
+
+    A bucket's members outside its main component meet all its members in blocks of bounded size, so that neither a
+    large bucket nor its pairs are ever in one place; a pair is given only by the first bucket that its classes share.
+    """
     involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
-    bound = involved.select("class", "n_shingles").join(_lonely(involved, n_words), "class", "left")
-    bound = bound.select("class", "n_shingles", (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shareable"))
-    signed = involved.select("class", "minima")
-    able = apart.drop("main", "pivot").join(bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent), "class").join(signed, "class").select("band", "class", "component", "n_shingles", "shareable", "minima")
-    able = materialize(able, "able")
+    bound = involved.select("class", "n_shingles", F.array(*_keys_of(bands, rows)).alias("bands")).join(_lonely(involved, n_words), "class", "left")
+    bound = bound.select("class", "n_shingles", "bands", (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shareable"))
+    bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent).join(_fine(involved, n_words, seed), "class")
+    able = materialize(apart.select("band", "class", "component").join(bound, "class"), "able")
     sizes = able.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    few = able.join(main, "band").where("component <> main").alias("x")
-    every = able.alias("y")
-    enough = F.least("x.shareable", "y.shareable") * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
-    same = F.aggregate(F.zip_with("x.minima", "y.minima", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e)
-    close = F.when(enough, same >= F.lit(percent / 100 - SLACK) * F.size("x.minima")).otherwise(False)
-    return few.join(every, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.class").alias("class"), F.col("y.class").alias("pivot"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
+    parts = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    facts = main.select("band", F.col("main.component").alias("main"), parts(F.col("all") - F.col("main.n")).alias("n_few"), parts(F.col("all")).alias("n_all"))
+    rows_of = able.join(facts, "band")
+    spot = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows_of.where("component <> main").withColumn("i", spot("n_few")).withColumn("j", every("n_all")).withColumn("few", F.lit(True))
+    two = rows_of.withColumn("j", spot("n_all")).withColumn("i", every("n_few")).withColumn("few", F.lit(False))
+    columns = ["band", "i", "j", "few", "class", "component", "n_shingles", "shareable", "bands", "fine"]
+    least = FINE * (percent / 100 - FINE_SLACK + (1 - percent / 100 + FINE_SLACK) / 256)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        few, every = pdf[pdf["few"]], pdf[~pdf["few"]]
+        marks = np.frombuffer(b"".join(every["fine"]), np.uint8).reshape(len(every), FINE)
+        comp, n, able_n, names = (every[c].to_numpy() for c in ("component", "n_shingles", "shareable", "class"))
+        keys = np.array(every["bands"].tolist(), np.int64).reshape(len(every), -1)
+        out: list[tuple[int, int]] = []
+        for x in few.itertuples():
+            near = np.count_nonzero(marks == np.frombuffer(x.fine, np.uint8), axis=1) >= least
+            near &= (comp != x.component) & (np.minimum(able_n, x.shareable) * (100 + percent) >= (n + x.n_shingles) * percent)
+            for k in np.flatnonzero(near):
+                shared = np.flatnonzero(keys[k] == np.asarray(x.bands))
+                if len(shared) and keys[k][shared[0]] == x.band:
+                    out.append((x[columns_at], names[k]))
+        return pd.DataFrame(out, columns=["class", "pivot"]).astype("int64")
+
+    columns_at = columns.index("class") + 1
+    return one.select(columns).union(two.select(columns)).groupBy("band", "i", "j").applyInPandas(meet, "class long, pivot long")
 
 
 def _assemble(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
