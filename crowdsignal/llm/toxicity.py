@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, table
+from .common import held_out, materialize, small, table
 from .texts import add_columns
 
 #: Labelled rows that the lexicon and the weights are learned from, at most about so many (chosen by a hash of the id).
@@ -178,7 +178,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     share = min(1.0, most / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(small(chosen), "doc_id").select("text", "y")  # so the documents do not shuffle
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, max_terms: int = MAX_TERMS) -> Scorer:
