@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small, table
 
 #: Samples in a fingerprint, and the hexadecimal digits of each.
 SAMPLES, DIGITS = 24, 6
@@ -92,12 +92,12 @@ def with_next(docs: DataFrame, per_bucket: int = _ROWS_A_BUCKET) -> DataFrame:
     """
     dealt = _in_buckets(docs, per_bucket).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("bucket").orderBy("doc_id", "h")
-    rows = dealt.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead(F.struct("text")).over(order).alias("lead"))
+    rows = dealt.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("lead"), F.lead(F.lit(True)).over(order).alias("has_lead"))
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head"))
     following = _successors(heads.select("bucket")).join(heads.select(F.col("bucket").alias("following"), "head"), "following")
     first = following.select(F.col("bucket").alias("of"), "following", F.col("head.doc_id").alias("id"), F.col("head.h").alias("hash"))
-    texts = dealt.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("h").eqNullSafe(F.col("hash")) & (F.col("bucket") == F.col("following"))).groupBy("of").agg(F.first(F.struct("text")).alias("first"))
-    return rows.join(texts, rows.bucket == texts["of"], "left").select("bucket", "place", "doc_id", "text", F.when(F.col("lead").isNotNull(), F.col("lead.text")).otherwise(F.col("first.text")).alias("next_text"))
+    texts = dealt.join(small(first), F.col("doc_id").eqNullSafe(F.col("id")) & F.col("h").eqNullSafe(F.col("hash")) & (F.col("bucket") == F.col("following"))).groupBy("of").agg(F.first(F.struct("text")).alias("first"))
+    return rows.join(texts, rows.bucket == texts["of"], "left").select("bucket", "place", "doc_id", "text", F.when(F.col("has_lead"), F.col("lead")).otherwise(F.col("first.text")).alias("next_text"))
 
 
 def edited_text(text: Column, nxt: Column) -> Column:
