@@ -180,6 +180,34 @@ def test_leak_recall_under_light_edits():
     assert hits >= 90
 
 
+def brute_leaks(items, texts, share=0.2):
+    plain = lambda t: " ".join(t.lower().split())
+    return [{i for i, item in items if decontaminate.best_distance(plain(item), plain(t))[0] <= share * len(plain(item))} for t in texts]
+
+
+def leak_index(items):
+    return decontaminate.LeakIndex(items, 0.2, decontaminate.REPEATS, decontaminate.SAMPLED, 11)
+
+
+@pytest.mark.parametrize("percent", [5, 10, 20])
+@pytest.mark.parametrize("n", [15, 30, 59])
+def test_leak_recall_against_brute_force(percent, n):
+    rng = random.Random(percent * n)
+    letters = lambda k: "".join(rng.choice("aeiounrstlmd") for _ in range(k))
+    some = lambda k: " ".join(letters(rng.randrange(3, 9)) for _ in range(k))
+    items, texts = [(i, some(n)) for i in range(60)], []
+    for _, text in items:
+        s = list(text)
+        for _ in range(len(text) * percent // 100):
+            at, c = rng.randrange(len(s)), rng.choice("abcdefgh ")
+            s[at : at + 1] = rng.choice([[c], [c, s[at]], []])
+        texts.append(f"{some(30)} {''.join(s)} {some(30)}")
+    got, want = [{x["item_id"] for x in found} for found in leak_index(items).leaks(texts)], brute_leaks(items, texts)
+    assert all(a <= b for a, b in zip(got, want, strict=True))
+    assert sum(map(len, want)) >= 57
+    assert sum(map(len, got)) >= 0.96 * sum(map(len, want))
+
+
 # ---- 8, 1 ----------------------------------------------------------------------------------------------------------
 
 
