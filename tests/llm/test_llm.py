@@ -208,6 +208,19 @@ def test_leak_recall_against_brute_force(percent, n):
     assert sum(map(len, got)) >= 0.96 * sum(map(len, want))
 
 
+def test_verbatim_items_of_every_length_inside_texts():
+    rng = random.Random(12)
+    items = [(100 * n + k, " ".join(words(rng, n, 9000))) for n in range(1, 15) for k in range(12)]
+    texts = [" ".join([*words(rng, rng.randrange(9), 9000), item, *words(rng, rng.randrange(9), 9000)]) for _, item in items]
+    found = leak_index(items).leaks(texts)
+    assert [{x["item_id"] for x in own} for own in found] == brute_leaks(items, texts)
+    for (i, item), text, own in zip(items, texts, found, strict=True):
+        mine = next(x for x in own if x["item_id"] == i)
+        assert mine["edits"] == 0 and item in text[mine["start"] : mine["end"]]
+    alone = [x for t in texts for x in leak_index(items).leaks([t])]
+    assert alone == found
+
+
 # ---- 8, 1 ----------------------------------------------------------------------------------------------------------
 
 
