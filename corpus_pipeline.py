@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdsignal.llm import decontaminate, mixing, near_dup, packing, toxicity
-from crowdsignal.llm.common import materialize, table
+from crowdsignal.llm.common import materialize, small, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, by five-word shingles at 80 %; repeated rows once."""
-    kept = near_dup.near_duplicates(docs, n_words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return one.select(docs.columns)
+    """One row of each near-duplicate group, by five-word shingles at 80 %: that with the smallest id, repeated rows once.
+
+    A null id stays only where its group has no other. Rows with one id and different texts are told apart.
+    """
+    kept = materialize(near_dup.kept_rows(docs, n_words=5, percent=80), "kept").withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"})
+    key = near_dup.row_key(F.col("doc_id"), F.col("text"))
+    same = key[0].eqNullSafe(F.col("kept_id")) & (key[1] == F.col("kept_key"))
+    one = docs.join(kept.where("copies = 1"), same, "left_semi")
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return one.select(docs.columns)
+    # copies are reduced within each task first, so that a row repeated many times does not gather
+    many = docs.join(small(repeated), same, "left_semi").groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.select(docs.columns).union(many)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +64,8 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: Learned scores and token ids are beyond SQL; the tests hold every stage against a brute-force version.
+#: Learned scores and token ids are beyond SQL; tests/llm/test_pipeline.py holds near_dedup and decontamination against brute
+#: force, tests/llm/test_llm.py the operators of the other stages.
 ORACLE_SQL = None
 
 

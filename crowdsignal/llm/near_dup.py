@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -156,12 +156,38 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     shingle. Repeated rows keep one row each. A null id stays in the result with a null component and ``kept`` true.
     Other columns of ``docs`` are not read, so their names cannot clash. An empty table gives an empty result.
     """
+    signed, classes, component = _groups(docs, n_words, percent, id_col, text_col, bands, rows, seed)
+    return _assemble(signed, classes, component)
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart in ``kept_rows``: the id and two hashes of the text. Copies of a row share it."""
+    return [doc_id.cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("h")).alias("text_key")]
+
+
+def kept_rows(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
+    """The one row of each near-duplicate group that stays -> ``(doc_id, text_key, copies)``, the columns of ``row_key``.
+
+    It has the smallest id, a null one only if the group has no other, then the smallest hash. ``copies`` counts the rows
+    of ``docs`` with its id and text. Texts without shingles are groups of their own, once for each id and text.
+    """
+    signed, classes, component = _groups(docs, n_words, percent, id_col, text_col, bands, rows, seed)
+    reach = classes.join(component.withColumnRenamed("node", "class"), "class", "left")
+    best = reach.groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
+    copies = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    bare = copies.where("n_shingles = 0").select("doc_id", "text_key", "copies")
+    mine = copies.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies")
+    return best.join(mine, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "text_key", "copies").union(bare)
+
+
+def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the classes of equal shingle sets, and the component of each class that is linked."""
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("h")).alias("text_key"))
+    base = docs.select(*row_key(F.col(id_col), text), text.alias("text"))
     # ids travel through pandas as text: it has no null among 64-bit integers
     signed = signatures(base.withColumn("doc_id", F.col("doc_id").cast("string")), "text", n_words, bands, rows, seed).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = materialize(signed.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("set_key"))), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.first("class").alias("class"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.first("class").alias("class"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
     classes = materialize(classes.drop("set_key"), "classes")
 
     buckets = _band_keys(classes, bands, rows)
@@ -170,7 +196,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     popular = members.groupBy("class").agg(F.sum("n").alias("weight"))
     pivots = members.join(popular, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("pivot"))
     best = members.join(pivots, "band").where("class <> pivot.class").groupBy("class").agg(F.max("pivot")["class"].alias("pivot"))
-    at = classes.join(members.select("class").distinct(), "class", "left_semi").drop("first_id")
+    at = classes.join(members.select("class").distinct(), "class", "left_semi").drop("first_id", "best")
     found = at.join(base, F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key")))
     sides = materialize(found.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n_shingles", "minima", "text"))), "sides")
 
@@ -196,7 +222,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
         more = confirmed(_rest(apart, sides, n_words, percent, bands, rows, seed))
         if not more.isEmpty():
             component = connected_components(links.union(more))
-    return _assemble(signed, classes, component)
+    return signed, classes, component
 
 
 def _fine(sides: DataFrame, n_words: int, seed: int) -> DataFrame:
