@@ -133,6 +133,11 @@ def suppress_alerts(df: DataFrame, by: tuple[str, ...] = ("alert_key",), quiet:
     return admit(df, by, 1, quiet, ts, order).withColumnRenamed("admitted", "sent")
 
 
+def sort_by_event_time(df: DataFrame, ts: str = "event_s", order: tuple[str, ...] = ("event_id", "replay")) -> DataFrame:
+    """All rows by time, those without one first; rows of one time in ``order``. A range sort, so no task holds the table."""
+    return df.orderBy(F.col(ts).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])
+
+
 def latest_per(df: DataFrame, by: tuple[str, ...], ts: str, order: tuple[str, ...] = (), k: int = 1) -> DataFrame:
     """The ``k`` newest rows of each key."""
     w = Window.partitionBy(*by).orderBy(F.desc(ts), *[F.desc(o) for o in order])

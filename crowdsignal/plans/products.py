@@ -220,13 +220,19 @@ def al3(spark, sf_dir):
 
 @register("so1_sort_by_time", with_messages("SELECT event_id, replay, row_number() OVER (ORDER BY event_s NULLS FIRST, event_id, replay) AS place FROM (SELECT * FROM m ORDER BY event_s LIMIT 500)"))
 def so1(spark, sf_dir):
-    """The earliest 500 in order, with their places."""
+    """The earliest 500 in order, with their places, as the query's SQL asks; so1_sort_whole has every row."""
     from pyspark.sql import Window
 
-    top = messages(spark, sf_dir).orderBy(F.col("event_s").asc_nulls_first(), "event_id", "replay").limit(500)
+    top = ordered.sort_by_event_time(messages(spark, sf_dir)).limit(500)
     return top.select(*ID, F.row_number().over(Window.orderBy(F.col("event_s").asc_nulls_first(), "event_id", "replay")).cast("long").alias("place"))
 
 
+@register("so1_sort_whole", with_messages("SELECT event_id, replay, event_s FROM m ORDER BY event_s NULLS FIRST, event_id, replay"))
+def so1_whole(spark, sf_dir):
+    """All messages in order."""
+    return ordered.sort_by_event_time(messages(spark, sf_dir).select(*ID, "event_s"))
+
+
 @register("ac2_keyword_index", "SELECT n_name AS keyword, r_name AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey")
 def ac2(spark, sf_dir):
     """Nations as keywords of their region: the catalog's index."""

@@ -108,6 +108,14 @@ def test_suppressed_alerts_do_not_extend_the_pause(spark):
     assert [r.sent for r in got] == [True, False, False, True, False, True]
 
 
+def test_sort_by_event_time_keeps_every_row_in_order(spark):
+    data = rows(6, 1500)
+    data = [(*r[:5], None if r[0] % 50 == 0 else r[5], *r[6:]) for r in data]
+    random.Random(1).shuffle(data)
+    got = [(r.event_s, r.event_id) for r in ordered.sort_by_event_time(spark.createDataFrame(data, SCHEMA).repartition(7)).collect()]
+    assert got == sorted(((r[5], r[0]) for r in data), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ordered.time_guard(empty).count() == 0
