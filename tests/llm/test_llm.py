@@ -407,6 +407,17 @@ def test_fingerprint_likeness_is_unbiased(spark):
     assert abs(np.mean([r.near_next for r in got]) - np.mean(want)) < 0.03
 
 
+def test_fingerprint_likeness_of_each_document(spark):
+    rng = random.Random(16)
+    texts = [" ".join(words(rng, 120, 60)) for _ in range(150)]
+    got = fingerprints.fingerprint_documents(frame(spark, texts)).orderBy("doc_id").collect()
+    off = []
+    for i, t in enumerate(texts):
+        a, b = collections.Counter(t.split()), collections.Counter(texts[(i + 1) % len(texts)].split())
+        off.append(got[i].near_next - sum((a & b).values()) / sum((a | b).values()))
+    assert np.sqrt(np.mean(np.square(off))) < 0.075 and np.max(np.abs(off)) < 0.25
+
+
 def test_next_rows_with_gaps_clusters_and_one_row(spark):
     ids = [*range(50), *range(10**15, 10**15 + 50), -(10**15), None]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")
