@@ -6,8 +6,14 @@ seconds or microseconds in BIGINT columns, which makes half-open frames exact.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import profiles as P
@@ -102,30 +108,50 @@ def gap_sessions(df: DataFrame, by: tuple[str, ...], ts: str, gap: int, order: t
 def admit(df: DataFrame, by: tuple[str, ...], limit: int, window: int = 60, ts: str = "arrival_s", order: tuple[str, ...] = ("event_id", "replay")) -> DataFrame:
     """Adds ``admitted``: fewer than ``limit`` rows of the key were admitted in the last ``window`` seconds, the start excluded.
 
-    A decision depends on earlier decisions, so each gap-session is folded in order; the state is the last ``limit``
-    admitted times. Where no trailing window holds more than ``limit`` rows at all, every row is admitted and the fold
-    has nothing to decide.
+    A decision depends on earlier decisions, so each gap-session is read in order, row by row; the state is the last
+    ``limit`` admitted times, and no session is ever held whole. Sessions spread over the tasks. Rows without a time or
+    with a null in ``by`` belong to no window: null.
     """
-    rows = gap_sessions(df, by, ts, window, order).withColumn("_tie", F.struct(*order))
-    once = rows.groupBy(*by, "session").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("long").alias("t"), "_tie"))).alias("all"))
-    nothing = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<boolean>").alias("said"))
-
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["kept"], lambda t: t > x["t"] - window)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(x["t"]))).otherwise(live).alias("kept"), F.concat(acc["said"], F.array(ok)).alias("said"))
-
-    said = once.select(*by, "session", "all", F.aggregate("all", nothing, step, lambda acc: acc["said"]).alias("said"))
-    flat = said.select(*by, "session", F.explode(F.arrays_zip("all", "said")).alias("z")).select(*by, F.col("z.all.t").alias(ts), F.col("z.all._tie").alias("_tie"), F.col("z.said").alias("admitted"))
-    return rows.drop("session").join(flat, [*by, ts, "_tie"], "left").drop("_tie")
+    missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in (*by, ts)])
+    rows = gap_sessions(df.drop("admitted"), by, ts, window, order).withColumn("_missing", missing).withColumn("_t", F.col(ts).cast("long"))
+    rows = rows.repartition(*by, "session").sortWithinPartitions(*by, "session", "_t", *order)
+    names = rows.columns
+    key, time, none = [names.index(c) for c in (*by, "session")], names.index("_t"), names.index("_missing")
+    keep = [i for i, c in enumerate(names) if c not in ("session", "_missing", "_t")]
+    schema = T.StructType([*(rows.schema[i] for i in keep), T.StructField("admitted", T.BooleanType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, deque()
+        for batch in batches:
+            said = []
+            for *k, t, void in zip(*(batch.column(i).to_pylist() for i in (*key, time, none)), strict=True):
+                if void:
+                    said.append(None)
+                    continue
+                if k != last:
+                    last, kept = k, deque()
+                while kept and kept[0] <= t - window:
+                    kept.popleft()
+                said.append(len(kept) < limit)
+                if said[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(said, pa.bool_())], names=schema.fieldNames())
+
+    return rows.mapInArrow(fold, schema)
 
 
 def admit_per_run(df: DataFrame, by: tuple[str, ...], per_key: int, overall: int, order: tuple[str, ...]) -> DataFrame:
-    """Adds ``run_reason``: source_rate beyond the key's quota, else global_rate beyond the run's, null if admitted."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    out = df.withColumn("_n", n)
-    taken = F.sum(F.when(F.col("_n") <= per_key, 1).otherwise(0)).over(Window.orderBy(*order))
-    return out.withColumn("_k", taken).withColumn("run_reason", F.when(F.col("_n") > per_key, "source_rate").when(F.col("_k") > overall, "global_rate")).drop("_n", "_k")
+    """Adds ``run_reason``: source_rate beyond the key's quota, else global_rate beyond the run's, null if admitted.
+
+    ``order`` is total. The last row that the run admits is found by a distributed top ``overall``; the others are
+    compared with it, so that no task orders the whole run.
+    """
+    out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_at", F.struct(*order))
+    taken = out.where(F.col("_n") <= per_key).select("_at", *order).orderBy(*order).limit(overall)
+    cut = taken.agg(F.max("_at").alias("_cut"), F.count("*").alias("_taken"))
+    late = (F.col("_taken") >= overall) & (F.lit(overall <= 0) | (F.col("_at") > F.col("_cut")))
+    reason = F.when(F.col("_n") > per_key, "source_rate").when(late, "global_rate")
+    return out.crossJoin(F.broadcast(cut)).withColumn("run_reason", reason).drop("_n", "_at", "_cut", "_taken")
 
 
 def suppress_alerts(df: DataFrame, by: tuple[str, ...] = ("alert_key",), quiet: int = 600, ts: str = "arrival_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:

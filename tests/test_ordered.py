@@ -67,6 +67,26 @@ def test_admission(spark, limit):
     assert got == want
 
 
+def test_neither_admission_gathers_rows(spark):
+    df = spark.createDataFrame(rows(3), SCHEMA)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan(ordered.admit(df, ("channel",), 3))
+    assert "SinglePartition" not in plan(ordered.admit_per_run(df, ("channel",), 40, 60, ("arrival_s", "event_id"))).split("TakeOrderedAndProject")[0]
+
+
+def test_admission_of_one_key_without_a_pause(spark):
+    data = [(i, 0, "twitter", "a", "BTC", 1000 + i // 3, 1000 + i // 3, "f") for i in range(30_000)]
+    kept, want = deque(), {}
+    for r in data:
+        while kept and kept[0] <= r[6] - 60:
+            kept.popleft()
+        want[r[0]] = len(kept) < 8
+        if want[r[0]]:
+            kept.append(r[6])
+    got = {r.event_id: r.admitted for r in ordered.admit(spark.createDataFrame(data, SCHEMA).repartition(5), ("source",), 8).collect()}
+    assert got == want
+
+
 def test_velocity_counts_itself_and_those_before(spark):
     data = rows(4)
     got = {r.event_id: r.velocity for r in ordered.velocity(spark.createDataFrame(data, SCHEMA), "crawl_tw", ("channel",)).collect()}
