@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
+#: A text without one of these, whatever the case, has no ``assign`` match.
+KEYWORDS = ("password", "passwd", "secret", "token", "api")
 #: What a Markov span may look like.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -26,41 +31,89 @@ LEAST_RATIO = 12.0
 BACK_OFF = 4.0
 _SIZE = len(ALPHABET) + 1
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
+#: Stands for a character of a base span; in a text itself it counts as a space.
+_MARK = "\x01"
 
 
-def find_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points, whose ``group`` has ``least`` characters.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: what stands in a lambda is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    The text split at the matches gives the gaps; the running length of gaps and matches gives the places.
-    """
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """The leftmost non-overlapping matches, in order: (gap before it, match, length of its ``group``); last the end's gap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))), sized, lambda s, v: s.withField("value", F.length(v)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.zip_with(pairs, sized, lambda p, v: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.length(v).alias("size")))
+
+
+def _places(matches: Column, kind: str, rank: int, least: int = 0) -> Column:
+    """Spans, in code points, of the matches whose group has ``least`` characters.
+
+    Places are running sums of gaps and matches. They are summed in blocks of the square root of their number, so that
+    the arrays that grow by a span at a time stay short.
+    """
+    length = lambda block: F.aggregate(block, F.lit(0), lambda acc, m: acc + m["gap"] + m["len"])
+
+    def blocked(sizes: Column) -> Column:
+        per = F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(sizes), per), lambda at: F.slice(sizes, at, per))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
+    def starts(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    def step(acc: Column, m: Column) -> Column:
+        begin = acc["at"] + m["gap"]
+        end = begin + m["len"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(m["size"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    inside = lambda blocks: F.zip_with(blocks, starts(blocks), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"]))
+    sizes = F.transform(matches, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.coalesce(F.length(m["match"]), F.lit(0)).alias("len"), m["size"].alias("size")))
+    return F.flatten(_let(_let(sizes, blocked), inside))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+
+def find_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches, in code points, whose ``group`` has ``least`` characters."""
+    return F.when(F.rlike(text, F.lit(pattern)), _places(_matches(text, pattern, group), kind, rank, least)).otherwise(F.array().cast(_SPAN))
+
+
+def _searched() -> list[tuple[str, str, int, int]]:
+    """The fixed patterns; where a run that is too short can hide no longer one, with its least length in the pattern."""
+    short = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
+    return [(kind, short.get(kind, pattern), group, least) for kind, pattern, group, least in BASE]
 
 
 def base_spans(text: Column) -> Column:
     """All spans of the fixed patterns, by start, then kind in the listed order."""
-    kinds = []
-    for rank, (kind, pattern, group, least) in enumerate(BASE):
-        # a run that is too short can hide no longer one, so these two need no second look
-        short = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}.get(kind, pattern)
-        kinds.append(find_spans(text, short, kind, rank, group, least))
-    return F.array_sort(F.concat(*kinds))
+    spans = []
+    for rank, (kind, pattern, group, least) in enumerate(_searched()):
+        found = find_spans(text, pattern, kind, rank, group, least)
+        if kind == "assign":  # a cheap test that no match can fail
+            found = F.when(reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in KEYWORDS]), found).otherwise(F.array().cast(_SPAN))
+        spans.append(found)
+    return F.array_sort(F.concat(*spans))
+
+
+def _hidden(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The text with a mark for each character of the matches whose group has ``least`` characters."""
+    mark = lambda m: F.when(m["size"] >= least, F.repeat(F.lit(_MARK), F.length(m["match"]))).otherwise(F.coalesce(m["match"], F.lit("")))
+    return _let(text, lambda t: F.array_join(F.transform(_matches(t, pattern, group), lambda m: F.concat(m["gap"], mark(m))), ""))
+
+
+def masked(text: Column) -> Column:
+    """The text with a mark for each character of a base span, so that places stay the same."""
+    out = F.translate(text, _MARK, " ")
+    for _, pattern, group, least in _searched():
+        out = _hidden(out, pattern, group, least)
+    return out
 
 
 def _codes(s: Column) -> Column:
     """The class of each character: its place in the alphabet, 0 for any other."""
-    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.instr(F.lit(ALPHABET), s.substr(i, F.lit(1))))
+    return F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def train_markov(samples: DataFrame) -> list[float]:
@@ -93,7 +146,9 @@ def train_markov(samples: DataFrame) -> list[float]:
 def labelled_strings(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled samples from the corpus: values that the fixed patterns find are random, other words are ordinary.
 
-    Drawn from about ``most`` documents by a hash of the text; each distinct string counts once.
+    Drawn from about ``most`` documents by a hash of the text; each distinct string counts once. So the random model is
+    taught by what the fixed patterns find, often hexadecimal, and the mixture with the uniform model in ``train_markov``
+    is what lets it reach other alphabets; ordinary strings are those of the sample, unseen names are judged by them.
     """
     text = F.col(text_col)
     share = min(1.0, most / max(1, docs.count()))
@@ -109,29 +164,33 @@ def labelled_strings(docs: DataFrame, text_col: str = "text", most: int = SAMPLE
     return both.select("s.*").distinct()
 
 
-def markov_spans(text: Column, base: Column, ratios: list[float], least: float = LEAST_RATIO) -> Column:
-    """Candidates outside the base spans whose strings are likelier random than ordinary by ``least`` in log terms."""
+def markov_spans(marked: Column, ratios: list[float], least: float = LEAST_RATIO) -> Column:
+    """Candidates of a masked text that touch no base span and are likelier random than ordinary by ``least`` in log terms."""
     scores = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    spans = find_spans(text, CANDIDATE, "markov", len(BASE))
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def ratio(value: Column) -> Column:
-        codes = _codes(value)
-        return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.element_at(scores, acc["last"] * _SIZE + c + 1))).alias("sum")), lambda acc: acc["sum"])
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+        return F.aggregate(_codes(value), start, lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.element_at(scores, acc["last"] * _SIZE + c + 1))).alias("sum")), lambda acc: acc["sum"])
 
-    return F.filter(free, lambda s: ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"])) >= least)
+    pattern = CANDIDATE.replace("[", f"[{_MARK}", 1)
+    judged = F.transform(_matches(marked, pattern), lambda m: F.struct(m["gap"].alias("gap"), m["match"].alias("match"), F.when(~F.contains(m["match"], F.lit(_MARK)) & (ratio(m["match"]) >= least), 1).otherwise(0).alias("size")))
+    return F.when(F.rlike(marked, F.lit(pattern)), _places(judged, "markov", len(BASE), 1)).otherwise(F.array().cast(_SPAN))
 
 
 def scan_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``base_spans`` and ``markov_spans``: arrays of (start, rank, end, kind) in code points.
 
-    Built-in functions only, one pass, no shuffle. Cases: null and empty texts have no spans; repeated rows have theirs
-    each; kept columns of these names are replaced; an empty table gives no rows.
+    Built-in functions only, one pass, no shuffle; work grows with a text's length, also in runs of a million characters
+    or matches. Cases: null and empty texts have no spans; repeated rows have theirs each; kept columns of these names are
+    replaced; an empty table gives no rows.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("base_spans", "markov_spans")]
     row = F.struct(*[F.col(c) for c in names]).alias("row")
-    first = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("scanned")).withColumn("base_spans", base_spans(F.col("scanned")))
-    both = first.withColumn("markov_spans", markov_spans(F.col("scanned"), F.col("base_spans"), ratios))
+    first = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("scanned"))
+    first = first.withColumn("base_spans", base_spans(F.col("scanned")))
+    plain = F.translate("scanned", _MARK, " ")
+    marked = F.when((F.size("base_spans") > 0) & F.rlike("scanned", F.lit(CANDIDATE)), masked(F.col("scanned"))).otherwise(plain)
+    both = first.withColumn("marked", marked).select("row", "base_spans", markov_spans(F.col("marked"), ratios).alias("markov_spans"))
     return both.select("row.*", "base_spans", "markov_spans")
 
 
