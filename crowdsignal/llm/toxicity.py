@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,8 @@ from .texts import add_columns
 
 #: Labelled rows that the lexicon and the weights are learned from, at most about so many (chosen by a hash of the id).
 LABELLED = 12_000
-MAX_TERMS = 400
-#: Terms of at least so many letters may be one edit away.
-FUZZY_FROM = 5
+#: Terms of at least so many letters may be one edit away, two edits away.
+FUZZY_FROM = (4, 8)
 WINDOW = 6
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„«»‘’…–—¿¡"
 _OPEN, _CLOSE = "\"“„«‘'", "\"”“»’'"
@@ -25,72 +24,88 @@ REPORTS = frozenset("said says wrote writes quoted quote called reported dit éc
 _KNOWN_WORDS = 300_000
 
 
+def edits_allowed(term: str) -> int:
+    return sum(len(term) >= n for n in FUZZY_FROM)
+
+
 class Automaton:
-    """The product of a trie of terms with their Levenshtein automata of one edit, made deterministic as words need it.
+    """The product of a trie of terms with their Levenshtein automata, made deterministic as words need it.
 
-    A state is a set of (trie node, edits so far); a letter moves along the edge it names, or spends an edit: along any
-    edge (substitution), at the same node (insertion), or, on entering a node, one edge further without a letter
-    (deletion). A word is dropped at the letter that leaves no state, mostly after three or four.
+    A state is a set of (trie node, edits so far, letter owed); a letter moves along the edge it names, or spends an edit:
+    along any edge (substitution), at the same node (insertion), on entering a node, one edge further without a letter
+    (deletion), or along the second of two edges, the first's letter being owed (swapped neighbours). A term is as many
+    edits away at most as ``edits_allowed`` says. A word is dropped at the letter that leaves no state, mostly after
+    three or four.
     """
 
-    def __init__(self, terms: list[str], fuzzy_from: int = FUZZY_FROM):
+    def __init__(self, terms: list[str], allowed: Callable[[str], int] = edits_allowed):
         self.terms = terms
         self.edges: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
+        self.allowed = [allowed(t) for t in terms]
+        self.most = [0]  # edits that some term at or below a node allows
         for number, term in enumerate(terms):
-            node = 0
+            node, n = 0, self.allowed[number]
+            self.most[0] = max(self.most[0], n)
             for c in term:
                 nxt = self.edges[node].get(c)
                 if nxt is None:
                     nxt = len(self.edges)
                     self.edges.append({})
+                    self.most.append(0)
                     self.edges[node][c] = nxt
                 node = nxt
+                self.most[node] = max(self.most[node], n)
             self.ends[node] = number
-        self.long = [False] * len(self.edges)  # whether a term of fuzzy length lies at or below the node
-        for term in terms:
-            if len(term) >= fuzzy_from:
-                node = 0
-                self.long[0] = True
-                for c in term:
-                    node = self.edges[node][c]
-                    self.long[node] = True
-        self.fuzzy = [len(t) >= fuzzy_from for t in terms]
         self.sets: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, int] | None] = []
-        self.start = self._state({(0, 0)})
-
-    def _state(self, pairs: set) -> int:
-        closed = set(pairs)
-        for node, edits in pairs:
-            if not edits:
-                closed.update((x, 1) for x in self.edges[node].values() if self.long[x])
-        closed = frozenset(p for p in closed if not (p[1] and (p[0], 0) in closed))
+        self.start = self._state({(0, 0, "")})
+
+    def _state(self, items: set) -> int:
+        least: dict[tuple[int, str], int] = {}
+        work = list(items)
+        while work:
+            node, edits, owed = work.pop()
+            if edits > self.most[node] or edits >= least.get((node, owed), 99):
+                continue
+            least[node, owed] = edits
+            if not owed:
+                work.extend((x, edits + 1, "") for x in self.edges[node].values())
+        closed = frozenset((n, e, o) for (n, o), e in least.items())
         if not closed:
             return -1
         if closed not in self.number:
             self.number[closed] = len(self.sets)
             self.sets.append(closed)
             self.moves.append({})
-            ends = [(e, self.ends[n]) for n, e in closed if n in self.ends and (not e or self.fuzzy[self.ends[n]])]
+            ends = [(e, self.ends[n]) for n, e, o in closed if not o and n in self.ends and e <= self.allowed[self.ends[n]]]
             self.found.append(min(ends)[::-1] if ends else None)
         return self.number[closed]
 
     def _move(self, state: int, c: str) -> int:
         out = set()
-        for node, edits in self.sets[state]:
-            if c in self.edges[node]:
-                out.add((self.edges[node][c], edits))
-            if not edits and self.long[node]:
-                out.add((node, 1))
-                out.update((x, 1) for k, x in self.edges[node].items() if k != c and self.long[x])
+        for node, edits, owed in self.sets[state]:
+            edges = self.edges[node]
+            if owed:
+                if owed == c:
+                    out.add((node, edits, ""))
+                continue
+            if c in edges:
+                out.add((edges[c], edits, ""))
+            if edits < self.most[node]:
+                out.add((node, edits + 1, ""))
+                for k, x in edges.items():
+                    if k != c:
+                        out.add((x, edits + 1, ""))
+                        if c in self.edges[x]:
+                            out.add((self.edges[x][c], edits + 1, k))
         self.moves[state][c] = nxt = self._state(out)
         return nxt
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term, the first of the list on a tie; None beyond one edit."""
+        """(term, edits) of the nearest term, the first of the list on a tie; None beyond the edits a term allows."""
         state, moves = self.start, self.moves
         for c in word:
             nxt = moves[state].get(c)
@@ -119,15 +134,16 @@ def _quoted(raw: list[str], at: int) -> bool:
 class Scorer:
     """Matches of a text, and its features and score; words that are known not to match are remembered."""
 
-    def __init__(self, terms: list[str], exact: list[float], near: list[float], model: list[float] | None = None):
-        self.terms, self.exact, self.near, self.model = terms, exact, near, model
+    def __init__(self, terms: list[str], weights: list[list[float]], model: list[float] | None = None):
+        """``weights``: of each term, by edits."""
+        self.terms, self.weights, self.model = terms, weights, model
         self.reset()
 
     def reset(self) -> None:
         self.automaton, self.known = Automaton(self.terms), {}
 
     def __getstate__(self):
-        return {"terms": self.terms, "exact": self.exact, "near": self.near, "model": self.model}
+        return {"terms": self.terms, "weights": self.weights, "model": self.model}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -152,7 +168,7 @@ class Scorer:
     def features(self, text: str | None) -> list[float]:
         """Bias, sum and maximum of the match weights, what of it is quoted, and matches by length."""
         n, found = self.matches(text)
-        weights = [(self.near if edits else self.exact)[term] * (0.5 if quoted else 1.0) for term, edits, quoted in found]
+        weights = [self.weights[term][edits] * (0.5 if quoted else 1.0) for term, edits, quoted in found]
         quoted = sum(w for w, m in zip(weights, found, strict=True) if m[2])
         return [1.0, math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(quoted), sum(weights) / math.sqrt(n + 20.0)]
 
@@ -181,13 +197,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", "text").join(small(chosen), "doc_id").select("text", "y")  # so the documents do not shuffle
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, max_terms: int = MAX_TERMS) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Scorer:
     """Learn terms, their weights and the score from ``labels(doc_id, toxic)``, never from held-out rows.
 
     A term is a word whose distinct contexts (the words on both sides) lie in toxic documents far beyond chance: its
     log-likelihood ratio passes a bound for as many words as were looked at. Copies of a document share their contexts,
-    so a copied text cannot make its words terms. Weights are smoothed log-odds; one-edit neighbours have their own,
-    drawn to half of the term's where the sample says nothing. Without labels of both kinds the score is constant.
+    so a copied text cannot make its words terms. Every such word is a term, of any length; ``most`` alone bounds what the
+    driver holds. Weights are smoothed log-odds; neighbours of one and of two edits have their own for each term, drawn to
+    a half and a quarter of the term's where the sample says nothing. Without labels of both kinds the score is constant.
     """
     sample = materialize(labelled_sample(docs, labels, "toxic", most), "labelled")
 
@@ -196,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, max_terms: i
         for text in texts:
             w = words_of(text)
             around = ["", *w, ""]
-            out.append((sorted({f"{b}\t{a}\t{c}" for a, b, c in zip(around, w, around[2:], strict=False) if 3 <= len(b) <= 40}),))
+            out.append((sorted({f"{b}\t{a}\t{c}" for a, b, c in zip(around, w, around[2:], strict=False)}),))
         return out
 
     seen = add_columns(sample, "text", "seen array<string>", contexts, ["y"]).select("y", F.explode("seen").alias("seen")).groupBy("seen").agg(F.max("y").alias("y"))
@@ -205,25 +222,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, max_terms: i
     vocabulary, toxic, clean = total[0] or 0, float(total[1] or 0), float(total[2] or 0)
     both = sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     if not both[0] or not both[1]:
-        return Scorer([], [], [], [-30.0 if not both[0] else 30.0, 0.0, 0.0, 0.0, 0.0])
+        return Scorer([], [], [-30.0 if not both[0] else 30.0, 0.0, 0.0, 0.0, 0.0])
     p = toxic / (toxic + clean)
     t, n = F.col("t").cast("double"), F.col("n").cast("double")
     ratio = 2 * (t * F.log(t / ((t + n) * p)) + F.when(n > 0, n * F.log(n / ((t + n) * (1 - p)))).otherwise(0.0))
     odds = F.log((t + 0.5) / (n + 0.5) * (clean / toxic))
     picked = counts.where("t >= 3").withColumns({"ratio": ratio, "odds": odds}).where((F.col("ratio") >= 2 * math.log(20 * vocabulary)) & (F.col("odds") >= 2.0))
-    terms = sorted((r.word, min(r.odds, 6.0)) for r in picked.orderBy(F.desc("ratio"), "word").limit(max_terms).collect())
-    scorer = Scorer([w for w, _ in terms], [o for _, o in terms], [0.5 * o for _, o in terms])
-
-    automaton = Automaton(scorer.terms)
-    near: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for r in _near_words(counts, scorer.terms).collect():
-        m = automaton.match(r.word)
-        if m and m[1]:
-            near[m[0]][0] += r.t
-            near[m[0]][1] += r.n
-    for k, (a, b) in near.items():
-        prior = math.exp(scorer.near[k])
-        scorer.near[k] = max(0.0, min(scorer.exact[k], math.log((a * clean / toxic + 2 * prior) / (b + 2))))
+    terms = sorted((r.word, min(r.odds, 6.0)) for r in picked.collect())
+    scorer = Scorer([w for w, _ in terms], [[o, 0.5 * o, 0.25 * o] for _, o in terms])
+    for r in _near_words(counts, scorer.terms).groupBy("term", "edits").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect():
+        own = scorer.weights[r.term]
+        prior = math.exp(own[r.edits])
+        own[r.edits] = max(0.0, min(own[0], math.log((r.t * clean / toxic + 2 * prior) / (r.n + 2))))
 
     features = add_columns(sample, "text", "x array<double>", lambda texts: [(scorer.features(x),) for x in texts], ["y"]).collect()
     scorer.model = _logistic(np.array([r.x for r in features]), np.array([r.y for r in features], float)).tolist()
@@ -231,14 +241,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, max_terms: i
 
 
 def _near_words(counts: DataFrame, terms: list[str]) -> DataFrame:
-    """The distinct words of the sample that are one edit from a term; at most a few for each term."""
-    automaton_terms = list(terms)
+    """(term, edits, t, n) of the sample's distinct words that are within the allowed edits of a term, but none."""
 
     def check(words: list) -> list[tuple]:
-        automaton = Automaton(automaton_terms)
-        return [(bool((m := automaton.match(w)) and m[1]),) for w in words]
+        automaton = Automaton(terms)
+        return [automaton.match(w) or (-1, 0) for w in words]
 
-    return add_columns(counts, "word", "near boolean", check).where("near").select("word", "t", "n")
+    return add_columns(counts, "word", "term int, edits int", check).where("edits > 0").select("term", "edits", "t", "n")
 
 
 def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

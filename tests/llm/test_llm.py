@@ -226,20 +226,31 @@ def test_verbatim_items_of_every_length_inside_texts():
 
 def test_automaton_matches_edit_distance():
     def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
+        """Optimal string alignment: no part is edited twice."""
+        d = [[max(i, j) if 0 in (i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] != a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
 
     rng = random.Random(8)
-    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.choice([3, 5, 6, 7]))) for _ in range(30)})
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.choice([3, 4, 5, 6, 7, 8, 9, 10]))) for _ in range(30)})
     machine = toxicity.Automaton(terms)
+    hits = collections.Counter()
     for _ in range(3000):
-        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
-        ok = [(d, i) for i, t in enumerate(terms) if (d := distance(word, t)) == 0 or (d == 1 and len(t) >= 5)]
+        word = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randrange(3)] = rng.choice(["", "a", "b", "d", "ca"])
+        word = "".join(word)
+        ok = [(d, i) for i, t in enumerate(terms) if (d := distance(word, t)) <= (len(t) >= 4) + (len(t) >= 8)]
         assert machine.match(word) == (min(ok)[::-1] if ok else None)
+        hits[min(ok)[0] if ok else None] += 1
+    assert min(hits[k] for k in (0, 1, 2, None)) > 30
+    one = toxicity.Automaton(["idiot", "scum", "worthless"])
+    assert [one.match(w) for w in ("idoit", "scun", "wrothles", "sc", "x" * 100_000)] == [(0, 1), (1, 1), (2, 2), None, None]
 
 
 def labelled(spark, n=1500):
