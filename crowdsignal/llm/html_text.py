@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .texts import add_columns
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object video audio canvas svg math datalist noembed noframes select".split())
+HIDDEN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes".split())
+#: Hidden inside a drawing or a formula: what describes it and what it is made from.
+_METADATA = frozenset("desc defs metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Blocks with an empty line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu".split())
@@ -38,7 +42,10 @@ _CLOSES = {
 _CLOSES["thead"] = _CLOSES["tfoot"] = _CLOSES["tbody"]
 #: A start tag of these closes an open paragraph.
 _ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
 
 
 @dataclass(slots=True)
@@ -48,57 +55,116 @@ class Node:
     children: list = field(default_factory=list)
 
 
+def _tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of tags; of comments and declarations, with no name. One pass over the page.
+
+    A tag ends at the first ">" outside quotation marks; if there is none, at the first ">" at all. What lies behind the
+    last ">" of the page is text, unless a comment is left open there.
+    """
+    at, last, no_quote = 0, source.rfind(">"), {}
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif at > last:
+            return
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+            yield at, end, "", "", ""
+        elif m := _NAME.match(source, at):
+            end = here = m.end()
+            while True:
+                end = source.find(">", here)
+                quote = min((q for q in (source.find('"', here, max(end, here)), source.find("'", here, max(end, here))) if q >= 0), default=-1)
+                if end < 0 or quote < 0:
+                    break
+                mark = source[quote]
+                close = -1 if no_quote.get(mark, len(source)) <= quote + 1 else source.find(mark, quote + 1)
+                if close < 0:
+                    no_quote[mark] = min(no_quote.get(mark, len(source)), quote + 1)  # none from here on
+                    break
+                here = close + 1
+            if end < 0:
+                end = source.find(">", m.end())
+            yield at, end + 1, source[at + 1] if source[at + 1] == "/" else "", m[1].lower(), source[m.end() : end]
+            end += 1
+        else:
+            at += 1
+            continue
+        at = end
+
+
+class _Stack:
+    """The open elements, with the places of each tag among them, so that a search costs what it closes."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags: frozenset) -> int:
+        """The place of the innermost open element of these tags; 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+
+_CELLS = frozenset(("table", "td", "th"))
+_P, _P_FENCE = frozenset(("p",)), frozenset(("table", "td", "th", "li", "blockquote", "div", "section", "article", "body"))
+
+
 def parse(source: str) -> Node:
     """The tree of a page: void and raw-text elements, implied end tags, and end tags that close what is left open."""
     root = Node("#root")
-    stack, at, size = [root], 0, len(source)
+    stack, size = _Stack(root), len(source)
+    no_end: dict[str, int] = {}
 
     def put(text: str) -> None:
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+            stack.nodes[-1].children.append(entities.unescape(text) if "&" in text else text)
 
     def close_to(names: frozenset, fence: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                lowest = i
-                while lowest - 1 > 0 and stack[lowest - 1].tag in names:
-                    lowest -= 1
-                del stack[lowest:]
-                return
-            if stack[i].tag in fence:
-                return
-
-    while at < size:
-        m = _TOKEN.search(source, at)
-        if not m:
-            put(source[at:])
-            break
-        put(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        lowest = stack.last(names)
+        if not lowest or lowest < stack.last(fence - names):
+            return
+        while lowest - 1 > 0 and stack.nodes[lowest - 1].tag in names:
+            lowest -= 1
+        stack.cut(lowest)
+
+    shown = 0
+    for start, end, slash, tag, attributes in _tags(source):
+        if start < shown:  # inside raw text
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in BLOCK:  # inline end tags do not reach out of a cell
-                    break
+        put(source[shown:start])
+        shown = end
+        if not tag:
+            continue
+        if slash:
+            place = stack.last(frozenset((tag,)))
+            if place and (tag in BLOCK or place >= stack.last(_CELLS)):  # inline end tags do not reach out of a cell
+                stack.cut(place)
             continue
         if tag in _ENDS_P:
-            close_to(frozenset(("p",)), frozenset(("table", "td", "th", "li", "blockquote", "div", "section", "article", "body")))
+            close_to(_P, _P_FENCE)
         if tag in _CLOSES:
             close_to(*_CLOSES[tag])
-        node = Node(tag, {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3].strip(" /\n\t") else {})
-        stack[-1].children.append(node)
+        node = Node(tag, {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n\t") else {})
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            text = source[at : end.start() if end else size]
+            close = None if no_end.get(tag, size) <= end else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, end)
+            if not close:
+                no_end[tag] = end
+            text = source[end : close.start() if close else size]
             node.children.append(entities.unescape(text) if tag in ("textarea", "title") else text)
-            at = end.end() if end else size
+            shown = close.end() if close else size
         elif tag not in VOID:
-            stack.append(node)
+            stack.push(node)
+    put(source[shown:])
     return root
 
 
@@ -157,6 +223,15 @@ class _Flow:
         return self.lines
 
 
+def _next_row(rows: list[list[list[str]]], taken: dict[int, int]) -> None:
+    """Start a row; the columns that cells above it take are taken for one row less."""
+    rows.append([])
+    for c in list(taken):
+        taken[c] -= 1
+        if not taken[c]:
+            del taken[c]
+
+
 def _table(rows: list[list[list[str]]]) -> list[str]:
     """Cells in columns as wide as their widest line, two spaces apart; a cell of several lines takes several lines."""
     columns = max((len(r) for r in rows), default=0)
@@ -168,44 +243,109 @@ def _table(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
-def _visible(node: Node) -> bool:
+class _Styles:
+    """What the page's own style sheets hide: rules of simple selectors (a tag, classes, an id), the last one given counts."""
+
+    def __init__(self, root: Node):
+        self.rules: list[tuple[str, frozenset, str, str]] = []
+        work: list[Node] = [root]
+        while work:
+            node = work.pop()
+            if node.tag == "style":
+                text = re.sub(r"/\*.*?\*/", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
+                for selectors, body in _RULE.findall(text):
+                    if "display" in body.lower() or "visibility" in body.lower():
+                        self._add(selectors, body)
+            work.extend(c for c in reversed(node.children) if not isinstance(c, str))
+
+    def _add(self, selectors: str, body: str) -> None:
+        for selector in selectors.split(","):
+            if (m := _SIMPLE.match(selector.strip())) and (m[1] or m[2]):
+                parts = re.findall(r"[.#][\w-]+", m[2])
+                ids = [p[1:] for p in parts if p[0] == "#"]
+                self.rules.append(((m[1] or "*").lower(), frozenset(p[1:] for p in parts if p[0] == "."), ids[0] if ids else "", body))
+
+    def of(self, node: Node) -> str:
+        """The declarations that hold for an element, its own last."""
+        own = node.attributes.get("style", "")
+        if not self.rules:
+            return own
+        classes = frozenset(node.attributes.get("class", "").split())
+        return ";".join([*(body for tag, want, id_, body in self.rules if tag in ("*", node.tag) and want <= classes and id_ in ("", node.attributes.get("id", ""))), own])
+
+
+def _displayed(node: Node, style: str) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+    if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file")):
         return False
-    return not ("style" in a and _NO_DISPLAY.search(a["style"]))
+    return "display" not in style.lower() or not _NO_DISPLAY.search(style)
+
+
+def _option(select: Node) -> list[Node | str]:
+    """What a list of choices shows: all of a list box, else the selected option or the first."""
+    options, work = [], [select]
+    while work:
+        node = work.pop()
+        if node.tag == "option":
+            options.append(node)
+        else:
+            work.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    if "multiple" in select.attributes or select.attributes.get("size", "1") not in ("", "0", "1"):
+        return [x for o in options for x in (o, " ")]
+    return [next((o for o in options if "selected" in o.attributes), options[0])] if options else []
+
+
+def _span(node: Node, name: str) -> int:
+    given = node.attributes.get(name, "1")
+    return max(1, min(int(given), 100)) if given.isdigit() else 1
 
 
 def render(source: str | None) -> str:
     """All visible text of a page, laid out.
 
-    The walk keeps its own stack, so nesting of any depth is safe. A table's cells are flows of their own; at its end
+    Hidden is what has no display (by tag, attribute, own style or the page's simple style rules) and what is set
+    invisible, except what a visible child shows. The walk keeps its own stack, so nesting of any depth is safe. A table's cells are flows of their own; at its end
     the rows are aligned and join the flow around it. Lists are marked "- " or "1. " and indented by two or three.
     """
     if not source:
         return ""
     flows = [_Flow()]
     tables: list[list[list[list[str]]]] = []
+    held: list[dict[int, int]] = []  # of each table, the columns that cells from above still take, with the rows left
     lists: list[list] = []
-    preserve = 0
-    work: list[tuple[str, Node | str]] = [("open", parse(source))]
+    preserve = drawing = 0
+    root = parse(source)
+    styles = _Styles(root)
+    work: list[tuple[str, Node | str, bool]] = [("open", root, True)]
     while work:
-        what, node = work.pop()
+        what, node, shown = work.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, preserve > 0)
+            if shown:
+                flow.text(node, preserve > 0)
             continue
         tag = node.tag
         if what == "open":
-            if not _visible(node):
+            style = styles.of(node)
+            if not _displayed(node, style) or (drawing and tag in _METADATA):
                 continue
+            if said := _VISIBILITY.findall(style):
+                shown = said[-1].lower() == "visible"
             if tag == "br":
                 flow.newline()
                 continue
             if tag == "wbr":
                 continue
-            if tag == "img":
-                flow.text(node.attributes.get("alt", ""), False)
+            if tag in ("img", "input"):
+                label = node.attributes.get("alt", "") if tag == "img" else node.attributes.get("value") or {"submit": "Submit", "reset": "Reset"}.get(node.attributes.get("type", "").lower(), "")
+                if shown:
+                    flow.text(label, False)
+                continue
+            if tag == "select":
+                work.extend(("open", c, shown) for c in reversed(_option(node)))
                 continue
+            if tag in ("svg", "math"):
+                drawing += 1
             if tag in BLOCK and tag not in ("td", "th"):
                 flow.block(2 if tag in SPACED and not (tag in _LISTS and lists) else 1)
             if tag in _LISTS:
@@ -224,24 +364,33 @@ def render(source: str | None) -> str:
                 preserve += 1
             elif tag == "table":
                 tables.append([])
+                held.append({})
                 flows.append(_Flow())  # text outside cells, such as a caption
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                _next_row(tables[-1], held[-1])
             elif tag in ("td", "th") and tables:
                 if not tables[-1]:
-                    tables[-1].append([])
+                    _next_row(tables[-1], held[-1])
                 flows.append(_Flow())
-            work.append(("close", node))
-            work.extend(("open", c) for c in reversed(node.children))
+            work.append(("close", node, shown))
+            work.extend(("open", c, shown) for c in reversed(node.children))
             continue
+        if tag in ("svg", "math"):
+            drawing -= 1
         if tag in ("td", "th") and tables:
-            cell = flows.pop().done()
-            span = node.attributes.get("colspan", "1")
-            tables[-1][-1].append(cell)
-            tables[-1][-1].extend([] for _ in range(min(int(span), 100) - 1 if span.isdigit() and int(span) else 0))
+            row, taken = tables[-1][-1], held[-1]
+            while taken.get(len(row)):
+                row.append([])
+            across, down = _span(node, "colspan"), _span(node, "rowspan")
+            for c in range(len(row), len(row) + across):
+                if down > 1:
+                    taken[c] = down
+            row.append(flows.pop().done())
+            row.extend([] for _ in range(across - 1))
             continue
         if tag == "table":
             outside, rows = flows.pop().done(), tables.pop()
+            held.pop()
             flow = flows[-1]
             for x in [*outside, *_table(rows)]:
                 if x:
@@ -267,8 +416,9 @@ def render(source: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` with a column ``text``: everything a reader sees, with block spacing, list marks and aligned tables.
 
-    Cases: a null or empty page gives an empty text; what does not parse as markup is text; unclosed tags, comments and
-    scripts reach to the end; repeated rows give repeated rows; a kept column named text is replaced; an empty table
+    A list of choices shows the selected or first one, a button its label, a drawing or formula its text. Work grows with
+    a page's length, also for broken markup. Cases: a null or empty page gives an empty text; what does not parse as
+    markup is text; unclosed comments and scripts reach to the end; a tag that no ">" closes is text; repeated rows give repeated rows; a kept column named text is replaced; an empty table
     gives no rows.
     """
     return add_columns(pages, html_col, "text string", lambda sources: [(render(x),) for x in sources], keep)

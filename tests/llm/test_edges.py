@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.llm import chat, secrets
+from crowdsignal.llm import chat, html_text, secrets
 
 EXTRA = "doc_id bigint, text string, source string, score string, n_shingles string, leaks string, size string, target string, bucket string, shard string"
 
@@ -83,3 +83,29 @@ def test_markov_ratio_is_that_of_a_plain_sum(spark):
     for r in got:
         if abs(want[r.doc_id] - secrets.LEAST_RATIO) > 1e-3:
             assert bool(r.markov_spans) == (want[r.doc_id] >= secrets.LEAST_RATIO)
+
+
+# ---- 10 ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<td>D</table>", "A  B\n   C  D"),
+    ("<table><tr><td colspan=2>A<td>B<tr><td>C<td>D<td>E</table>", "A     B\nC  D  E"),
+    ("pick <select><option>one<option selected>two</select> now", "pick two now"),
+    ("<select multiple><option>a<option>b</select>", "a b"),
+    ("<input type=submit value='Send it'> <input type=hidden value=no><button>Go</button>", "Send it Go"),
+    ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b></div>", "yes"),
+    ("<style>.x, #y {display: none} p.z{visibility:hidden}</style><p class='a x'>no<p id=y>no<p class=z>no<p>yes", "yes"),
+    ("<svg><title>no</title><desc>no</desc><text>label</text></svg> <math><mi>x</mi><mo>+</mo><annotation>no</annotation></math>", "label x+"),
+    ("<a title='1 > 0'>text</a>", "text"), ("a <b", "a <b"), ("x <a href='y>z</a>", "x z"),
+    ("<b>one</td>two</b>", "onetwo"), ("<p>a<script>if (a<b) c</script>d", "ad"), ("<p style='display:none'>a</p><!-- <p> -->b", "b"),
+])
+def test_render_of_less_common_markup(source, want):
+    assert html_text.render(source) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b><h1>", "<p>", '<a b="', "<a b='x' c=\"", "</p>", "<!--", "<table><tr><td>", "<script>", "<style>a{", "<li>", "<", "<select><option>", "&amp", "<div><span></div>", "<td rowspan=9>"])
+def test_render_of_a_million_characters_of_one_piece(piece):
+    began = time.time()
+    html_text.render(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
