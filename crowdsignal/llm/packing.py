@@ -6,6 +6,7 @@ import base64
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ class _Encoder:
     """Ids of a text as little-endian 16-bit bytes.
 
     No pre-token holds a space anywhere but at its start, unless it is white space only. So a text can be cut before each
-    space that follows a visible character, and the ids of each piece be remembered, without changing the ids.
+    space that follows a visible character, and the ids of each piece be remembered (by the piece without its space),
+    without changing the ids. A text with other spaces is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,19 +43,20 @@ class _Encoder:
         return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        known, out = self.known, []
         first, *rest = text.split(" ")
-        for piece in (first, *[f" {x}" for x in rest]):
-            ids = known.get(piece)
-            if ids is None:
-                if piece[-1:].isspace():
-                    return self.whole(text)
-                ids = self.whole(piece)
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        try:
+            return self.whole(first) + b"".join(map(self.known.__getitem__, rest))
+        except KeyError:
+            pass
+        if len(self.known) >= _REMEMBERED:
+            self.known.clear()
+        for piece in set(rest).difference(self.known):
+            if not piece or piece[-1].isspace():
+                return self.whole(text)
+            self.known[piece] = self.whole(f" {piece}")
+        if first[-1:].isspace():
+            return self.whole(text)
+        return self.whole(first) + b"".join(map(self.known.__getitem__, rest))
 
 
 @lru_cache(1)
@@ -62,22 +65,26 @@ def _encoder(path: str) -> _Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, part, n_tokens, ids)``: each document's ids and an end mark, cut into parts of at most ``capacity``."""
+    """``(doc_id, part, n_tokens, ids, row)``: each document's ids and an end mark, cut into parts of at most ``capacity``.
+
+    ``row`` numbers what a task puts out.
+    """
     end = np.array([END_OF_DOCUMENT], "<u2").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer)
+        encoder, row = _encoder(tokenizer), 0
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = (encoder.encode(text) if text else b"") + end
                 for part, at in enumerate(range(0, len(ids), 2 * capacity)):
                     piece = ids[at : at + 2 * capacity]
-                    rows.append((doc, part, len(piece) // 2, piece))
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "ids"])
+                    rows.append((doc, part, len(piece) // 2, piece, row))
+                    row += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "ids", "row"])
 
     # ids travel as text: pandas has no null among 64-bit integers
-    cut_up = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id string, part int, n_tokens int, ids binary")
+    cut_up = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id string, part int, n_tokens int, ids binary, row long")
     return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -131,8 +138,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     0 and ends at ``n_tokens``, and ``position_resets`` are the offsets at which positions start again at 0. Segment i
     holds part ``parts[i]`` of document ``doc_ids[i]``; its parts in order give the document's ids and one end mark back.
 
-    Documents are dealt by hash into shards of about 8 MB of text, so that a task packs a bounded number of segments;
-    an overlong document's parts spread over shards. Result and cost do not depend on how the input is partitioned.
+    Rows are dealt by their place in the input (task and row number, not content) into shards of about 8 MB of text, so
+    that a task packs a bounded number of segments, however often a row is repeated; an overlong document's parts spread
+    over shards. Which rows meet in a shard depends on how the input is partitioned, what the packs hold does not. The
+    rank file at ``tokenizer`` must be at the same path on every executor.
 
     Cases: null and empty texts are a lone end mark, so every row of ``docs`` is in the result, repeated ones too; null
     ids are kept; an empty table gives no rows; other columns are not read.
@@ -140,20 +149,22 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = partitions_for(total, _BYTES_A_SHARD, 1)
     pieces = token_pieces(docs, tokenizer, capacity, id_col, text_col)
-    dealt = pieces.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(shards)).cast("int"), "doc_id": F.col("doc_id").cast("string")})
+    shard = F.pmod(F.xxhash64(F.spark_partition_id(), "row"), F.lit(shards)).cast("int")
+    dealt = pieces.select(shard.alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "part", "n_tokens", "ids")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["doc_id"] = [None if x is None else int(x) for x in pdf["doc_id"]]
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "part", "ids"], ascending=[False, True, True, True], kind="stable")
-        pdf["row"] = best_fit(pdf["n_tokens"].tolist(), capacity)
-        rows = []
-        for row, own in pdf.groupby("row", sort=True):
-            ids = b"".join(own["ids"])
-            ends = np.cumsum(own["n_tokens"].to_numpy()).tolist()
-            pad = np.full(capacity - len(ids) // 2, END_OF_DOCUMENT, "<u2").tobytes()
-            docs_in = [None if pd.isna(x) else int(x) for x in own["doc_id"]]
-            rows.append((own["shard"].iloc[0], row, ends[-1], docs_in, own["part"].tolist(), [0, *ends], [0, *ends[:-1]], ids + pad))
+        docs_in = [None if x is None else int(x) for x in pdf["doc_id"]]
+        n, part, ids = pdf["n_tokens"].tolist(), pdf["part"].tolist(), pdf["ids"].tolist()
+        order = sorted(range(len(n)), key=lambda i: (-n[i], docs_in[i] is None, docs_in[i] or 0, part[i], ids[i]))
+        bins: list[list[int]] = []
+        for i, b in zip(order, best_fit([n[i] for i in order], capacity), strict=True):
+            if b == len(bins):
+                bins.append([])
+            bins[b].append(i)
+        shard, pad, rows = int(pdf["shard"].iloc[0]), np.full(capacity, END_OF_DOCUMENT, "<u2").tobytes(), []
+        for row, own in enumerate(bins):
+            ends = list(accumulate(n[i] for i in own))
+            rows.append((shard, row, ends[-1], [docs_in[i] for i in own], [part[i] for i in own], [0, *ends], [0, *ends[:-1]], b"".join([ids[i] for i in own]) + pad[2 * ends[-1] :]))
         return pd.DataFrame(rows, columns=["shard", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", "position_resets", "input_ids"])
 
     schema = "shard int, row int, n_tokens int, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
