@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions_for, small, table
+from .common import WORD, materialize, small, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,52 +36,94 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     return levels.withColumn("common", level).select("source", "source_size", F.when(F.col("common").isNull() | (F.col("ratio") < F.col("common")), F.col("cap")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", keep: list[str] = ()) -> DataFrame:
-    """How many words the mix takes of each document -> ``(row, doc_id, size, source_size, target, taken)``.
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` as ``(row, source, size, key)``, ``row`` a struct of all columns, so that no name of the table clashes."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    return docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"), key.alias("key"))
+
+
+def _cuts(slim: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """Where each source's budget ends: ``(of, source_size, target, whole, cut_key, cut_size, copies, left)``.
+
+    ``slim(source, size, key)`` has a row per document. Keys are cut into slices of the key space, as many for each source
+    as give about 20,000 rows; sums by slice and their prefix sums tell the slice in which the budget ends, and only that
+    slice's documents are sorted by key and summed up. Repeated rows share a key and count as one group of ``copies``;
+    ``left`` is what the group at the cut may take beyond whole epochs. No cut (null) where whole epochs meet the budget.
+    """
+    same = F.col("source").eqNullSafe(F.col("of"))
+    rows = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    targets = source_targets(rows.select("source", "source_size"), weights, max_epochs)
+    per = rows.select(F.col("source").alias("of"), F.ceil(F.col("rows") / F.lit(_ROWS_A_SLICE)).alias("slices"))
+    plan = targets.withColumnRenamed("source", "of").join(per.withColumnRenamed("of", "_of"), F.col("of").eqNullSafe(F.col("_of"))).drop("_of")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan, "targets")
+
+    share = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    dealt = slim.join(small(plan.select("of", "slices", "rest")), same).where("size > 0").withColumn("slice", F.floor(share * F.col("slices") / F.lit(2**32)))
+    groups = dealt.groupBy("source", "slice", "rest", "key", "size").agg(F.count("*").alias("copies"))
+    sums = materialize(dealt.groupBy("source", "slice", "rest").agg(F.sum("size").alias("words")), "slices")
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sums.withColumn("offset", before("words", "slice")).where("offset <= rest and rest < offset + words")
+    at = at.select(F.col("source").alias("of"), F.col("slice").alias("at"), "offset")
+    inside = groups.join(small(at), same & (F.col("slice") == F.col("at")))
+    start = F.col("offset") + before(F.col("size") * F.col("copies"), "key", "size")
+    cut = inside.withColumn("left", F.col("rest") - start).where("left >= 0 and left < size * copies")
+    cut = cut.select(F.col("of").alias("_of"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), "copies", "left")
+    return materialize(plan.join(cut, F.col("of").eqNullSafe(F.col("_of")), "left").drop("_of", "slices", "rest"), "cuts")
+
+
+def _taken(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``keyed(row, source, size, key)`` with source_size, target and taken, by the cuts of its sources.
+
+    Every row is decided by its key alone, so nothing shuffles. Only where the group at a cut holds repeated rows are
+    these told apart: numbered by task, the first ones take what is left.
+    """
+    joined = keyed.join(small(cuts), F.col("source").eqNullSafe(F.col("of")))
+    here = (F.col("key") == F.col("cut_key")) & (F.col("size") == F.col("cut_size"))
+    part = F.when(F.col("cut_key").isNull(), 0).when(here, F.col("left")).when(F.struct("key", "size") < F.struct("cut_key", "cut_size"), F.col("size")).otherwise(0)
+    out = lambda df, part: df.select("row", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    if cuts.where("copies > 1").isEmpty():
+        return out(joined, part)
+    tied = here & (F.col("copies") > 1)
+    numbered = materialize(joined.where(tied).withColumn("no", F.monotonically_increasing_id()), "tied")
+    task = F.shiftright("no", 33)
+    counts = numbered.groupBy("of", task.alias("task")).agg(F.count("*").alias("n"))
+    by_task = Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("of").alias("_of"), F.col("task").alias("_task"), F.coalesce(F.sum("n").over(by_task), F.lit(0)).alias("before"))
+    placed = numbered.join(small(offsets), F.col("of").eqNullSafe(F.col("_of")) & (task == F.col("_task")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("of", "_task").orderBy("no")) - 1
+    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - place * F.col("size")))
+    return out(joined.where(~F.coalesce(tied, F.lit(False))), part).union(out(placed, first))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """How many words the mix takes of each document -> ``(doc_id, size, source_size, target, taken)``.
 
     Every document gets a random key, the MD5 of the seed, its id and its text. Within a source, whole epochs are taken
     in full; the rest of the budget takes documents in key order until their words fill it, cutting the last one at the
     exact word. So a source takes the whole part of its target, and no document more than ``max_epochs`` times its size.
 
-    No source is ever in one task: keys fall into slices of the key space, as many as give about 20,000 rows each. Sums
-    by (source, slice) give each slice its offset, and prefix sums run inside a slice. Results do not depend on
-    partitioning, and reruns agree. Repeated rows (same id, text and key) take their places one after the other; what
-    they take together is fixed.
+    Texts are read once, for sizes and keys; what follows works on those. No source is ever in one task (``_cuts``), and
+    neither is a row that is repeated many times. Results do not depend on partitioning, and reruns agree; only which of
+    several repeated rows are at the cut may differ, what they take together is fixed.
 
     Cases: null and blank texts have size 0 and take 0; a null source is a source of its own, the last; null ids are
-    kept; if no document has words, all targets are 0; an empty table gives no rows. ``row`` is a struct of the columns
-    that ``keep`` names, so that no name of the table clashes.
+    kept; if no document has words, all targets are 0; an empty table gives no rows; other columns are not read.
     """
-    row = F.struct(*keep) if keep else F.lit(None).cast("boolean")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
-    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), key.alias("key"))
-    return _mixed(base, docs.count(), weights, max_epochs)
-
-
-def _mixed(base: DataFrame, rows: int, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
-    slices = partitions_for(rows, _ROWS_A_SLICE)
-    share = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    base = base.withColumn("slice", F.floor(share * F.lit(slices) / F.lit(2**32)).cast("int"))
-    sums = base.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
-    offset = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = sums.withColumn("offset", offset).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("slice").alias("at"), "offset", "source_size", "target")
-    joined = base.join(small(plan), F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-    inside = Window.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
-    rest = F.floor("target") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return joined.withColumn("taken", (whole * F.col("size") + part).cast("long"))
+    keyed = _keyed(docs.select("doc_id", "text", "source"), seed)
+    slim = materialize(keyed.select(F.col("row.doc_id").cast("long").alias("row"), "source", "size", "key"), "sizes")
+    return _taken(slim, _cuts(slim, weights, max_epochs)).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once for every epoch it is taken in.
 
     The document at a source's budget is cut after its last word taken; ``n_chars``, where the table has it, follows the
-    text. Documents without words take nothing from any budget and are kept once.
+    text. Documents without words take nothing from any budget and are kept once. Texts are read twice and do not shuffle.
     """
-    taken = mix(docs, weights, max_epochs, seed, keep=docs.columns)
+    keyed = _keyed(docs, seed)
+    taken = _taken(keyed, _cuts(materialize(keyed.select("source", "size", "key"), "sizes"), weights, max_epochs))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
@@ -101,7 +143,7 @@ def _first_words(text: Column, n: Column) -> Column:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by the weights 5, 2, 1, up to three epochs."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""

@@ -1,13 +1,15 @@
 """Edge cases of the training-data operators: hostile, very long, repeated, null and clashing input."""
 
+import collections
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.llm import chat, html_text, secrets
+from crowdsignal.llm import chat, html_text, mixing, packing, secrets
 
 EXTRA = "doc_id bigint, text string, source string, score string, n_shingles string, leaks string, size string, target string, bucket string, shard string"
 
@@ -109,3 +111,47 @@ def test_render_of_a_million_characters_of_one_piece(piece):
     began = time.time()
     html_text.render(piece * (1_000_000 // len(piece)))
     assert time.time() - began < 20
+
+
+# ---- 5 -------------------------------------------------------------------------------------------------------------
+
+
+def test_mix_of_repeated_rows_ties_and_null_ids(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 40))), f"s{i % 3}", "x", "y", "z") for i in range(90)]
+    rows += [(7, "one row that is most of a source " * 3, "s1", "x", "y", "z")] * 500 + [(None, "null id here", "s2", "x", "y", "z")] * 40
+    rows += [(None, None, None, "x", "y", "z"), (5, "tied words", None, "x", "y", "z"), (5, "tied words", None, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size string, target string, key string").repartition(7)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    sums, sizes = collections.defaultdict(int), collections.defaultdict(int)
+    for r in got:
+        sums[r.source_size, r.target] += r.taken
+        sizes[r.source_size] += r.size
+    assert all(n == int(t) for (_, t), n in sums.items()) and all(a == b for a, b in sizes.items())
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    want = sum(r.taken for r in got)
+    assert out.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == want
+    assert mixing.mixed_documents(df.where("false")).count() == 0
+
+
+# ---- 2 -------------------------------------------------------------------------------------------------------------
+
+
+def test_packing_spreads_repeated_rows_and_keeps_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_BYTES_A_SHARD", 4_000)
+    texts = ["the same row again and again"] * 2_000 + ["long words here " * 60_000, " lead", "trail ", "two  spaces\n next", "a\n b", "\n"]
+    df = frame(spark, texts, [None if i % 50 == 0 else i for i in range(len(texts))]).repartition(3)
+    rows = packing.pack(df).collect()
+    encoder = packing._encoder(packing.TOKENIZER).encoding
+    assert sum(r.n_tokens for r in rows) == sum(len(encoder.encode_ordinary(t)) + 1 for t in texts)
+    shards = collections.Counter(r.shard for r in rows for _ in r.doc_ids)
+    assert len(shards) > 100 and max(shards.values()) < 60
+    for i in range(2_000, len(texts)):
+        if i % 50:
+            segments = [(p, a, b, r) for r in rows for d, p, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:], strict=False) if d == i]
+            flat = np.concatenate([np.frombuffer(r.input_ids, "<u2")[a:b] for _, a, b, r in sorted(segments, key=lambda x: x[0])])
+            assert encoder.decode(flat[:-1].tolist()) == texts[i]
