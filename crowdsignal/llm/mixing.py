@@ -10,7 +10,7 @@ from .common import WORD, materialize, small, table
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-_ROWS_A_SLICE = 20_000
+_ROWS_A_SLICE = 2_000
 
 
 def n_words(text: Column) -> Column:
