@@ -19,11 +19,9 @@ BANDS, ROWS = 32, 5
 #: A pair is ruled out where its signatures' estimate is so far below the threshold: with 160 minima the estimate for a
 #: pair at 0.8 has a standard deviation of 0.032, so this is five of them (one such pair in three million).
 SLACK = 0.16
-#: What is left after the pivots is compared by 1,024 bytes, with a deviation of 0.0125; again five of them.
-FINE, FINE_SLACK = 1024, 0.0625
-#: Rows of a side that meet in one group.
-BLOCK_ROWS = 1024
-_BLOCK = 2048
+#: Rows of a side that meet in one group; members of a bucket that stay together in a join.
+BLOCK_ROWS, PART_ROWS = 1024, 1000
+_BLOCK, _PAIRS = 1024, 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,19 +46,22 @@ def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
 
 @lru_cache(4)
 def _family(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and increments of ``size`` multiply-shift hash functions."""
+    """Multipliers (odd) and increments of ``size`` universal hash functions of 32 bits."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    a, b = rng.integers(0, 2**63, (2, size, 1), dtype=np.uint64)
-    return a * np.uint64(2) + np.uint64(1), b
+    a, b = rng.integers(0, 2**32, (2, size, 1), dtype=np.uint32)
+    return a | np.uint32(1), b
 
 
 def minima(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """The minima of ``size`` universal hashes (upper 32 bits of a*x+b) over a set, in blocks of bounded memory."""
+    """The minima of ``size`` universal hashes a*x+b (mod 2^32) over a set's mixed hashes, in blocks of bounded memory."""
     a, b = _family(size, seed)
-    low = np.full(size, 2**32 - 1, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), _BLOCK):
-            low = np.minimum(low, ((a * hashes[at : at + _BLOCK] + b).min(axis=1) >> np.uint64(32)).astype(np.uint32))
+    low, x = np.full(size, 2**32 - 1, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    space = np.empty((size, min(_BLOCK, len(x))), np.uint32)
+    for at in range(0, len(x), _BLOCK):
+        part = x[at : at + _BLOCK]
+        values = np.multiply(a, part, out=space[:, : len(part)])
+        np.add(values, b, out=values)
+        np.minimum(low, values.min(axis=1), out=low)
     return low
 
 
@@ -88,8 +89,19 @@ def _keys_of(bands: int, rows: int) -> list:
 
 
 def _band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(class, band): one row per class and band."""
-    return classes.select("class", F.explode(F.array(*_keys_of(bands, rows))).alias("band"))
+    """(class, number, band): one row per class and band, with the band's number and the key of its minima."""
+    return classes.select("class", F.posexplode(F.array(*_keys_of(bands, rows))).alias("number", "band"))
+
+
+def _by_bucket(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``members(band, class, n, ...)`` joined with one row of facts for each band, without gathering a large bucket.
+
+    ``n`` is the number of a bucket's members, in both. A bucket is dealt out by class in parts of about ``PART_ROWS``
+    rows, and its facts are repeated for each part.
+    """
+    parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
+    one = facts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return members.withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int")).join(one, ["band", "part"]).drop("part")
 
 
 def _confirmed(pairs: DataFrame, sides: DataFrame, n_words: int, percent: int, slack: float = SLACK) -> DataFrame:
@@ -140,7 +152,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     """Group documents whose word-shingle sets overlap by ``percent`` or more -> ``(doc_id, n_shingles, component_id, kept)``.
 
     1. One pass over the texts gives each document its shingle count, a 128-bit key of its shingle set, and its minima.
-       Documents with one set form a class, named by a 64-bit hash of the key; copies cost nothing beyond this point.
+       Documents with one set form a class, which gets a number; copies cost nothing beyond this point.
     2. Classes meet in buckets by band. A bucket never makes all its pairs. First every class is tried with one other,
        the one of its buckets' pivots that shares most rows with others, as a family's original does. Then, where a
        bucket is in several components, members outside its main component are tried with one member of that.
@@ -148,7 +160,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
        outside the bucket's main component are tried with all members of other components that a bound allows. The
        bound: shingles that no other class of these buckets has cannot be shared, so what is left of the smaller side
        must reach the intersection that the two sizes ask for. In a family of copies edited independently it excludes
-       nearly all pairs where edits differ; finer signatures, compared in blocks of a bucket, exclude most of the others.
+       nearly all pairs where edits differ; the signatures, compared in blocks of a bucket, exclude most of the others.
        Pairs within one component cannot change the result.
     4. Alternating large-star and small-star gives the components.
 
@@ -186,17 +198,17 @@ def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     base = docs.select(*row_key(F.col(id_col), text), text.alias("text"))
     # ids travel through pandas as text: it has no null among 64-bit integers
     signed = signatures(base.withColumn("doc_id", F.col("doc_id").cast("string")), "text", n_words, bands, rows, seed).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = materialize(signed.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("set_key"))), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.first("class").alias("class"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
-    classes = materialize(classes.drop("set_key"), "classes")
+    signed = materialize(signed, "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     buckets = _band_keys(classes, bands, rows)
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(buckets.join(shared, "band").select("band", "class", "n"), "buckets")
+    members = materialize(buckets.join(shared, "band").select("band", "number", "class", "n"), "buckets")
     popular = members.groupBy("class").agg(F.sum("n").alias("weight"))
-    pivots = members.join(popular, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("pivot"))
-    best = members.join(pivots, "band").where("class <> pivot.class").groupBy("class").agg(F.max("pivot")["class"].alias("pivot"))
-    at = classes.join(members.select("class").distinct(), "class", "left_semi").drop("first_id", "best")
+    pivots = members.join(popular, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("pivot"), F.max("n").alias("n"))
+    best = _by_bucket(members, pivots).where("class <> pivot.class").groupBy("class").agg(F.max("pivot")["class"].alias("pivot"))
+    at = classes.join(members.select("class").distinct(), "class", "left_semi").drop("first_id", "best", "set_key")
     found = at.join(base, F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key")))
     sides = materialize(found.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n_shingles", "minima", "text"))), "sides")
 
@@ -206,10 +218,10 @@ def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
 
     def still_apart(component: DataFrame) -> DataFrame:
         """Members of buckets in several components, with the bucket's main component and one member of it."""
-        now = members.join(component.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("component"))
-        sizes = now.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("class", F.xxhash64("class", "band")).alias("pivot"))
-        apart = sizes.groupBy("band").agg(F.max(F.struct("n", "component", "pivot")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        return materialize(now.join(apart, "band").select("band", "class", "component", F.col("main.component").alias("main"), F.col("main.pivot").alias("pivot")), "apart")
+        now = members.join(component.withColumnRenamed("node", "class"), "class", "left").select("band", "number", "class", "n", F.coalesce("component", "class").alias("component"))
+        sizes = now.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by("class", F.xxhash64("class", "band")).alias("pivot"), F.max("n").alias("n"))
+        apart = sizes.groupBy("band").agg(F.max(F.struct("size", "component", "pivot")).alias("main"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
+        return materialize(_by_bucket(now, apart).select("band", "number", "class", "n", "component", F.col("main.component").alias("main"), F.col("main.pivot").alias("pivot")), "apart")
 
     links = confirmed(best)
     component = connected_components(links)
@@ -219,71 +231,58 @@ def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
         component = connected_components(links)
         apart = still_apart(component)
     if not apart.isEmpty():
-        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows, seed))
+        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows))
         if not more.isEmpty():
             component = connected_components(links.union(more))
     return signed, classes, component
 
 
-def _fine(sides: DataFrame, n_words: int, seed: int) -> DataFrame:
-    """(class, fine): the lowest bytes of many more minima, a signature of one kilobyte for a text of any length."""
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            marks = [minima(shingle_hashes(t, n_words), FINE, seed + 1).astype(np.uint8).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"class": pdf["class"], "fine": marks})
-
-    return sides.select("class", "text").mapInPandas(sign, "class long, fine binary")
-
-
-def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """Pairs (class, pivot) of different components within a bucket that the bound and the fine signatures allow.
+def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (class, pivot) of different components within a bucket that the bound and the signatures allow.
 
     A bucket's members outside its main component meet all its members in blocks of bounded size, so that neither a
     large bucket nor its pairs are ever in one place; a pair is given only by the first bucket that its classes share.
     """
     involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
-    bound = involved.select("class", "n_shingles", F.array(*_keys_of(bands, rows)).alias("bands")).join(_lonely(involved, n_words), "class", "left")
-    bound = bound.select("class", "n_shingles", "bands", (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shareable"))
-    bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent).join(_fine(involved, n_words, seed), "class")
-    able = materialize(apart.select("band", "class", "component").join(bound, "class"), "able")
-    sizes = able.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
-    parts = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
-    facts = main.select("band", F.col("main.component").alias("main"), parts(F.col("all") - F.col("main.n")).alias("n_few"), parts(F.col("all")).alias("n_all"))
-    rows_of = able.join(facts, "band")
-    spot = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    bound = involved.select("class", "n_shingles", "minima").join(_lonely(involved, n_words), "class", "left")
+    bound = bound.withColumn("shareable", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely")
+    bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent)
+    able = materialize(apart.select("band", "number", "class", "n", "component").join(bound, "class"), "able")
+    sizes = able.groupBy("band", "component").agg(F.count("*").alias("size"), F.max("n").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
+    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
+    facts = main.select("band", "n", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.size")).alias("n_few"), blocks(F.col("all")).alias("n_all"))
+    rows_of = _by_bucket(able, facts)
+    spot = lambda n: F.pmod(F.xxhash64("class", F.lit("block")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows_of.where("component <> main").withColumn("i", spot("n_few")).withColumn("j", every("n_all")).withColumn("few", F.lit(True))
     two = rows_of.withColumn("j", spot("n_all")).withColumn("i", every("n_few")).withColumn("few", F.lit(False))
-    columns = ["band", "i", "j", "few", "class", "component", "n_shingles", "shareable", "bands", "fine"]
-    least = FINE * (percent / 100 - FINE_SLACK + (1 - percent / 100 + FINE_SLACK) / 256)
+    columns = ["band", "i", "j", "few", "number", "class", "component", "n_shingles", "shareable", "minima"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        few, every = pdf[pdf["few"]], pdf[~pdf["few"]]
-        marks = np.frombuffer(b"".join(every["fine"]), np.uint8).reshape(len(every), FINE)
-        comp, n, able_n, names = (every[c].to_numpy() for c in ("component", "n_shingles", "shareable", "class"))
-        keys = np.array(every["bands"].tolist(), np.int64).reshape(len(every), -1)
-        out: list[tuple[int, int]] = []
-        for x in few.itertuples():
-            near = np.count_nonzero(marks == np.frombuffer(x.fine, np.uint8), axis=1) >= least
-            near &= (comp != x.component) & (np.minimum(able_n, x.shareable) * (100 + percent) >= (n + x.n_shingles) * percent)
-            for k in np.flatnonzero(near):
-                shared = np.flatnonzero(keys[k] == np.asarray(x.bands))
-                if len(shared) and keys[k][shared[0]] == x.band:
-                    out.append((x[columns_at], names[k]))
-        return pd.DataFrame(out, columns=["class", "pivot"]).astype("int64")
-
-    columns_at = columns.index("class") + 1
+        number, few, found = int(pdf["number"].iloc[0]), pdf["few"].to_numpy(), [np.zeros((0, 2), np.int64)]
+        comp, n, able_n, names = (pdf[c].to_numpy() for c in ("component", "n_shingles", "shareable", "class"))
+        marks, left, right = np.array(pdf["minima"].tolist(), np.int32), np.flatnonzero(few), np.flatnonzero(~few)
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64, None]
+            near = (comp[x] != comp[right]) & (np.minimum(able_n[x], able_n[right]) * (100 + percent) >= (n[x] + n[right]) * percent)
+            i, j = np.nonzero(near)
+            for low in range(0, len(i), _PAIRS):
+                a, b = left[at + i[low : low + _PAIRS]], right[j[low : low + _PAIRS]]
+                same = marks[a] == marks[b]
+                ok = (same.mean(axis=1) >= percent / 100 - SLACK) & (same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == number)
+                found.append(np.stack([names[a[ok]], names[b[ok]]], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["class", "pivot"])
+
     return one.select(columns).union(two.select(columns)).groupBy("band", "i", "j").applyInPandas(meet, "class long, pivot long")
 
 
 def _assemble(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
     """The smallest doc_id of each component, for every row; rows without shingles are their own component."""
-    reach = classes.join(component.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "first_id")
+    reach = classes.join(component.withColumnRenamed("node", "class"), "class", "left").select("set_key", F.coalesce("component", "class").alias("component"), "first_id")
     smallest = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = reach.join(smallest, "component").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(known, "class", "left")
+    known = reach.join(smallest, "component").select("set_key", "component_id")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
