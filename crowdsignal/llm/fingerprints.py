@@ -9,29 +9,34 @@ from .common import materialize, small, table
 
 #: Samples in a fingerprint (a likeness is off by 0.0625 at 0.5, as a standard error), and the hexadecimal digits of each.
 SAMPLES, DIGITS = 64, 6
-_ROWS_A_BUCKET = 250
+_ROWS_A_BUCKET, _BLOCK = 250, 8
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
-def sample_keys(term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
-    """For each sample a whole number whose minimum over a document's terms is the sample (Ioffe 2010).
+def sample_keys(term: Column, numbers: list[Column], log_weights: list[Column]) -> list[list[Column]]:
+    """For each sample's number and each weight a whole number whose minimum over a document's terms is the sample (Ioffe 2010).
 
-    r and c are Gamma(2, 1), minus the logarithm of a product of two uniform numbers, and b is uniform, all cut from two
-    hashes of the term and the sample's number. With t = floor(ln w / r + b), the term of the least
+    r and c are Gamma(2, 1), minus the logarithm of a product of two uniform numbers, and b is uniform, all cut from a hash
+    of the term and the sample's number (and that hash's own hash). With t = floor(ln w / r + b), the term of the least
     ln a = ln c - r (t - b + 1) is chosen, and two documents choose the same (term, t) with the probability of their
-    generalised Jaccard similarity. The upper bits of a key are ln a, the lowest 24 a hash of the term and t.
+    generalised Jaccard similarity. The upper bits of a key are ln a, the lowest 24 a hash of the term and t. A null
+    weight gives a null key. What depends on the term alone is computed once for all weights.
     """
-    unit = lambda h, at: (F.shiftright(h, at).bitwiseAND(0x1FFFFF) + 1) / F.lit(2097154.0)
+    unit = lambda h, at, bits: (F.shiftright(h, at).bitwiseAND((1 << bits) - 1) + 0.5) * F.lit(0.5**bits)
     keys = []
-    for k in range(samples):
-        h, g = F.xxhash64(term, F.lit(k)), F.xxhash64(term, F.lit(k + samples))
-        r = -F.log(unit(h, 0) * unit(h, 21))
-        log_c = F.log(-F.log(unit(g, 0) * unit(g, 21)))
-        b = F.shiftright(h, 42).bitwiseAND(0x1FFFFF) / F.lit(2097152.0)
-        t = F.floor(log_weight / r + b)
-        log_a = log_c - r * (t - b + 1)
-        name = F.shiftrightunsigned(g, 40).bitwiseXOR((t * 0x9E3779).bitwiseAND(0xFFFFFF))
-        keys.append(F.shiftleft(((log_a + 64) * F.lit(float(1 << 30))).cast("long"), 24).bitwiseOR(name))
+    for number in numbers:
+        h = F.xxhash64(term, number)
+        g = F.hash(h)
+        r = -F.log(unit(h, 0, 21) * unit(h, 21, 21))
+        log_c = F.log(-F.log(unit(g, 0, 16) * unit(g, 16, 16)))
+        b = unit(h, 42, 21)
+        name = F.shiftrightunsigned(h, 40)
+        own = []
+        for log_weight in log_weights:
+            t = F.floor(log_weight / r + b)
+            log_a = log_c - r * (t - b + 1)
+            own.append(F.shiftleft(((log_a + 64) * F.lit(float(1 << 30))).cast("long"), 24).bitwiseOR(name.bitwiseXOR((t * 0x9E3779).bitwiseAND(0xFFFFFF))))
+        keys.append(own)
     return keys
 
 
@@ -121,22 +126,27 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     digest = F.sha2("edited", 256)
     quarters = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10) for i in range(4)]
     facts = [F.concat(F.lit(f" {i}"), v) for i, v in enumerate([F.col("doc_id").cast("string"), F.length("text").cast("string"), *quarters])]  # no word holds a space
-    both = F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t"), F.array(*facts).alias("facts")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"), F.array(F.lit(" 9")).alias("facts")))
-    each = rows.select("bucket", "place", F.explode(both).alias("v")).select("bucket", (F.col("place") * 2 + F.col("v.variant")).alias("slot"), "v.t", "v.facts")
-    spread = each.select("bucket", "slot", F.explode(F.concat(F.split(F.lower("t"), _WHITE), "facts")).alias("term")).where("term <> ''")
+    both = F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t"), F.array(*facts).alias("facts")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"), F.array().cast("array<string>").alias("facts")))
+    each = rows.select("bucket", "place", F.explode(both).alias("v")).select("bucket", "place", "v.variant", "v.t", "v.facts")
+    spread = each.select("bucket", "place", "variant", F.explode(F.concat(F.split(F.lower("t"), _WHITE), "facts")).alias("term")).where("term <> ''")
     is_fact = F.startswith("term", F.lit(" "))
     fact = F.when(is_fact, F.substring("term", 2, 1).cast("int")).otherwise(-1)
     value = F.when(is_fact, F.expr("try_cast(substring(term, 3) as bigint)")).otherwise(F.xxhash64("term"))
-    counts = spread.select("bucket", "slot", fact.alias("fact"), value.alias("value")).groupBy("bucket", "slot", "fact", "value").agg(F.count("*").alias("weight"))
-    counts = counts.withColumn("log_weight", F.log(F.col("weight").cast("double")))
-    minima = [F.min(F.when(F.col("fact") < 0, c)).alias(f"s{k}") for k, c in enumerate(sample_keys(F.col("value"), F.col("log_weight"), samples))]
+    counts = spread.select("bucket", "place", "variant", fact.alias("fact"), value.alias("value")).groupBy("bucket", "place", "fact", "value").agg(F.count_if(F.col("variant") == 0).alias("w0"), F.count_if(F.col("variant") == 1).alias("w1"))
+    logs = [F.log(F.when((F.col("fact") < 0) & (F.col(w) > 0), F.col(w)).cast("double")).alias(f"l{w}") for w in ("w0", "w1")]  # null for a fact or an absent word
+    # eight samples at a time: an expression for all of them would be too long to be compiled to machine code
+    blocks = -(-samples // _BLOCK)
+    per_block = counts.select("bucket", "place", "fact", "value", *logs, F.explode(F.sequence(F.lit(0), F.when(F.col("fact").isin(-1, 1), blocks - 1).otherwise(0))).alias("block"))
+    keys = sample_keys(F.col("value"), [F.col("block") * _BLOCK + i for i in range(_BLOCK)], [F.col("lw0"), F.col("lw1")])
+    minima = [F.min(key).alias(f"s{v}_{i}") for i, own in enumerate(keys) for v, key in enumerate(own)]
     known = [F.max(F.when(F.col("fact") == i, F.col("value"))).alias(f"f{i}") for i in range(6)]
-    least = counts.groupBy("bucket", "slot").agg(*minima, *known)
-    sha = F.when(F.col("f2").isNotNull(), F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(2, 6)))))
-    mark = F.concat(*(_digits(F.coalesce(f"s{k}", F.lit(0))) for k in range(samples)))
-    marks = least.select("bucket", F.shiftright("slot", 1).alias("place"), (F.col("slot") % 2 == 0).alias("own"), F.col("f0").alias("doc_id"), F.col("f1").alias("n_chars"), sha.alias("sha"), mark.alias("mark"))
-    own = F.col("own")
-    done = marks.groupBy("bucket", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(own, F.col("mark"))).alias("fingerprint"), F.max(F.when(~own, F.col("mark"))).alias("edited_fingerprint"))
+    least = per_block.groupBy("bucket", "place", "block").agg(*minima, *known)
+    mark = lambda v: F.concat(*(_digits(F.coalesce(f"s{v}_{i}", F.lit(0))) for i in range(_BLOCK))).alias(f"m{v}")
+    parts = least.select("bucket", "place", F.struct("block", mark(0), mark(1)).alias("part"), *[f"f{i}" for i in range(6)])
+    whole = parts.groupBy("bucket", "place").agg(F.array_sort(F.collect_list("part")).alias("parts"), *[F.max(f"f{i}").alias(f"f{i}") for i in range(6)])
+    sha = F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(2, 6))))
+    joined = lambda v: F.substring(F.array_join(F.transform("parts", lambda p: p[f"m{v}"]), ""), 1, samples * DIGITS)
+    done = whole.select("bucket", "place", F.col("f0").alias("doc_id"), F.col("f1").alias("n_chars"), sha.alias("edited_sha256"), joined(0).alias("fingerprint"), joined(1).alias("edited_fingerprint"))
     done = materialize(done, "fingerprints")
 
     order = Window.partitionBy("bucket").orderBy("place")
