@@ -13,6 +13,7 @@ RULES = {
     "bearish": [r"\b(?:dump|dumping|dumped)\b", r"\b(?:rug|rugpull)\b"],
     "greed": [r"\b\d{2,4}x\b"],
 }
+# Weights of the lexicon's categories, and the label's threshold.
 COEFFICIENTS = {"bullish": 1.0, "greed": 0.5, "bearish": -1.2, "fear": -1.5}
 LABEL_AT = 0.2
 
@@ -33,6 +34,7 @@ CONTEXT_TERMS = {
     "bullish": ["bullish", "moon", "pump", "buy", "long", "breakout", "🚀", "📈"],
     "bearish": ["bearish", "dump", "sell", "short", "crash", "drop", "📉"],
 }
+# Terms of the manipulation flag.
 PUMP_TERMS = ["pump", "guaranteed", "100x", "1000x", "insider", "secret"]
 
 # Reliabilities and time rules by source, in seconds.
@@ -63,7 +65,7 @@ ASSETS = [
     ("USDC", "USD Coin", ["usdc", "usd coin"], 4),
 ]
 
-# Velocity profiles: short and long window in seconds, divisor of the long count, whether the lower end is open,
+# Velocity profiles: short and long window in seconds, divisor of the long count, whether the lower end is open,
 # digits (None: as is), and the value where the long rate is 0.
 VELOCITY = {
     "crawl_tw": {"short": 60, "long": 3600, "open": False, "digits": None, "default": 1.0},
@@ -71,5 +73,5 @@ VELOCITY = {
     "ing_rd": {"short": 300, "long": 1800, "open": True, "digits": 2, "default": 0.0},
     "ing_tg": {"short": 60, "long": 300, "open": True, "digits": 2, "default": 0.0},
 }
-#: As-of velocity: short and long window in seconds; the long count is divided by long / short.
+# As-of velocity: short and long window in seconds; the long count is divided by long / short.
 VELOCITY_ASOF = {"crawl_rd": (6 * 3600, 48 * 3600), "crawl_tg": (600, 3600)}

@@ -33,15 +33,31 @@ def normalize(df: DataFrame, platform: str) -> DataFrame:
 
 
 def as_output(df: DataFrame, kind: str) -> DataFrame:
-    """Adds ``output``, the product's nested shape as JSON: sentiment, risk or quality."""
+    """Adds ``output``, the product's nested shape as JSON: sentiment, risk, quality or context."""
     shapes = {
         "sentiment": ["bullish_count", "bearish_count", "fear_count", "greed_count", "score", "label", "confidence"],
         "risk": ["social_overheat", "panic_risk", "fomo_risk", "fear_greed_zone", "sentiment_reliability"],
         "quality": ["overall", "time_integrity", "volume", "source_balance", "anomaly_frequency"],
     }
+    if kind == "context":
+        mood = F.struct("label", "confidence").alias("sentiment")
+        risk = F.struct("sentiment_reliability", "fear_greed_index", "fear_greed_zone", "social_overheat", "panic_risk", "fomo_risk").alias("risk_indicators")
+        data = F.struct("overall", "availability", "time_integrity", "volume", "source_balance", "anomaly_frequency").alias("data_quality")
+        whole = F.struct("asset", F.struct("since", "until").alias("window"), F.struct(mood, risk, data, F.col("records").alias("record_count")).alias("social_context"))
+        return df.withColumn("output", F.to_json(whole, {"ignoreNullFields": "false"}))
     return df.withColumn("output", F.to_json(F.struct(F.struct(*shapes[kind]).alias(kind))))
 
 
+def normalize_scraped(df: DataFrame, asset: str = "BTC") -> DataFrame:
+    """One row per scraped tweet with an id, in order of time: the normalised record and ``metadata`` of what was scraped."""
+    c = F.col
+    rows = df.where(c("message_id").isNotNull() & (c("message_id") != ""))
+    engagement = C.engagement_log(c("likes"), c("reposts"), c("replies"))
+    metadata = F.struct(c("message_id").alias("tweet_id"), c("username"), c("likes").alias("like_count"), c("reposts").alias("retweet_count"), c("replies").alias("reply_count"), (c("likes") + c("reposts") + c("replies")).alias("total_engagement"), c("is_retweet"))
+    record = [F.lit("twitter").alias("source"), F.lit(asset).alias("asset"), C.format_ts(c("posted_at")).alias("timestamp"), c("text"), engagement.alias("engagement_weight"), C.author_log(c("followers")).alias("author_weight"), c("velocity"), C.reliability(F.lit("twitter")).alias("source_reliability"), C.fingerprint("scrape", message_id=c("message_id"), text=c("text")).alias("fingerprint"), metadata.alias("metadata")]
+    return rows.orderBy(c("posted_at").asc_nulls_first(), "message_id").select(*record)
+
+
 def validate_crawled_tweet(df: DataFrame) -> DataFrame:
     c = F.col
     return df.withColumn("drop_reason", first_reason((blank(c("text")), "missing_text"), (c("is_retweet") & blank(c("original_text")), "retweet_without_original"), (c("is_protected"), "protected"), (c("is_promoted"), "promoted"), (F.coalesce(c("account_created"), c("author_created")).isNull(), "missing_account_age")))

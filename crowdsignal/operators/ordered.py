@@ -18,25 +18,46 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import profiles as P
 
+#: Parts in which a key's rows are looked through for its first ones.
+_SALTS = 64
 
-def time_guard(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s", order: tuple[str, ...] = ("arrival_s", "event_id", "replay"), fingerprint: str = "fingerprint") -> DataFrame:
+
+def sliced(df: DataFrame, ts: str, width: int, slices: int = 8) -> DataFrame:
+    """``df`` with ``_slice``, so that a window of the last ``width`` units can be taken within (key, slice).
+
+    A slice is ``slices`` widths long; rows of its last width are in the next one too, marked ``_ghost``, to be left out
+    of the result. A key with any share of the rows is thus spread over time. Rows without a time are a slice of their own.
+    """
+    own = F.floor(F.col(ts) / (width * slices))
+    after = F.floor((F.col(ts) + width) / (width * slices))
+    spans = F.when(own.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(own, after))
+    return df.withColumn("_slice", F.explode(spans)).withColumn("_ghost", F.coalesce(F.col("_slice") != own, F.lit(False)))
+
+
+def time_guard(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s", order: tuple[str, ...] = ("arrival_s", "event_id", "replay"), fingerprint: str = "fingerprint", slice_s: int = 3600) -> DataFrame:
     """Adds ``guard_reason``: the first of invalid_timestamp, unknown_source, future, late, out_of_order, duplicate; null if accepted.
 
-    Out of order: below the largest earlier event time of the source and asset, less the tolerance. That maximum only
-    moves on rows past the future and late tests (a row dropped later cannot raise it), so it is a plain running window.
-    Duplicate: the fingerprint was accepted earlier; its window is longer than the largest delay, so any repeat that
-    passes the late test falls inside it and keep-first is exact.
+    Sources are named in any case. Out of order: below the largest earlier event time of the source and asset, less the
+    tolerance. That maximum only moves on rows past the future and late tests (a row dropped later cannot raise it), so it
+    is a running maximum: within slices of ``slice_s`` of arrival, on top of the earlier slices' maxima, so that a source
+    is never in one task (``order`` begins with the arrival). Duplicate: the fingerprint was accepted earlier; its window
+    is longer than the largest delay, so any repeat that passes the late test falls inside it and keep-first is exact.
     """
-    known = F.col("source").isin(*P.MAX_DELAY)
+    source = F.lower("source")
+    known = source.isin(*P.MAX_DELAY)
     lag = F.col(arrival) - F.col(event)
-    early = F.when(F.col(event).isNull() | F.col(arrival).isNull(), "invalid_timestamp").when(F.col("source").isNull() | ~known, "unknown_source").when(lag < 0, "future").when(lag > C.by_source(F.col("source"), P.MAX_DELAY), "late")
-    out = df.withColumn("_early", early)
-    before = Window.partitionBy("source", "asset").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.when(F.col("_early").isNull(), F.col(event))).over(before)
-    ordered = F.when(F.col("_early").isNull() & (F.col(event) < seen - C.by_source(F.col("source"), P.ORDER_TOLERANCE)), "out_of_order")
+    early = F.when(F.col(event).isNull() | F.col(arrival).isNull(), "invalid_timestamp").when(source.isNull() | ~known, "unknown_source").when(lag < 0, "future").when(lag > C.by_source(source, P.MAX_DELAY), "late")
+    keys = {"_source": F.coalesce(source, F.lit("")), "_asset": F.coalesce("asset", F.lit("")), "_part": F.coalesce(F.floor(F.col(arrival) / slice_s), F.lit(-1))}
+    out = df.withColumn("_early", early).withColumns(keys)
+    valid = F.max(F.when(F.col("_early").isNull(), F.col(event)))
+    parts = out.groupBy(*keys).agg(valid.alias("_most"))
+    earlier = Window.partitionBy("_source", "_asset").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.join(parts.select(*keys, F.max("_most").over(earlier).alias("_carried")), list(keys))
+    seen = F.greatest("_carried", valid.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    ordered = F.when(F.col("_early").isNull() & (F.col(event) < seen - C.by_source(source, P.ORDER_TOLERANCE)), "out_of_order")
     out = out.withColumn("_early", F.coalesce("_early", ordered))
     first = F.row_number().over(Window.partitionBy(fingerprint, F.col("_early").isNull()).orderBy(*order))
-    return out.withColumn("guard_reason", F.coalesce("_early", F.when(first > 1, "duplicate"))).drop("_early")
+    return out.withColumn("guard_reason", F.coalesce("_early", F.when(first > 1, "duplicate"))).select(*df.columns, "guard_reason")
 
 
 def time_check(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s", future: int = 5, delay: int = 300) -> DataFrame:
@@ -49,16 +70,27 @@ def velocity(df: DataFrame, profile: str = "ing_tw", by: tuple[str, ...] = ("sou
     """Adds ``velocity``: the short window's rate over the long one's, counting a row and those before it.
 
     Rows with one time are counted in ``order``: peers that come later are taken off the range frame's count. ``exact``
-    leaves out the profile's rounding.
+    leaves out the profile's rounding. Windows are taken within slices of time, so no key is in one task.
     """
     p = P.VELOCITY[profile]
     edge = 1 if p["open"] else 0
-    peers = Window.partitionBy(*by, ts)
+    rows = sliced(df, ts, p["long"])
+    peers = Window.partitionBy(*by, "_slice", ts)
     later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(*order))
-    over = lambda s: F.count("*").over(Window.partitionBy(*by).orderBy(ts).rangeBetween(-(s - edge), 0)) - later
+    over = lambda s: F.count("*").over(Window.partitionBy(*by, "_slice").orderBy(ts).rangeBetween(-(s - edge), 0)) - later
     short, long = over(p["short"]) / F.lit(float(p["short"])), over(p["long"]) / F.lit(float(p["long"]))
     ratio = F.when(long > 0, short / long).otherwise(p["default"])
-    return df.withColumn("velocity", ratio if exact or p["digits"] is None else F.round(ratio, p["digits"]))
+    out = rows.withColumn("velocity", ratio if exact or p["digits"] is None else F.round(ratio, p["digits"]))
+    return out.where(~F.col("_ghost")).drop("_slice", "_ghost")
+
+
+def recent_count(df: DataFrame, by: tuple[str, ...], seconds: int, ts: str = "event_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Adds ``recent``: the key's rows of the last ``seconds`` (both ends included) up to this one, itself among them."""
+    rows = sliced(df, ts, seconds)
+    peers = Window.partitionBy(*by, "_slice", ts)
+    later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(*order))
+    n = F.count("*").over(Window.partitionBy(*by, "_slice").orderBy(ts).rangeBetween(-seconds, 0)) - later
+    return rows.withColumn("recent", n).where(~F.col("_ghost")).drop("_slice", "_ghost")
 
 
 def velocity_asof(df: DataFrame, as_of: int, profile: str = "crawl_tg", by: tuple[str, ...] = ("channel",), ts: str = "event_s") -> DataFrame:
@@ -73,23 +105,35 @@ def flag_repeats(df: DataFrame, profile: str = "engine", times: int = 3, key: Co
     """Adds ``repeated``: the third or later use of a phrase in a channel, ever (``engine``) or within a trailing window (``crawl``)."""
     if profile == "engine":
         phrase = F.substring(F.lower(F.trim("text")), 1, 100) if key is None else key
-        n = F.row_number().over(Window.partitionBy("channel", phrase).orderBy(*order))
-    else:
-        phrase = C.fingerprint("phrase_a", text=F.col("text")) if key is None else key
-        n = F.count("*").over(Window.partitionBy("channel", phrase).orderBy(ts).rangeBetween(-window, 0))
-    return df.withColumn("repeated", n >= times)
+        rows = df.withColumns({"_phrase": F.coalesce(phrase, F.lit("\0")), "_place": F.coalesce("channel", F.lit("\0")), "_at": F.struct(*order)})
+        own = ["_place", "_phrase"]
+        best = lambda d, by: d.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_at"))).where(F.col("_n") <= times)
+        few = best(rows.select(*own, "_at").withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(_SALTS))), [*own, "_salt"])
+        nth = best(few.drop("_salt", "_n"), own).where(F.col("_n") == times).select(*own, F.col("_at").alias("_nth"))
+        return rows.join(nth, own, "left").withColumn("repeated", F.coalesce(F.col("_at") >= F.col("_nth"), F.lit(False))).select(*[c for c in df.columns if c != "repeated"], "repeated")
+    phrase = C.fingerprint("phrase_a", text=F.col("text")) if key is None else key
+    rows = sliced(df.withColumn("_phrase", phrase), ts, window)
+    n = F.count("*").over(Window.partitionBy("channel", "_phrase", "_slice").orderBy(ts).rangeBetween(-window, 0))
+    return rows.withColumn("repeated", n >= times).where(~F.col("_ghost")).drop("_phrase", "_slice", "_ghost")
 
 
 def flag_coordinated(df: DataFrame, chats: int = 3, window: int = 300, ts: str = "event_s") -> DataFrame:
     """Adds ``coordinated``: the phrase was used in three chats within the last five minutes, the start excluded.
 
-    The window keeps the set of chats, not of rows; a phrase's rows are first reduced to one per chat and second, so a
-    phrase that a third of all rows use costs no more than its chats.
+    A phrase's rows are first reduced to one per chat and second, and its seconds are spread over slices of time, so that
+    a phrase that a third of all rows use is in many tasks. Within a slice every (second, chat) counts for the seconds of
+    its window; no list of chats is gathered.
     """
     keyed = df.withColumn("phrase", C.fingerprint("phrase_b", text=F.col("text")))
-    once = keyed.groupBy("phrase", ts).agg(F.collect_set("channel").alias("now"))
-    recent = F.collect_list("now").over(Window.partitionBy("phrase").orderBy(ts).rangeBetween(-(window - 1), 0))
-    spread = once.select("phrase", ts, (F.size(F.array_distinct(F.flatten(recent))) >= chats).alias("coordinated"))
+    once = keyed.where(F.col(ts).isNotNull() & F.col("channel").isNotNull()).select("phrase", F.col(ts).alias("_t"), "channel").distinct()
+    rows = sliced(once, "_t", window)
+    last = Window.partitionBy("phrase", "_slice", "channel").orderBy("_t")
+    # a chat is within the window from a use of it to the window's end or its next use, whichever is first
+    until = F.least(F.col("_t") + window, F.coalesce(F.lead("_t").over(last), F.col("_t") + window))
+    steps = rows.withColumn("_until", until).withColumn("_step", F.explode(F.array(F.struct(F.col("_t").alias("at"), F.lit(1).alias("by")), F.struct(F.col("_until").alias("at"), F.lit(-1).alias("by")))))
+    change = steps.groupBy("phrase", "_slice", F.col("_step.at").alias(ts)).agg(F.sum("_step.by").alias("_by"))
+    active = change.withColumn("_n", F.sum("_by").over(Window.partitionBy("phrase", "_slice").orderBy(ts)))
+    spread = active.where((F.col("_slice") == F.floor(F.col(ts) / (window * 8))) & (F.col("_n") >= chats)).select("phrase", ts, F.lit(True).alias("coordinated"))
     return keyed.join(spread, ["phrase", ts], "left").withColumn("coordinated", F.coalesce("coordinated", F.lit(False)))
 
 
@@ -159,6 +203,13 @@ def suppress_alerts(df: DataFrame, by: tuple[str, ...] = ("alert_key",), quiet:
     return admit(df, by, 1, quiet, ts, order).withColumnRenamed("admitted", "sent")
 
 
+def alert_stats(sent: DataFrame, as_of: int, by: tuple[str, ...] = ("alert_key",), quiet: int = 600, ts: str = "arrival_s") -> DataFrame:
+    """Per key of ``suppress_alerts``: alerts sent and suppressed, the last one sent, and seconds until the next may be."""
+    last = F.max(F.when(F.col("sent"), F.col(ts)))
+    out = sent.groupBy(*by).agg(F.count_if("sent").alias("n_sent"), F.count_if(~F.col("sent")).alias("n_suppressed"), last.alias("last_sent"))
+    return out.withColumn("wait_s", F.coalesce(F.greatest(F.lit(0), quiet - (F.lit(as_of) - F.col("last_sent"))), F.lit(0)))
+
+
 def sort_by_event_time(df: DataFrame, ts: str = "event_s", order: tuple[str, ...] = ("event_id", "replay")) -> DataFrame:
     """All rows by time, those without one first; rows of one time in ``order``. A range sort, so no task holds the table."""
     return df.orderBy(F.col(ts).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])

@@ -76,18 +76,24 @@ def context_quality(df: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
-def social_context(requests: DataFrame, messages: DataFrame, most: int = 1000, ts: str = "event_s", tie: tuple[str, ...] = ("event_id", "replay")) -> DataFrame:
-    """Per request (request_id, asset, since, until, sources) the sentiment and risk over its newest ``most`` rows; status 204 without any.
+def social_context(requests: DataFrame, messages: DataFrame, most: int = 1000, ts: str = "event_s", tie: tuple[str, ...] = ("event_id", "replay"), bucket_s: int = 300) -> DataFrame:
+    """Per request (request_id, asset, since, until, sources) sentiment, risk and quality of its newest ``most`` rows; 204 without any.
 
-    Requests are joined once on the asset, so one job answers all windows; the rank filter is pushed below the shuffle.
+    Rows carry the columns of ``context_sentiment``, ``context_risk`` and ``context_quality``; quality columns that they
+    lack are as healthy as can be. A request stands in each stretch of ``bucket_s`` that its window touches, so that rows
+    meet requests of their own asset and time only, and one job answers all windows.
     """
-    r = requests.select("request_id", F.col("asset").alias("r_asset"), "since", "until", "sources")
-    hit = messages.join(r, (F.col("asset") == F.col("r_asset")) & F.col(ts).between(F.col("since"), F.col("until")) & F.array_contains("sources", F.col("source")))
+    bucket = lambda c: F.floor(F.col(c) / bucket_s)
+    healthy = {"overall": "healthy", "availability": "ok", "time_integrity": "ok", "volume": "normal", "source_balance": "normal", "anomaly_frequency": "normal"}
+    messages = messages.withColumns({c: F.lit(v) for c, v in healthy.items() if c not in messages.columns})
+    r = requests.where("since <= until").select("request_id", F.col("asset").alias("r_asset"), "since", "until", "sources", F.explode(F.sequence(bucket("since"), bucket("until"))).alias("r_bucket"))
+    hit = messages.join(r, (F.col("asset") == F.col("r_asset")) & (bucket(ts) == F.col("r_bucket")) & F.col(ts).between(F.col("since"), F.col("until")) & F.array_contains("sources", F.col("source")))
     n = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc(ts), *[F.desc(t) for t in tie]))
     top = hit.withColumn("_n", n).where(F.col("_n") <= most)
-    mood = context_sentiment(top, ["request_id"])
-    flags = top.groupBy("request_id").agg(F.count("*").alias("records"), F.bool_or("social_overheat").alias("social_overheat"), F.bool_or("fomo_risk").alias("fomo_risk"))
-    out = requests.select("request_id").join(mood, "request_id", "left").join(flags, "request_id", "left")
+    top = top.withColumn("_tie", F.struct(*tie))
+    by = ["request_id"]
+    out = requests.select("request_id").join(context_sentiment(top, by), by, "left").join(context_risk(top, by, ts, "_tie"), by, "left").join(context_quality(top, by), by, "left")
+    out = out.join(top.groupBy(*by).agg(F.count("*").alias("records")), by, "left")
     return out.withColumn("records", F.coalesce("records", F.lit(0))).withColumn("status", F.when(F.col("records") > 0, 200).otherwise(204))
 
 
@@ -98,39 +104,51 @@ def ticks(df: DataFrame, step: int, window: int, ts: str = "event_s") -> DataFra
     return df.where(F.col(ts).isNotNull()).withColumn("tick", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))))
 
 
+def _silence(age: Column, source: Column) -> Column:
+    """0, 1 or 2: a source that was silent for so many seconds is ok, degraded or down."""
+    return F.when(age >= C.by_source(source, P.AVAILABILITY_DOWN), 2).when(age >= C.by_source(source, P.AVAILABILITY_DEGRADED), 1).otherwise(0)
+
+
+def _availability(seen: Column, level: Column) -> Column:
+    worst = F.when(seen < len(SOURCES), 2).otherwise(level)
+    return F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("down")), worst + 1)
+
+
 def availability(df: DataFrame, as_of: int, by: list[str], ts: str = "event_s", order: tuple[str, ...] = ("arrival_s", "event_id")) -> DataFrame:
     """Per key the worst source: seconds since its last recorded event against its limits; a source never seen is down."""
     last = df.groupBy(*by, "source").agg(F.max_by(ts, F.struct(*order)).alias("last"))
-    age = as_of - F.col("last")
-    level = F.when(age >= C.by_source(F.col("source"), P.AVAILABILITY_DOWN), 2).when(age >= C.by_source(F.col("source"), P.AVAILABILITY_DEGRADED), 1).otherwise(0)
-    out = last.groupBy(*by).agg(F.max(level).alias("level"), F.count_if(F.col("source").isin(*SOURCES)).alias("seen"))
-    worst = F.when(F.col("seen") < len(SOURCES), 2).otherwise(F.col("level"))
-    return out.select(*by, F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("down")), worst + 1).alias("availability"))
+    out = last.groupBy(*by).agg(F.max(_silence(as_of - F.col("last"), F.col("source"))).alias("level"), F.count_if(F.col("source").isin(*SOURCES)).alias("seen"))
+    return out.select(*by, _availability(F.col("seen"), F.col("level")).alias("availability"))
 
 
-def quality_report(df: DataFrame, by: list[str], window: int = 300, baseline: int = 3600, as_of: Column | None = None, ts: str = "event_s") -> DataFrame:
-    """Time integrity, volume, balance and anomaly frequency per key, in one aggregate.
+def quality_report(df: DataFrame, by: list[str], window: int = 300, baseline: int = 3600, as_of: Column | None = None, ts: str = "event_s", rate: float | None = None) -> DataFrame:
+    """Availability, time integrity, volume, balance and anomaly frequency per key, in one aggregate.
 
-    ``as_of`` defaults to the key column ``tick``; rows must cover the baseline window. Late share: above 0.15 critical,
-    0.05 unstable. Volume against the baseline's: under 0.30 low, above 3.00 high. One source above 0.70: imbalanced.
-    Anomalies at or above half: persistent. Any dimension off: degraded; critical time or no data: critical.
+    ``as_of`` defaults to the key column ``tick``; rows must cover the baseline window. Availability: the worst source's
+    time since its last event against its limits, down where a source has none. Late share: above 0.15 critical, 0.05
+    unstable. Volume against the baseline's (or against ``rate`` events a second, if given): under 0.30 low, above 3.00
+    high. One source above 0.70: imbalanced. Anomalies at or above half: persistent. Any dimension off: degraded; critical
+    time or availability down: critical.
     """
-    now = (F.col("tick") if as_of is None else as_of) - window
-    recent = F.col(ts) >= now
-    each = df.groupBy(*by, "source").agg(F.count_if(recent).alias("n"), F.count("*").alias("b"), F.count_if(recent & (F.col("guard_reason") == "late")).alias("late"), F.count_if(recent & F.col("anomalous")).alias("odd"))
-    out = each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("late").alias("late"), F.sum("odd").alias("odd"), F.max("n").alias("most"))
+    tick = F.col("tick") if as_of is None else as_of
+    recent = F.col(ts) >= tick - window
+    each = df.groupBy(*by, "source").agg(F.max(ts).alias("last"), F.count_if(recent).alias("n"), F.count("*").alias("b"), F.count_if(recent & (F.col("guard_reason") == "late")).alias("late"), F.count_if(recent & F.col("anomalous")).alias("odd"))
+    each = each.withColumn("level", _silence(tick - F.col("last"), F.col("source")))
+    seen = F.count_if(F.col("source").isin(*SOURCES))
+    out = each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("late").alias("late"), F.sum("odd").alias("odd"), F.max("n").alias("most"), F.max("level").alias("level"), seen.alias("seen"))
     share = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n")).otherwise(0.0)
-    ratio = F.when(F.col("b") > 0, F.col("n") / (F.col("b") * F.lit(window / baseline))).otherwise(1.0)
+    ratio = F.col("n") / F.lit(rate * window) if rate else F.when(F.col("b") > 0, F.col("n") / (F.col("b") * F.lit(window / baseline))).otherwise(1.0)
     out = out.withColumns({
         "late_share": share("late"), "volume_ratio": ratio, "top_share": share("most"), "anomaly_share": share("odd"),
     }).withColumns({
+        "availability": _availability(F.col("seen"), F.col("level")),
         "time_integrity": F.when(F.col("late_share") > 0.15, "critical").when(F.col("late_share") > 0.05, "unstable").otherwise("ok"),
         "volume": F.when(F.col("volume_ratio") < 0.30, "abnormally_low").when(F.col("volume_ratio") > 3.0, "abnormally_high").otherwise("normal"),
         "source_balance": F.when(F.col("top_share") > 0.70, "imbalanced").otherwise("normal"),
         "anomaly_frequency": F.when((F.col("n") > 0) & (F.col("anomaly_share") >= 0.5), "persistent").otherwise("normal"),
     })
-    bad = (F.col("time_integrity") != "ok") | (F.col("volume") != "normal") | (F.col("source_balance") != "normal") | (F.col("anomaly_frequency") != "normal")
-    return out.withColumn("overall", F.when(F.col("time_integrity") == "critical", "critical").when(bad, "degraded").otherwise("healthy")).drop("most")
+    bad = (F.col("availability") != "ok") | (F.col("time_integrity") != "ok") | (F.col("volume") != "normal") | (F.col("source_balance") != "normal") | (F.col("anomaly_frequency") != "normal")
+    return out.withColumn("overall", F.when((F.col("time_integrity") == "critical") | (F.col("availability") == "down"), "critical").when(bad, "degraded").otherwise("healthy")).drop("most", "level", "seen")
 
 
 def worker_quality(metrics: DataFrame) -> DataFrame:

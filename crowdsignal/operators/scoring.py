@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import profiles as P
+from .validation import first_reason
 
 
 def _sign(score: Column, at: float, inclusive: bool) -> Column:
@@ -14,12 +17,12 @@ def _sign(score: Column, at: float, inclusive: bool) -> Column:
     return F.when(up, 1).when(down, -1).otherwise(0)
 
 
-def sentiment(df: DataFrame, profile: str = "lexicon", text_col: str = "text", lexicon: dict | None = None, rules: dict | None = None) -> DataFrame:
+def sentiment(df: DataFrame, profile: str = "lexicon", text_col: str = "text", lexicon: dict | None = None, rules: dict | None = None, stored: str | None = None) -> DataFrame:
     """Adds ``score``, ``label`` (-1, 0, 1) and ``confidence``, and the counts they rest on.
 
     ``lexicon``: whole words and rules, weighted, over the matches, within -1 and 1; label from 0.2 inclusive.
     ``tokens``: distinct tokens; the sign of the difference. ``substring``: terms anywhere; label beyond 0.2.
-    ``context``: the majority of terms anywhere. Null texts are empty; each profile's empty result is its own.
+    ``context``: the majority of terms anywhere, unless the JSON column ``stored`` holds a ``sentiment``. Null texts are empty; each profile's empty result is its own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if profile == "lexicon":
@@ -40,7 +43,11 @@ def sentiment(df: DataFrame, profile: str = "lexicon", text_col: str = "text", l
         score = F.when(n == 0, 0.0).otherwise((up - down) / n)
         return out.withColumns({"score": score, "label": _sign(score, P.LABEL_AT, False), "confidence": F.when(n == 0, 0.5).otherwise(F.least(F.lit(0.95), 0.5 + n * 0.1))})
     label = F.when(up > down, 1).when(down > up, -1).otherwise(0)
-    return out.withColumns({"score": label.cast("double"), "label": label, "confidence": F.when(label == 0, 0.5).otherwise(F.least(F.greatest(up, down) * 0.1 + 0.5, F.lit(0.95)))})
+    sure = F.when(label == 0, 0.5).otherwise(F.least(F.greatest(up, down) * 0.1 + 0.5, F.lit(0.95)))
+    if stored:
+        kept = F.from_json(F.get_json_object(stored, "$.sentiment"), "label int, confidence double")
+        label, sure = F.when(kept.isNotNull(), kept["label"]).otherwise(label), F.when(kept.isNotNull(), kept["confidence"]).otherwise(sure)
+    return out.withColumns({"score": label.cast("double"), "label": label, "confidence": sure})
 
 
 def weighted_score(df: DataFrame) -> DataFrame:
@@ -66,11 +73,12 @@ def zone(index: Column) -> Column:
     return F.when(index.isNull(), "unknown").when(index <= 20, "extreme_fear").when(index >= 80, "extreme_greed").otherwise("normal")
 
 
-def risk_indicators(df: DataFrame, profile: str = "core", text_col: str = "text") -> DataFrame:
+def risk_indicators(df: DataFrame, profile: str = "core", text_col: str = "text", stored: str | None = None) -> DataFrame:
     """Adds the risk flags and the fear and greed zone.
 
     ``core``: needs label, confidence, velocity, anomaly and fear_greed_index (null allowed). ``worker``: from the
-    text's fear and greed tokens. ``context``: from velocity alone. ``orchestrated``: core with defaults for nulls.
+    text's fear and greed tokens. ``context``: from velocity alone, unless the JSON column ``stored`` holds
+    ``risk_indicators``. ``orchestrated``: core with defaults for nulls.
     """
     if profile == "worker":
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,9 +94,14 @@ def risk_indicators(df: DataFrame, profile: str = "core", text_col: str = "text"
         })
     if profile == "context":
         v = F.when(F.coalesce(F.col("velocity"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("velocity"))
-        return df.withColumns({"social_overheat": v > 5.0, "panic_risk": F.lit(False), "fomo_risk": v > 3.0, "fear_greed_zone": F.lit("unknown"), "sentiment_reliability": F.lit("normal")})
+        flags = {"social_overheat": v > 5.0, "panic_risk": F.lit(False), "fomo_risk": v > 3.0, "fear_greed_index": F.lit(None).cast("double"), "fear_greed_zone": F.lit("unknown"), "sentiment_reliability": F.lit("normal")}
+        if stored:
+            kept = F.from_json(F.get_json_object(stored, "$.risk_indicators"), "social_overheat boolean, panic_risk boolean, fomo_risk boolean, fear_greed_index double, fear_greed_zone string, sentiment_reliability string")
+            flags = {k: F.when(kept.isNotNull(), kept[k]).otherwise(v) for k, v in flags.items()}
+        return df.withColumns(flags)
     if profile == "orchestrated":
-        df = df.withColumns({"label": F.coalesce("label", F.lit(0)), "velocity": F.coalesce("velocity", F.lit(1.0)), "anomaly": F.coalesce("anomaly", F.lit(False)), "fear_greed_index": F.coalesce("fear_greed_index", F.lit(50.0))})
+        defaults = {"label": 0, "velocity": 1.0, "anomaly": False, "fear_greed_index": 50.0}
+        df = df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
     index = F.col("fear_greed_index")
     return df.withColumns({
         "social_overheat": (F.col("velocity") >= 3.0) & F.col("anomaly"),
@@ -99,7 +112,31 @@ def risk_indicators(df: DataFrame, profile: str = "core", text_col: str = "text"
     })
 
 
+# The gate's reasons, in order, by action; a later one holds only where no earlier one does.
+GATE_BLOCK = ["No social data available", "Data quality is critical", "Panic risk detected", "Extreme fear zone", "Social overheat detected"]
+GATE_REDUCE = ["Sentiment reliability is low", "Data quality is degraded", "FOMO risk detected"]
+GATE_ALLOW = "Trading allowed"
+
+
 def trading_gate(df: DataFrame) -> DataFrame:
-    """``action`` and ``reason``: block on critical quality, panic or extreme fear, in this order; else allow."""
-    reason = F.when(F.col("overall").isNull(), "No social data available").when(F.col("overall") == "critical", "Data quality is critical").when(F.col("panic_risk"), "Panic risk detected").when(F.col("fear_greed_zone") == "extreme_fear", "Extreme fear zone").otherwise("Trading allowed")
-    return df.withColumn("reason", reason).withColumn("action", F.when(F.col("reason") == "Trading allowed", "allow").otherwise("block"))
+    """``action`` (block, reduce, allow) and ``reason``: the first rule that holds, blocking ones first; nulls hold for none."""
+    c = F.col
+    block = [c("overall").isNull(), c("overall") == "critical", c("panic_risk"), c("fear_greed_zone") == "extreme_fear", c("social_overheat")]
+    reduced = [c("sentiment_reliability") == "low", c("overall") == "degraded", c("fomo_risk")]
+    reason = first_reason(*zip([*block, *reduced], [*GATE_BLOCK, *GATE_REDUCE], strict=True))
+    out = df.withColumn("reason", F.coalesce(reason, F.lit(GATE_ALLOW)))
+    return out.withColumn("action", F.when(c("reason").isin(*GATE_BLOCK), "block").when(c("reason").isin(*GATE_REDUCE), "reduce").otherwise("allow"))
+
+
+def enrich(df: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All columns of ``df`` unchanged, and what the stages add: by default lexicon sentiment and orchestrated risk.
+
+    A stage is any function of a frame, so an analyser can be put in place of the given ones. It works on a copy: a column
+    that it overwrites, and any row order, stays as it was.
+    """
+    stages = stages or (sentiment, lambda d: risk_indicators(d, "orchestrated"))
+    out = df.withColumn("_own", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    for stage in stages:
+        out = stage(out)
+    added = [c for c in out.columns if c not in df.columns and c != "_own"]
+    return out.select("_own.*", *added)

@@ -6,7 +6,10 @@ shuffles like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -32,6 +35,14 @@ def eligible_channels(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("enabled") & (F.col("status").isNull() | F.col("status").isin("alive", "unknown"))).orderBy(F.desc("registry_priority"), "source_id")
 
 
+def enabled_sources(registry: DataFrame, type: str | None = None, role: str | None = None) -> DataFrame:
+    """The enabled sources, of a type or a role if given, by priority, then id."""
+    out = registry.where("enabled")
+    for column, value in (("type", type), ("role", role)):
+        out = out.where(F.col(column) == value) if value is not None else out
+    return out.orderBy(F.desc("registry_priority"), "source_id")
+
+
 def sources_by_role(registry: DataFrame) -> DataFrame:
     """Per role the enabled sources' number and names, by priority."""
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("registry_priority")).alias("p"), "source_id"))), lambda s: s["source_id"]), ", ")
@@ -45,13 +56,17 @@ def status_summary(registry: DataFrame) -> DataFrame:
 def resolve_channel(df: DataFrame, registry: DataFrame, key: str = "wanted") -> DataFrame:
     """``resolved``: the source of that very id, else the first by id whose name or id holds the text; null if none.
 
-    The second way is a comparison of what the first left with the registry, so only such rows pay for it.
+    For the second way the registry is listed by the runs of at most three letters that its names and ids hold, and what
+    the first way left meets the runs that begin it: an equal-key join for a registry of any size.
     """
-    dim = small(registry.select("source_id", "source_name"))
-    exact = df.join(dim, F.lower(F.col(key)) == F.lower("source_id"), "left")
-    left = exact.where(F.col("source_id").isNull()).select(key).distinct()
-    near = left.join(dim, F.contains(F.lower("source_name"), F.lower(F.col(key))) | F.contains(F.lower("source_id"), F.lower(F.col(key)))).groupBy(key).agg(F.min("source_id").alias("_near"))
-    return exact.join(near, key, "left").withColumn("resolved", F.coalesce("source_id", "_near")).drop("source_id", "source_name", "_near")
+    dim = registry.select("source_id", F.lower("source_id").alias("_id"), F.lower(F.coalesce("source_name", F.lit(""))).alias("_name"))
+    exact = df.join(small(dim.select("source_id", "_id")), F.lower(F.col(key)) == F.col("_id"), "left").drop("_id")
+    runs = lambda c: F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.col(c).substr(i, n))))
+    listed = dim.withColumn("_run", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[F.when(F.length(c) > 0, runs(c)).otherwise(F.array().cast("array<string>")) for c in ("_name", "_id")]))))
+    left = exact.where(F.col("source_id").isNull() & F.col(key).isNotNull()).select(key, F.lower(F.col(key)).alias("_want")).distinct()
+    met = left.withColumn("_run", F.substring("_want", 1, 3)).join(listed, "_run").where(F.contains("_name", F.col("_want")) | F.contains("_id", F.col("_want")))
+    near = met.groupBy(key).agg(F.min("source_id").alias("_near"))
+    return exact.join(near, key, "left").withColumn("resolved", F.coalesce("source_id", "_near")).drop("source_id", "_near")
 
 
 def after_cursor(df: DataFrame, cursors: DataFrame, key: str = "channel", ts: str = "event_s") -> DataFrame:
@@ -83,18 +98,23 @@ def upsert_latest(base: DataFrame, changes: DataFrame, key: str, columns: list[s
     return out.select(F.coalesce(key, "_key").alias(key), *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
-def assets_array(catalog: DataFrame | None = None) -> Column:
-    """The active catalog as one constant, by priority, then symbol."""
-    rows = P.ASSETS if catalog is None else [(r.symbol, r.name, r.keywords, r.priority) for r in catalog.where("is_active").collect()]
-    ordered = sorted(rows, key=lambda r: (-r[3], r[0]))
-    return F.array(*(F.struct(F.lit(s).alias("symbol"), F.array(*map(F.lit, kws)).alias("keywords")) for s, _, kws, _ in ordered))
+def active_assets(catalog: DataFrame | None = None, bound: int = 1_000) -> list[tuple[str, list[str]]]:
+    """(symbol, keywords) of the active catalog, by priority, then symbol; more than ``bound`` rows are an error.
+
+    Each keyword is a test on every text, so a larger catalog would not make a usable expression.
+    """
+    rows = P.ASSETS if catalog is None else [(r.symbol, r.name, r.keywords, r.priority) for r in catalog.where("is_active").limit(bound + 1).collect()]
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} active assets")
+    return [(s, kws) for s, _, kws, _ in sorted(rows, key=lambda r: (-r[3], r[0]))]
 
 
 def detect_assets(df: DataFrame, text_col: str = "text", catalog: DataFrame | None = None, default: str = "BTC") -> DataFrame:
     """Adds ``assets`` (all whose keyword occurs anywhere, by priority) and ``asset_found`` (the first, or the default)."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hit = F.transform(F.filter(assets_array(catalog), lambda a: F.exists(a["keywords"], lambda k: F.contains(low, k))), lambda a: a["symbol"])
-    return df.withColumn("assets", hit).withColumn("asset_found", F.coalesce(F.get("assets", F.lit(0)), F.lit(default)))
+    hits = [F.when(reduce(or_, [F.contains(low, F.lit(k)) for k in kws]), F.lit(s)) for s, kws in active_assets(catalog) if kws]
+    out = df.withColumn("assets", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))
+    return out.withColumn("asset_found", F.coalesce(F.get("assets", F.lit(0)), F.lit(default)))
 
 
 def keyword_index(catalog: DataFrame) -> DataFrame:
@@ -140,6 +160,13 @@ def replay_raw(raw: DataFrame, asset: str, since: int, until: int, source: str |
     return out if include_dropped else out.where(F.col("dropped").isNull() | ~F.col("dropped"))
 
 
+def replay(events: DataFrame, since: int, until: int, asset: str | None = None, ts: str = "event_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Stored sentiment, risk or quality events of a closed time range, of one asset if given, in order of time."""
+    out = events.where(F.col(ts).between(since, until))
+    out = out.where(F.col("asset") == asset) if asset is not None else out
+    return out.orderBy(ts, *order)
+
+
 def new_only(df: DataFrame, stored: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Rows whose key is not stored yet; null keys are always new."""
     return df.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -162,6 +189,47 @@ def append_unique(df: DataFrame, path: str, key: str, order: tuple[str, ...]) ->
     return fresh
 
 
+def append_events(df: DataFrame, path: str, ts: str = "event_s") -> None:
+    """Append sentiment, risk or quality events to the table at ``path``, a folder for each day of event time (UTC)."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(ts) / 86_400).cast("int"))
+    df.withColumn("event_date", day).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """A stored table. With a range of seconds only the days that it touches are read (see ``append_events``)."""
+    out = spark.read.parquet(path)
+    day = lambda s: F.date_add(F.lit("1970-01-01").cast("date"), s // 86_400)
+    out = out.where(F.col("event_date") >= day(since)) if since is not None else out
+    return out.where(F.col("event_date") <= day(until)) if until is not None else out
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Results as JSON lines, one object a row; nulls are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def _defaults(df: DataFrame, values: dict[str, object]) -> dict[str, Column]:
+    return {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in values.items()}
+
+
+def prepare_risk_rows(df: DataFrame) -> DataFrame:
+    """Stored form with defaults; the fear and greed index may stay null."""
+    values = _defaults(df, {"asset": "BTC", "sentiment_reliability": "normal", "fear_greed_zone": "unknown", "social_overheat": False, "panic_risk": False, "fomo_risk": False, "data_quality_overall": "healthy"})
+    return df.withColumns(values)
+
+
+def prepare_quality_rows(df: DataFrame, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Stored form with defaults; ``metrics_detail`` is a JSON object of the named columns."""
+    values = _defaults(df, {"source_type": "", "availability": "ok", "time_integrity": "ok", "volume": "normal", "overall": "healthy"})
+    detail = F.to_json(F.struct(*metrics)) if metrics else F.lit("{}")
+    return df.withColumns(values).withColumn("metrics_detail", detail)
+
+
+def alert_history_rows(df: DataFrame, asset: str = "BTC") -> DataFrame:
+    """(asset, alert_type, message, message_id, success) of alerts that were tried to be sent."""
+    return df.select(F.coalesce(F.col("asset"), F.lit(asset)).alias("asset"), "alert_type", "message", F.col("sent_id").alias("message_id"), F.col("sent_id").isNotNull().alias("success"))
+
+
 def prepare_message_rows(df: DataFrame) -> DataFrame:
     """Stored form with defaults: id from the fingerprint, weights 0, velocity 1 where null or 0."""
     fp = C.fingerprint("store", source=F.col("source"), message_id=F.coalesce("message_id", F.lit("")), text=F.coalesce("text", F.lit("")))

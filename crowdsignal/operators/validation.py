@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+# The reasons that differ by platform.
+SOURCE_DISABLED = {"twitter": "source_disabled", "reddit": "subreddit_disabled", "telegram": "source_disabled"}
+SOURCE_RATE = {"twitter": "source_rate_exceeded", "reddit": "subreddit_rate_exceeded", "telegram": "group_rate_exceeded"}
+
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
     """The reason of the first rule whose condition holds; a null condition does not."""
@@ -40,9 +47,20 @@ def validate_reddit(df: DataFrame) -> DataFrame:
     return df.withColumn("drop_reason", first_reason((blank(c("text")), "missing_text"), (~(c("score") > 0), "low_score"), (~(c("depth") >= 1), "depth"), (c("comments").isNull(), "missing_comments"), (c("karma").isNull(), "missing_karma")))
 
 
-def validate_telegram(df: DataFrame) -> DataFrame:
+def validate_telegram(df: DataFrame, asset: Column | None = None) -> DataFrame:
+    """A text about the asset, a time, a public place, and a channel or a group (``group_id``, where the table has it)."""
+    c = F.col
+    asset = C.mentions_asset(c("text")) if asset is None else asset
+    place = F.coalesce("channel", "group_id") if "group_id" in df.columns else c("channel")
+    return df.withColumn("drop_reason", first_reason((blank(c("text")), "missing_text"), (~asset, "no_asset"), (c("event_s").isNull(), "missing_timestamp"), (~F.coalesce(c("is_public"), F.lit(False)), "not_public"), (place.isNull(), "missing_channel")))
+
+
+def validate_comment(df: DataFrame, asset: Column | None = None) -> DataFrame:
+    """Comments: an author that is still there, a text that was not taken out and is about the asset."""
     c = F.col
-    return df.withColumn("drop_reason", first_reason((~F.coalesce(c("is_public"), F.lit(False)), "not_public"), (c("channel").isNull(), "missing_channel"), (blank(c("text")), "missing_text"), (F.coalesce(c("is_bot"), F.lit(False)), "bot")))
+    asset = C.mentions_asset(c("text")) if asset is None else asset
+    gone = ("[deleted]", "[removed]")
+    return df.withColumn("drop_reason", first_reason((c("author").isNull() | c("author").isin(*gone), "author_deleted"), (blank(c("text")), "missing_text"), (c("text").isin(*gone), "text_removed"), (~asset, "no_asset")))
 
 
 def validate_raw(df: DataFrame, keywords: tuple[str, ...] = ("btc", "bitcoin", "$btc")) -> DataFrame:
@@ -52,17 +70,25 @@ def validate_raw(df: DataFrame, keywords: tuple[str, ...] = ("btc", "bitcoin", "
 
 
 def classify_whitelisted(df: DataFrame, platform: str, keyword: Column, min_score: int = 1) -> DataFrame:
-    """Whitelist ingestion after ``attach_registry`` and with ``rate_ok``: the platform's rules in its own order."""
+    """Whitelist ingestion after ``attach_registry``: adds the platform's first drop reason, in its own order.
+
+    Whether a row was handled before, is within its source's rate and within that of all are the columns ``seen``,
+    ``source_ok`` and ``global_ok`` (from a cursor and from ``admit``). twitter: fields, text, a time finer than a minute
+    (``posted_at``), keyword, rates. reddit: fields, text, score, keyword, rates. telegram: rates before text, keyword and
+    time. ``keyword`` is a condition on whatever text it should be found in.
+    """
     c = F.col
-    listed = [(c("registry_state") == "unknown", "not_whitelisted"), (c("registry_state") == "disabled", "source_disabled")]
-    rate, text = [(~c("rate_ok"), "rate_limited")], [(blank(c("text")), "empty_text"), (~keyword, "no_keyword")]
-    when = [(c("event_s").isNull(), "invalid_timestamp")]
+    null = lambda *names: reduce(or_, [c(n).isNull() for n in names])
+    listed = [(c("registry_state") == "unknown", "not_whitelisted"), (c("registry_state") == "disabled", SOURCE_DISABLED[platform])]
+    rates = [(~c("source_ok"), SOURCE_RATE[platform]), (~c("global_ok"), "global_rate_exceeded")]
+    seen, no_id = (c("seen"), "already_processed"), (blank(c("message_id")), "missing_required_field")
+    no_text, no_keyword = (blank(c("text")), "empty_text"), (~keyword, "no_asset_keyword")
     if platform == "telegram":
-        rules = [*listed, *rate, *text, *when]
+        rules = [*listed, *rates, no_text, no_keyword, (c("event_s").isNull(), "invalid_timestamp")]
     elif platform == "reddit":
-        rules = [*listed, *text, (~(c("likes") >= min_score), "low_score"), *when, *rate]
+        rules = [*listed, seen, no_id, (c("event_s").isNull() | (c("event_s") <= 0), "invalid_timestamp"), (F.coalesce("text", F.lit("")) == "", "empty_text"), (null("likes"), "missing_required_field"), no_text, (c("likes") < min_score, "low_score"), no_keyword, *rates]
     else:
-        rules = [*listed, *text, *when, (c("event_s") % 60 == 0, "low_precision"), *rate]
+        rules = [*listed, seen, no_id, (c("posted_at").isNull(), "invalid_timestamp"), (F.coalesce("text", F.lit("")) == "", "empty_text"), (null("likes", "reposts", "replies", "followers"), "missing_required_field"), no_text, (~C.has_seconds(c("posted_at")), "low_precision_timestamp"), no_keyword, *rates]
     return df.withColumn("drop_reason", first_reason(*rules))
 
 

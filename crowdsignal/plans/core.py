@@ -95,9 +95,12 @@ def sn3(spark, sf_dir):
 
 
 @register("sn4_context_sentiment", with_messages(f""", t AS (SELECT *, {_subs(P.CONTEXT_TERMS['bullish'])} AS b, {_subs(P.CONTEXT_TERMS['bearish'])} AS d FROM m)
- SELECT event_id, replay, CASE WHEN b > d THEN 1 WHEN d > b THEN -1 ELSE 0 END AS label, round(CASE WHEN b = d THEN 0.5::DOUBLE ELSE least(greatest(b, d) * 0.1::DOUBLE + 0.5, 0.95) END, 6) AS confidence FROM t"""))
+ SELECT event_id, replay, CASE WHEN event_id % 7 = 0 THEN -1 WHEN b > d THEN 1 WHEN d > b THEN -1 ELSE 0 END AS label, round(CASE WHEN event_id % 7 = 0 THEN 0.25::DOUBLE WHEN b = d THEN 0.5::DOUBLE ELSE least(greatest(b, d) * 0.1::DOUBLE + 0.5, 0.95) END, 6) AS confidence FROM t"""))
 def sn4(spark, sf_dir):
-    return scoring.sentiment(messages(spark, sf_dir), "context").select(*ID, "label", *_r("confidence"))
+    """Every seventh message has a stored result, every fifth a stored one of another kind."""
+    e = F.col("event_id")
+    raw = F.when(e % 7 == 0, '{"sentiment": {"label": -1, "confidence": 0.25}}').when(e % 5 == 0, '{"risk_indicators": {}}')
+    return scoring.sentiment(messages(spark, sf_dir).withColumn("raw_data", raw), "context", stored="raw_data").select(*ID, "label", *_r("confidence"))
 
 
 @register("sn5_model_reply", with_messages(f""", {SENT}, r AS (SELECT *, CASE event_id % 4 WHEN 0 THEN '{{"label": 1, "confidence": 0.9}}' WHEN 1 THEN '{{"label": 7}}' WHEN 2 THEN '{{"label": -1}}' ELSE NULL END AS j FROM scored),
@@ -138,9 +141,14 @@ def rk2(spark, sf_dir):
     return scoring.risk_indicators(_risky(spark, sf_dir).drop("fear_count", "greed_count"), "worker").select(*ID, "social_overheat", "panic_risk", "fomo_risk", "fear_greed_index", "fear_greed_zone")
 
 
-@register("rk3_context_risk", with_messages(f", r AS (SELECT *, {_V} FROM m) SELECT event_id, replay, CASE WHEN velocity = 0 THEN 1.0 ELSE velocity END > 5.0 AS social_overheat, CASE WHEN velocity = 0 THEN 1.0 ELSE velocity END > 3.0 AS fomo_risk FROM r"))
+@register("rk3_context_risk", with_messages(f""", r AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE likes / 15.0::DOUBLE END AS v, event_id % 5 = 0 AS k FROM m) SELECT event_id, replay, k OR CASE WHEN v = 0 THEN 1.0 ELSE v END > 5.0 AS social_overheat, k AS panic_risk, NOT k AND CASE WHEN v = 0 THEN 1.0 ELSE v END > 3.0 AS fomo_risk,
+ CASE WHEN k THEN 10.0::DOUBLE END AS fear_greed_index, CASE WHEN k THEN 'extreme_fear' ELSE 'unknown' END AS fear_greed_zone, CASE WHEN k THEN 'low' ELSE 'normal' END AS sentiment_reliability FROM r"""))
 def rk3(spark, sf_dir):
-    return scoring.risk_indicators(_risky(spark, sf_dir), "context").select(*ID, "social_overheat", "fomo_risk")
+    """Every fifth message has stored indicators; the others are judged by their velocity, 1 where it is 0."""
+    e = F.col("event_id")
+    raw = F.when(e % 5 == 0, '{"risk_indicators": {"social_overheat": true, "panic_risk": true, "fomo_risk": false, "fear_greed_index": 10, "fear_greed_zone": "extreme_fear", "sentiment_reliability": "low"}}')
+    m = messages(spark, sf_dir).withColumns({"velocity": F.when(e % 6 == 0, 0.0).otherwise(F.col("likes") / F.lit(15.0)), "raw_data": raw})
+    return scoring.risk_indicators(m, "context", stored="raw_data").select(*ID, "social_overheat", "panic_risk", "fomo_risk", "fear_greed_index", "fear_greed_zone", "sentiment_reliability")
 
 
 @register("rk4_orchestrated_risk", with_messages(f""", {SENT}, r AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 0 ELSE label END AS label), coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE replies * 1.0::DOUBLE END, 1.0) AS velocity FROM scored)
@@ -150,11 +158,11 @@ def rk4(spark, sf_dir):
     return scoring.risk_indicators(m, "orchestrated").select(*ID, "panic_risk", "social_overheat", "fomo_risk", "fear_greed_zone")
 
 
-@register("rk5_trading_gate", with_messages("""SELECT event_id, replay, CASE WHEN overall IS NULL THEN 'No social data available' WHEN overall = 'critical' THEN 'Data quality is critical' WHEN p THEN 'Panic risk detected' WHEN z = 'extreme_fear' THEN 'Extreme fear zone' ELSE 'Trading allowed' END AS reason,
- CASE WHEN overall IS NOT NULL AND overall <> 'critical' AND NOT p AND z <> 'extreme_fear' THEN 'allow' ELSE 'block' END AS action FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'critical' ELSE 'healthy' END AS overall, event_id % 7 = 0 AS p, CASE event_id % 3 WHEN 0 THEN 'extreme_fear' ELSE 'normal' END AS z FROM m)"""))
+@register("rk5_trading_gate", with_messages("""SELECT event_id, replay, reason, CASE WHEN reason = 'Trading allowed' THEN 'allow' WHEN reason IN ('Sentiment reliability is low', 'Data quality is degraded', 'FOMO risk detected') THEN 'reduce' ELSE 'block' END AS action
+ FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'No social data available' WHEN event_id % 5 = 1 THEN 'Data quality is critical' WHEN event_id % 7 = 0 THEN 'Panic risk detected' WHEN event_id % 3 = 0 THEN 'Extreme fear zone' WHEN event_id % 11 = 0 THEN 'Social overheat detected' WHEN event_id % 13 = 0 THEN 'Sentiment reliability is low' WHEN event_id % 5 = 2 THEN 'Data quality is degraded' WHEN event_id % 17 = 0 THEN 'FOMO risk detected' ELSE 'Trading allowed' END AS reason FROM m)"""))
 def rk5(spark, sf_dir):
     e = F.col("event_id")
-    m = messages(spark, sf_dir).withColumns({"overall": F.when(e % 5 == 1, "critical").when(e % 5 > 1, "healthy"), "panic_risk": e % 7 == 0, "fear_greed_zone": F.when(e % 3 == 0, "extreme_fear").otherwise("normal")})
+    m = messages(spark, sf_dir).withColumns({"overall": F.when(e % 5 == 1, "critical").when(e % 5 == 2, "degraded").when(e % 5 > 2, "healthy"), "panic_risk": e % 7 == 0, "social_overheat": e % 11 == 0, "fomo_risk": F.when(e % 17 == 0, True), "sentiment_reliability": F.when(e % 13 == 0, "low").otherwise("normal"), "fear_greed_zone": F.when(e % 3 == 0, "extreme_fear").otherwise("normal")})
     return scoring.trading_gate(m).select(*ID, "reason", "action")
 
 
@@ -259,10 +267,11 @@ def fil3(spark, sf_dir):
     return validation.validate_reddit(b).select(*ID, "drop_reason")
 
 
-@register("fil4_telegram", with_messages(f", b AS ({_BROKEN}) SELECT event_id, replay, CASE WHEN event_id % 7 = 0 THEN 'not_public' WHEN text IS NULL THEN 'missing_text' WHEN event_id % 5 = 0 THEN 'bot' END AS drop_reason FROM b"))
+@register("fil4_telegram", with_messages(f", b AS ({_BROKEN}) SELECT event_id, replay, CASE WHEN text IS NULL THEN 'missing_text' WHEN NOT contains(text, 'moon') AND NOT contains(text, 'buy') THEN 'no_asset' WHEN event_s IS NULL THEN 'missing_timestamp' WHEN event_id % 7 = 0 THEN 'not_public' WHEN event_id % 3 = 0 AND event_id % 2 <> 0 THEN 'missing_channel' END AS drop_reason FROM b"))
 def fil4(spark, sf_dir):
-    b = broken(spark, sf_dir).withColumns({"is_public": F.col("event_id") % 7 != 0, "is_bot": F.col("event_id") % 5 == 0})
-    return validation.validate_telegram(b).select(*ID, "drop_reason")
+    e = F.col("event_id")
+    b = broken(spark, sf_dir).withColumns({"is_public": F.when(e % 7 != 0, True), "channel": F.when(e % 3 != 0, F.col("channel")), "group_id": F.when(e % 2 == 0, F.col("message_id"))})
+    return validation.validate_telegram(b, F.contains("text", F.lit("moon")) | F.contains("text", F.lit("buy"))).select(*ID, "drop_reason")
 
 
 @register("fil12_worker_raw", with_messages(f", b AS ({_BROKEN}) SELECT event_id, replay, CASE WHEN text IS NULL THEN 'Missing text content' WHEN event_s IS NULL THEN 'Missing timestamp' WHEN NOT contains(text, 'moon') THEN 'No keyword match' END AS drop_reason FROM b"))

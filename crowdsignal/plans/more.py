@@ -131,8 +131,4 @@ def ac1(spark, sf_dir):
 @register("vl9_scraper_velocity", with_messages(", v AS (SELECT *, count(*) OVER (PARTITION BY source ORDER BY event_s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY source, event_s) - row_number() OVER (PARTITION BY source, event_s ORDER BY event_id, replay)) AS n FROM m) SELECT event_id, replay, CAST(n AS BIGINT) AS in_minute FROM v"))
 def vl9(spark, sf_dir):
     """Events of the last minute so far, itself among them."""
-    out = ordered.velocity(messages(spark, sf_dir), "crawl_tw", ("source",), order=("event_id", "replay"))
-    peers = Window.partitionBy("source", "event_s")
-    later = F.count("*").over(peers) - F.row_number().over(peers.orderBy("event_id", "replay"))
-    n = F.count("*").over(Window.partitionBy("source").orderBy("event_s").rangeBetween(-60, 0)) - later
-    return out.select(*ID, n.alias("in_minute"))
+    return ordered.recent_count(messages(spark, sf_dir), ("source",), 60, order=("event_id", "replay")).select(*ID, F.col("recent").alias("in_minute"))

@@ -100,13 +100,26 @@ def mn4(spark, sf_dir):
     return ordered.flag_pump_terms(messages(spark, sf_dir)).select(*ID, "manipulation")
 
 
-@register("adm1_sliding_admission")
+def _fold(name: str, rows: str, by: str, limit: int, window: int) -> str:
+    """Two recursive tables: the rows of ``rows`` numbered by key, and each with its decision and the times then remembered."""
+    kept = f"list_filter({name}.kept, lambda x: x > {name}_rows.arrival_s - {window})"
+    return f"""{name}_rows AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY arrival_s, event_id, replay) AS rn FROM {rows}),
+ {name} AS (SELECT event_id, replay, {by}, rn, [arrival_s] AS kept, TRUE AS admitted FROM {name}_rows WHERE rn = 1
+  UNION ALL SELECT {name}_rows.event_id, {name}_rows.replay, {name}_rows.{by}, {name}_rows.rn, CASE WHEN len({kept}) < {limit} THEN list_append({kept}, {name}_rows.arrival_s) ELSE {kept} END, len({kept}) < {limit}
+  FROM {name} JOIN {name}_rows ON {name}.{by} = {name}_rows.{by} AND {name}_rows.rn = {name}.rn + 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return with_messages(sql).replace("WITH m", "WITH RECURSIVE m", 1)
+
+
+@register("adm1_sliding_admission", _recursive(f", {_fold('f', 'm', 'channel', 5, 60)} SELECT event_id, replay, admitted FROM f"))
 def adm1(spark, sf_dir):
-    """Five a minute and channel; its order-dependent decisions are tested against a sequential model."""
+    """Five a minute and channel."""
     return ordered.admit(messages(spark, sf_dir), ("channel",), 5).select(*ID, "admitted")
 
 
-@register("adm2_two_stage_admission")
+@register("adm2_two_stage_admission", _recursive(f", {_fold('f', 'm', 'channel', 5, 60)}, p AS (SELECT m.* FROM m JOIN f USING (event_id, replay) WHERE admitted), {_fold('g', 'p', 'source', 8, 60)} SELECT event_id, replay, admitted FROM g"))
 def adm2(spark, sf_dir):
     """Per channel, then per source over what the channels admitted."""
     first = ordered.admit(messages(spark, sf_dir), ("channel",), 5).where("admitted").drop("admitted")
@@ -119,10 +132,23 @@ def adm3(spark, sf_dir):
     return ordered.admit_per_run(messages(spark, sf_dir), ("channel",), 100, 500, ("arrival_s", "event_id", "replay")).select(*ID, "run_reason")
 
 
-@register("str8_alert_suppression")
-def str8(spark, sf_dir):
+_QUIET = f", a AS (SELECT *, asset || '|' || source AS alert_key FROM m), {_fold('f', 'a', 'alert_key', 1, 60)}"
+
+
+def _sent(spark, sf_dir):
     a = messages(spark, sf_dir).withColumn("alert_key", F.concat_ws("|", "asset", "source"))
-    return ordered.suppress_alerts(a, quiet=60, order=("event_id", "replay")).select(*ID, "sent")
+    return ordered.suppress_alerts(a, quiet=60, order=("event_id", "replay"))
+
+
+@register("str8_alert_suppression", _recursive(f"{_QUIET} SELECT event_id, replay, admitted AS sent FROM f"))
+def str8(spark, sf_dir):
+    return _sent(spark, sf_dir).select(*ID, "sent")
+
+
+@register("al2_alert_stats", _recursive(f"""{_QUIET}, n AS (SELECT max(arrival_s) + 20 AS t FROM m), s AS (SELECT a.alert_key, a.arrival_s, f.admitted FROM a JOIN f USING (event_id, replay))
+ SELECT alert_key, count(*) FILTER (admitted) AS n_sent, count(*) FILTER (NOT admitted) AS n_suppressed, max(arrival_s) FILTER (admitted) AS last_sent, greatest(0, 60 - (max(t) - max(arrival_s) FILTER (admitted))) AS wait_s FROM s, n GROUP BY alert_key"""))
+def al2(spark, sf_dir):
+    return ordered.alert_stats(_sent(spark, sf_dir), _last(messages(spark, sf_dir), "arrival_s") + 20, quiet=60)
 
 
 @register("rk0_latest_per_key", with_messages("SELECT event_id, replay, asset FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_s DESC, event_id DESC, replay DESC) AS n FROM m) WHERE n <= 1000"))
@@ -151,24 +177,36 @@ def jn4(spark, sf_dir):
 
 
 def _classified(spark, sf_dir, platform):
-    m = tables.attach_registry(messages(spark, sf_dir), registry(spark)).withColumn("rate_ok", F.col("event_id") % 4 != 0)
+    """Messages with faults, a registry and limits, so that every rule drops some row."""
+    e = F.col("event_id")
+    m = tables.attach_registry(messages(spark, sf_dir), registry(spark))
+    m = m.withColumns({"seen": e % 9 == 0, "source_ok": e % 4 != 0, "global_ok": e % 5 != 0, "message_id": F.when(e % 23 == 0, "").otherwise(F.col("message_id")), "text": F.when(e % 11 == 0, "  ").when(e % 13 != 0, F.col("text")), "event_s": F.when(e % 19 != 0, F.col("event_s")), "likes": F.when(e % 17 != 0, F.col("likes"))})
+    m = m.withColumn("posted_at", F.when(e % 19 != 0, F.when(e % 7 == 0, F.date_trunc("minute", "ts")).when(e % 7 == 1, F.timestamp_add("MILLISECOND", F.lit(500), F.date_trunc("minute", "ts"))).otherwise(F.col("ts"))))
     return validation.classify_whitelisted(m, platform, F.contains("text", F.lit("o")), 3).select(*ID, "drop_reason")
 
 
-_STATE = f", reg AS (SELECT * FROM {_REG} AS {_REG_COLUMNS}), j AS (SELECT m.*, source_id, enabled FROM m LEFT JOIN reg ON lower(channel) = lower(source_id)) SELECT event_id, replay, CASE WHEN source_id IS NULL THEN 'not_whitelisted' WHEN NOT enabled THEN 'source_disabled' "
+def _state(disabled: str, rules: str) -> str:
+    return f""", reg AS (SELECT * FROM {_REG} AS {_REG_COLUMNS}), j AS (SELECT m.*, source_id, enabled, CASE event_id % 7 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('minute', ts) + INTERVAL 500 MILLISECOND ELSE ts END AS posted FROM m LEFT JOIN reg ON lower(channel) = lower(source_id))
+ SELECT event_id, replay, CASE WHEN source_id IS NULL THEN 'not_whitelisted' WHEN NOT enabled THEN '{disabled}' {rules} END AS drop_reason FROM j"""
+
+
+_SEEN = "WHEN event_id % 9 = 0 THEN 'already_processed' WHEN event_id % 23 = 0 THEN 'missing_required_field' "
+_EMPTY = "WHEN event_id % 13 = 0 AND event_id % 11 <> 0 THEN 'empty_text' WHEN event_id % 17 = 0 THEN 'missing_required_field' WHEN event_id % 11 = 0 THEN 'empty_text' "
+_RATES = lambda own: f"WHEN event_id % 4 = 0 THEN '{own}' WHEN event_id % 5 = 0 THEN 'global_rate_exceeded' "
+_WORD = "WHEN NOT contains(text, 'o') THEN 'no_asset_keyword' "
 
 
-@register("fil9_whitelist_twitter", with_messages(_STATE + "WHEN NOT contains(text, 'o') THEN 'no_keyword' WHEN event_s % 60 = 0 THEN 'low_precision' WHEN event_id % 4 = 0 THEN 'rate_limited' END AS drop_reason FROM j"))
+@register("fil9_whitelist_twitter", with_messages(_state("source_disabled", _SEEN + "WHEN event_id % 19 = 0 THEN 'invalid_timestamp' " + _EMPTY + "WHEN epoch_us(posted) % 60000000 = 0 THEN 'low_precision_timestamp' " + _WORD + _RATES("source_rate_exceeded"))))
 def fil9(spark, sf_dir):
     return _classified(spark, sf_dir, "twitter")
 
 
-@register("fil10_whitelist_reddit", with_messages(_STATE + "WHEN NOT contains(text, 'o') THEN 'no_keyword' WHEN likes < 3 THEN 'low_score' WHEN event_id % 4 = 0 THEN 'rate_limited' END AS drop_reason FROM j"))
+@register("fil10_whitelist_reddit", with_messages(_state("subreddit_disabled", _SEEN + "WHEN event_id % 19 = 0 OR event_s <= 0 THEN 'invalid_timestamp' " + _EMPTY + "WHEN likes < 3 THEN 'low_score' " + _WORD + _RATES("subreddit_rate_exceeded"))))
 def fil10(spark, sf_dir):
     return _classified(spark, sf_dir, "reddit")
 
 
-@register("fil11_whitelist_telegram", with_messages(_STATE + "WHEN event_id % 4 = 0 THEN 'rate_limited' WHEN NOT contains(text, 'o') THEN 'no_keyword' END AS drop_reason FROM j"))
+@register("fil11_whitelist_telegram", with_messages(_state("source_disabled", _RATES("group_rate_exceeded") + "WHEN event_id % 13 = 0 OR event_id % 11 = 0 THEN 'empty_text' " + _WORD + "WHEN event_id % 19 = 0 THEN 'invalid_timestamp'")))
 def fil11(spark, sf_dir):
     return _classified(spark, sf_dir, "telegram")
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import profiles as P
-from ..operators import ordered, products, scoring, tables, validation
+from ..operators import normalise, ordered, products, scoring, tables, validation
 from ..sources import records
 from .core import ID, SENT, scored_messages
 from .inputs import messages, table, with_messages
-from .ordered import _REG, _REG_COLUMNS, GUARD, _last, guarded, registry
+from .ordered import _CASES, _REG, _REG_COLUMNS, GUARD, _last, guarded, registry
 from .registry import Registry
 
 register = Registry()
@@ -89,14 +89,33 @@ def requests(spark, sf_dir):
     return slots.select(F.concat_ws("-", "asset", F.col("slot").cast("string")).alias("request_id"), "asset", (F.col("slot") * 600).alias("since"), (F.col("slot") * 600 + 300).alias("until"), three.alias("sources"))
 
 
-@register("ag7_social_context", with_messages(f""", {SENT}, q AS (SELECT DISTINCT asset, event_s // 600 - CASE WHEN event_s < 0 AND event_s % 600 <> 0 THEN 1 ELSE 0 END AS slot FROM m), r AS (SELECT asset || '-' || slot AS request_id, * FROM q),
+AG7 = f""", {SENT}, q AS (SELECT DISTINCT asset, event_s // 600 - CASE WHEN event_s < 0 AND event_s % 600 <> 0 THEN 1 ELSE 0 END AS slot FROM m), r AS (SELECT asset || '-' || slot AS request_id, * FROM q),
  h AS (SELECT r.request_id, s.* FROM r JOIN scored s ON r.asset = s.asset AND s.event_s BETWEEN slot * 600 AND slot * 600 + 300 AND (source <> 'telegram' OR slot % 2 <> 0)),
  t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY event_s DESC, event_id DESC, replay DESC) AS n FROM h) WHERE n <= 1000),
- w AS (SELECT request_id, count(*) AS records, sum(CASE WHEN label = -1 THEN source_reliability * confidence ELSE 0 END) AS d, sum(CASE WHEN label = 0 THEN source_reliability * confidence ELSE 0 END) AS f, sum(CASE WHEN label = 1 THEN source_reliability * confidence ELSE 0 END) AS u FROM t GROUP BY 1)
- SELECT r.request_id, coalesce(records, 0) AS records, CASE WHEN records IS NULL THEN NULL WHEN d >= f AND d >= u THEN -1 WHEN f >= u THEN 0 ELSE 1 END AS label, CASE WHEN records > 0 THEN 200 ELSE 204 END AS status FROM r LEFT JOIN w USING (request_id)"""))
+ w AS (SELECT request_id, count(*) AS records, sum(CASE WHEN label = -1 THEN source_reliability * confidence ELSE 0 END) AS d, sum(CASE WHEN label = 0 THEN source_reliability * confidence ELSE 0 END) AS f, sum(CASE WHEN label = 1 THEN source_reliability * confidence ELSE 0 END) AS u,
+  bool_or(likes / 15.0::DOUBLE > 5) AS social_overheat, bool_or(likes / 15.0::DOUBLE > 3) AS fomo_risk, max(CASE event_id % 50 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) AS o, count(*) FILTER (reposts > 4) AS odd FROM t GROUP BY 1),
+ ctx AS (SELECT r.request_id, coalesce(records, 0) AS records, CASE WHEN records IS NULL THEN NULL WHEN d >= f AND d >= u THEN -1 WHEN f >= u THEN 0 ELSE 1 END AS label, CASE WHEN records > 0 THEN 200 ELSE 204 END AS status, social_overheat, fomo_risk, CASE WHEN records IS NULL THEN NULL WHEN social_overheat THEN 'low' ELSE 'normal' END AS sentiment_reliability,
+  CASE o WHEN 3 THEN 'critical' WHEN 2 THEN 'degraded' WHEN 1 THEN 'healthy' END AS overall, CASE WHEN records IS NULL THEN NULL WHEN odd >= records - odd THEN 'abnormally_high' ELSE 'normal' END AS volume FROM r LEFT JOIN w USING (request_id))"""
+
+
+def contexts(spark, sf_dir):
+    e = F.col("event_id") % 50
+    m = scored_messages(spark, sf_dir).withColumns({"velocity": F.col("likes") / F.lit(15.0), "overall": F.when(e == 0, "critical").when(e == 1, "degraded").otherwise("healthy"), "volume": F.when(F.col("reposts") > 4, "abnormally_high").otherwise("normal")})
+    return products.social_context(requests(spark, sf_dir), scoring.risk_indicators(m, "context"))
+
+
+@register("ag7_social_context", with_messages(f"{AG7} SELECT * FROM ctx"))
 def ag7(spark, sf_dir):
-    m = scored_messages(spark, sf_dir).withColumns({"social_overheat": F.lit(False), "fomo_risk": F.lit(False)})
-    return products.social_context(requests(spark, sf_dir), m).select("request_id", "records", "label", "status")
+    """Sentiment, risk and quality of every request's window."""
+    return contexts(spark, sf_dir).select("request_id", "records", "label", "status", "social_overheat", "fomo_risk", "sentiment_reliability", "overall", "volume")
+
+
+@register("prj7_context_json", with_messages(f"{AG7} SELECT request_id, records, label, overall, social_overheat, split_part(request_id, '-', 1) AS asset FROM ctx WHERE records > 0"))
+def prj7_context(spark, sf_dir):
+    """The answers as nested JSON, read back."""
+    found = contexts(spark, sf_dir).where("records > 0").join(requests(spark, sf_dir).select("request_id", "asset", "since", "until"), "request_id")
+    get = lambda path, kind="string": F.get_json_object("output", f"$.{path}").cast(kind)
+    return normalise.as_output(found, "context").select("request_id", get("social_context.record_count", "long").alias("records"), get("social_context.sentiment.label", "int").alias("label"), get("social_context.data_quality.overall").alias("overall"), get("social_context.risk_indicators.social_overheat", "boolean").alias("social_overheat"), get("asset").alias("asset"))
 
 
 @register("fil14_context_requests", with_messages(", q AS (SELECT DISTINCT asset, event_s // 600 - CASE WHEN event_s < 0 AND event_s % 600 <> 0 THEN 1 ELSE 0 END AS slot FROM m), r AS (SELECT asset || '-' || slot AS request_id, slot, (slot % 7) * 60 - 60 AS len FROM q) SELECT request_id, CASE WHEN slot % 5 = 0 THEN 'unknown_source' WHEN len <= 0 THEN 'empty_window' WHEN len < 30 THEN 'window_too_short' WHEN len > 300 THEN 'window_too_long' END AS request_error FROM r"))
@@ -115,16 +134,16 @@ def ag8(spark, sf_dir):
 
 
 @register("ag13_quality_report", with_messages(f""", {GUARD}, k AS (SELECT *, unnest(range(CAST(ceil(event_s / 600.0) * 600 AS BIGINT), CAST(floor((event_s + 3600) / 600.0) * 600 AS BIGINT) + 1, 600)) AS tick FROM guarded),
- e AS (SELECT asset, tick, source, count(*) FILTER (event_s >= tick - 300) AS n, count(*) AS b, count(*) FILTER (event_s >= tick - 300 AND guard_reason = 'late') AS late, count(*) FILTER (event_s >= tick - 300 AND replies > 2) AS odd FROM k GROUP BY 1, 2, 3),
- s AS (SELECT asset, tick, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(late) AS BIGINT) AS late, CAST(sum(odd) AS BIGINT) AS odd, max(n) AS most FROM e GROUP BY 1, 2),
+ e AS (SELECT asset, tick, source, CASE WHEN tick - max(event_s) >= {_CASES(P.AVAILABILITY_DOWN)} THEN 2 WHEN tick - max(event_s) >= {_CASES(P.AVAILABILITY_DEGRADED)} THEN 1 ELSE 0 END AS lv, count(*) FILTER (event_s >= tick - 300) AS n, count(*) AS b, count(*) FILTER (event_s >= tick - 300 AND guard_reason = 'late') AS late, count(*) FILTER (event_s >= tick - 300 AND replies > 2) AS odd FROM k GROUP BY 1, 2, 3),
+ s AS (SELECT asset, tick, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(late) AS BIGINT) AS late, CAST(sum(odd) AS BIGINT) AS odd, max(n) AS most, CASE WHEN count(*) < 3 OR max(lv) = 2 THEN 'down' WHEN max(lv) = 1 THEN 'degraded' ELSE 'ok' END AS availability FROM e GROUP BY 1, 2),
  f AS (SELECT *, CASE WHEN n > 0 THEN late / n::DOUBLE ELSE 0.0 END AS ls, CASE WHEN b > 0 THEN n / (b * (300 / 3600.0::DOUBLE)) ELSE 1.0 END AS vr, CASE WHEN n > 0 THEN most / n::DOUBLE ELSE 0.0 END AS tp, CASE WHEN n > 0 THEN odd / n::DOUBLE ELSE 0.0 END AS an FROM s),
  d AS (SELECT *, CASE WHEN ls > 0.15 THEN 'critical' WHEN ls > 0.05 THEN 'unstable' ELSE 'ok' END AS time_integrity, CASE WHEN vr < 0.30 THEN 'abnormally_low' WHEN vr > 3.0 THEN 'abnormally_high' ELSE 'normal' END AS volume, CASE WHEN tp > 0.70 THEN 'imbalanced' ELSE 'normal' END AS source_balance, CASE WHEN n > 0 AND an >= 0.5 THEN 'persistent' ELSE 'normal' END AS anomaly_frequency FROM f)
- SELECT asset, tick, n, b, late, odd, time_integrity, volume, source_balance, anomaly_frequency, CASE WHEN time_integrity = 'critical' THEN 'critical' WHEN time_integrity <> 'ok' OR volume <> 'normal' OR source_balance <> 'normal' OR anomaly_frequency <> 'normal' THEN 'degraded' ELSE 'healthy' END AS overall FROM d"""))
+ SELECT asset, tick, n, b, late, odd, availability, time_integrity, volume, source_balance, anomaly_frequency, CASE WHEN time_integrity = 'critical' OR availability = 'down' THEN 'critical' WHEN availability <> 'ok' OR time_integrity <> 'ok' OR volume <> 'normal' OR source_balance <> 'normal' OR anomaly_frequency <> 'normal' THEN 'degraded' ELSE 'healthy' END AS overall FROM d"""))
 def ag13(spark, sf_dir):
-    """Time, volume, balance and anomaly (AG-9 to AG-13) for every ten-minute tick and asset."""
+    """Availability, time, volume, balance and anomaly (AG-8 to AG-13) for every ten-minute tick and asset."""
     g = guarded(spark, sf_dir).withColumn("anomalous", F.col("replies") > 2)
     out = products.quality_report(products.ticks(g, 600, 3600), ["asset", "tick"])
-    return out.select("asset", "tick", "n", "b", "late", "odd", "time_integrity", "volume", "source_balance", "anomaly_frequency", "overall")
+    return out.select("asset", "tick", "n", "b", "late", "odd", "availability", "time_integrity", "volume", "source_balance", "anomaly_frequency", "overall")
 
 
 @register("jn11_ticks", with_messages(", k AS (SELECT *, unnest(range(CAST(ceil(event_s / 300.0) * 300 AS BIGINT), CAST(floor((event_s + 600) / 300.0) * 300 AS BIGINT) + 1, 300)) AS tick FROM m) SELECT channel, tick, count(*) AS n FROM k GROUP BY 1, 2"))

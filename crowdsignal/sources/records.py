@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The sentiment input record.
 RECORD = "source string, asset string, text string, timestamp string, engagement struct<like: long, reply: long, share: long>, author struct<followers: long, reputation_score: double>"
@@ -36,23 +39,44 @@ def flatten_listing(df: DataFrame, json_col: str, data: str) -> DataFrame:
     return df.withColumn("_c", F.explode(F.from_json(json_col, shape)["data"]["children"])).select(*[c for c in df.columns if c != json_col], "_c.data.*")
 
 
+def _replies(source: str | None) -> list[tuple[list[int], str | None, str | None]]:
+    """(path, author, body) of a thread's replies, in pre-order; what does not parse has none.
+
+    Replies are objects or, nested, JSON strings; each string is parsed once.
+    """
+    out, work = [], [([], source)]
+    while work:
+        path, replies = work.pop()
+        if isinstance(replies, str):
+            try:
+                replies = json.loads(replies) if replies else []
+            except (ValueError, RecursionError):
+                replies = []
+        below = []
+        for i, node in enumerate(replies if isinstance(replies, list) else []):
+            data = node.get("data") if isinstance(node, dict) and node.get("kind") == "t1" else None
+            if isinstance(data, dict):
+                below.append(([*path, i], data))
+        out.extend((p, d.get("author"), d.get("body")) for p, d in below)
+        work.extend((p, d.get("replies")) for p, d in below)
+    return sorted(out, key=lambda x: x[0])
+
+
 def flatten_thread(df: DataFrame, json_col: str, key: str, limit: int | None = None) -> DataFrame:
     """``(key, depth, path, author, body)`` of a reply tree, in pre-order by ``path``; at most ``limit`` a tree.
 
-    One pass a level: a level's replies are read off the JSON of the one before, until a level has none.
+    One pass over the rows, whatever the depth: each tree is taken apart where it lies.
     """
-    node = "array<struct<kind: string, data: struct<author: string, body: string, replies: string>>>"
-    at = df.select(key, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.col(json_col).alias("replies"))
-    out = None
-    while True:
-        rows = at.where(F.coalesce("replies", F.lit("")) != "").select(key, "depth", "path", F.posexplode(F.from_json("replies", node)).alias("i", "n")).where("n.kind = 't1'")
-        at = rows.select(key, (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("i")).alias("path"), F.col("n.data.author").alias("author"), F.col("n.data.body").alias("body"), F.col("n.data.replies").alias("replies")).persist()
-        out = at if out is None else out.union(at)
-        if at.isEmpty():
-            break
-    if limit is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("_n") <= limit).drop("_n")
-    return out.drop("replies")
+    kind = df.schema[key]
+    schema = T.StructType([kind, *T.StructType.fromDDL("depth int, path array<int>, author string, body string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in schema]
+        for batch in batches:
+            rows = [(k, len(p), p, a, b) for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, a, b in _replies(source)[:limit]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=schema.fieldNames())
+
+    return df.select(key, json_col).mapInArrow(run, schema)
 
 
 def as_thread(turns: DataFrame) -> DataFrame:
@@ -73,6 +97,34 @@ def harvest_pages(pages: DataFrame, patterns: list[str], html_col: str = "html",
     return pages.withColumn("harvested", F.slice(got, 1, most) if most else got)
 
 
+# Where a page holds its state, a record, or a bare text; how many bare texts count.
+STATE = r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.+?\});"
+RECORD_PARTS = r'"id_str":"(\d+)"[^}]*"text":"([^"]+)"[^}]*"favorite_count":(\d+)[^}]*"retweet_count":(\d+)'
+BARE_TEXT = r'"text":"([^"]{20,500})"'
+MOST_BARE = 50
+_HARVEST = "array<struct<tweet_id: string, text: string, likes: bigint, reposts: bigint>>"
+
+
+def harvest_records(pages: DataFrame, html_col: str = "html", name_col: str | None = None) -> DataFrame:
+    """Adds ``records`` (tweet_id, text, likes, reposts) and ``tier``: what the first way that finds something finds.
+
+    ``state``: the tweets of the timeline in the page's embedded state, if that parses. ``records``: single records by
+    their fields. ``texts``: at most 50 bare texts, with made-up ids. Null where a page holds nothing.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    tweet = "struct<id_str: string, id: string, text: string, full_text: string, favorite_count: bigint, retweet_count: bigint>"
+    state = F.from_json(F.regexp_extract(html, STATE, 1), f"timeline struct<entries: array<struct<content: struct<tweet: {tweet}>>>>")
+    tweets = F.transform(state["timeline"]["entries"], lambda e: e["content"]["tweet"])
+    found = F.transform(F.filter(tweets, lambda t: F.coalesce(t["id_str"], t["id"]).isNotNull()), lambda t: F.struct(F.coalesce(t["id_str"], t["id"]).alias("tweet_id"), F.coalesce(t["full_text"], t["text"]).alias("text"), F.coalesce(t["favorite_count"], F.lit(0)).alias("likes"), F.coalesce(t["retweet_count"], F.lit(0)).alias("reposts"))).cast(_HARVEST)
+    part = lambda i: F.regexp_extract_all(html, F.lit(RECORD_PARTS), F.lit(i))
+    single = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")), lambda r: F.struct(r["a"].alias("tweet_id"), r["b"].alias("text"), r["c"].cast("bigint").alias("likes"), r["d"].cast("bigint").alias("reposts"))).cast(_HARVEST)
+    name = F.coalesce(F.col(name_col).cast("string"), F.lit("")) if name_col else F.lit("page")
+    bare = F.transform(F.slice(F.regexp_extract_all(html, F.lit(BARE_TEXT), F.lit(1)), 1, MOST_BARE), lambda t, i: F.struct(F.concat(F.lit("syn_"), name, F.lit("_"), i.cast("string")).alias("tweet_id"), t.alias("text"), F.lit(0).alias("likes"), F.lit(0).alias("reposts"))).cast(_HARVEST)
+    parsed = state["timeline"]["entries"].isNotNull()  # an embedded state settles the page, also an empty one
+    tier = F.when(parsed, "state").when(F.size(single) > 0, "records").when(F.size(bare) > 0, "texts")
+    return pages.withColumn("tier", tier).withColumn("records", F.when(F.col("tier") == "state", found).when(F.col("tier") == "records", single).when(F.col("tier") == "texts", bare))
+
+
 def to_pipeline_event(df: DataFrame) -> DataFrame:
     """Adds ``pipeline_id``, the message id with its source's prefix, and the metrics as one struct."""
     s = F.col("source")
@@ -80,12 +132,22 @@ def to_pipeline_event(df: DataFrame) -> DataFrame:
     return df.withColumn("pipeline_id", key).withColumn("metrics", F.struct("likes", "reposts", "replies", "followers"))
 
 
-def union_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
-    """The union of what loads, by name, and a status row for each source; a failed one adds no rows and does not fail the rest."""
+def union_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], stage: str | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """The union of what loads, by name, and a status row for each source; a failed one adds no rows and does not fail the rest.
+
+    Each source is read whole before it counts, so that one which fails only while it is read is left out too: into a
+    folder of its own under ``stage`` (overwritten), from which the union reads; or, without ``stage``, twice.
+    """
     frames, status = [], []
     for name, load in loaders.items():
         try:
-            frames.append(load())
+            df = load()
+            if stage:
+                df.write.mode("overwrite").parquet(f"{stage}/{name}")
+                df = spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+            else:
+                df.write.format("noop").mode("overwrite").save()
+            frames.append(df)
             status.append((name, True, None))
         except Exception as e:
             status.append((name, False, f"{type(e).__name__}: {e}"))
