@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 from .components import connected_components
@@ -19,6 +20,8 @@ BANDS, ROWS = 32, 5
 #: A pair is ruled out where its signatures' estimate is so far below the threshold: with 160 minima the estimate for a
 #: pair at 0.8 has a standard deviation of 0.032, so this is five of them (one such pair in three million).
 SLACK = 0.16
+#: What is left after the pivots is also compared by 1,024 bytes, with a deviation of 0.0125; again five of them.
+FINE, FINE_SLACK = 1024, 0.0625
 #: Rows of a side that meet in one group; members of a bucket that stay together in a join.
 BLOCK_ROWS, PART_ROWS = 1024, 1000
 _BLOCK, _PAIRS = 1024, 4096
@@ -65,6 +68,12 @@ def minima(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     return low
 
 
+def _signs(minima: np.ndarray) -> np.ndarray:
+    """The lowest eight bits of each minimum as signs: a product of two such rows is eight times the equal minima, give or
+    take the root of eight times the others, as their bits agree by chance."""
+    return np.unpackbits((minima & 255).astype(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
 def signatures(docs: DataFrame, text_col: str, n_words: int, bands: int, rows: int, seed: int) -> DataFrame:
     """Per row of ``docs`` (its own columns stay, the text goes): n_shingles, set_key (of the shingle set), minima."""
     keep = [c for c in docs.columns if c != text_col]
@@ -231,22 +240,34 @@ def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
         component = connected_components(links)
         apart = still_apart(component)
     if not apart.isEmpty():
-        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows))
+        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows, seed))
         if not more.isEmpty():
             component = connected_components(links.union(more))
     return signed, classes, component
 
 
-def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _with_fine(sides: DataFrame, n_words: int, seed: int) -> DataFrame:
+    """``sides`` with, in place of the text, ``fine``: the lowest bytes of many more minima, a kilobyte for any text."""
+    keep = [f for f in sides.schema if f.name != "text"]
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            marks = [minima(shingle_hashes(t, n_words), FINE, seed + 1).astype(np.uint8).tobytes() for t in pdf["text"]]
+            yield pdf[[f.name for f in keep]].assign(fine=marks)
+
+    return sides.mapInPandas(sign, T.StructType([*keep, T.StructField("fine", T.BinaryType())]))
+
+
+def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs (class, pivot) of different components within a bucket that the bound and the signatures allow.
 
     A bucket's members outside its main component meet all its members in blocks of bounded size, so that neither a
     large bucket nor its pairs are ever in one place; a pair is given only by the first bucket that its classes share.
     """
     involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
-    bound = involved.select("class", "n_shingles", "minima").join(_lonely(involved, n_words), "class", "left")
+    bound = involved.join(_lonely(involved, n_words), "class", "left")
     bound = bound.withColumn("shareable", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely")
-    bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent)
+    bound = _with_fine(bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent), n_words, seed)
     able = materialize(apart.select("band", "number", "class", "n", "component").join(bound, "class"), "able")
     sizes = able.groupBy("band", "component").agg(F.count("*").alias("size"), F.max("n").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
@@ -257,20 +278,26 @@ def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows_of.where("component <> main").withColumn("i", spot("n_few")).withColumn("j", every("n_all")).withColumn("few", F.lit(True))
     two = rows_of.withColumn("j", spot("n_all")).withColumn("i", every("n_few")).withColumn("few", F.lit(False))
-    columns = ["band", "i", "j", "few", "number", "class", "component", "n_shingles", "shareable", "minima"]
+    columns = ["band", "i", "j", "few", "number", "class", "component", "n_shingles", "shareable", "minima", "fine"]
+    least_fine = FINE * (percent / 100 - FINE_SLACK + (1 - percent / 100 + FINE_SLACK) / 256)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         number, few, found = int(pdf["number"].iloc[0]), pdf["few"].to_numpy(), [np.zeros((0, 2), np.int64)]
         comp, n, able_n, names = (pdf[c].to_numpy() for c in ("component", "n_shingles", "shareable", "class"))
         marks, left, right = np.array(pdf["minima"].tolist(), np.int32), np.flatnonzero(few), np.flatnonzero(~few)
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64, None]
-            near = (comp[x] != comp[right]) & (np.minimum(able_n[x], able_n[right]) * (100 + percent) >= (n[x] + n[right]) * percent)
+        fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
+        signs, least = _signs(marks), marks.shape[1] * (percent / 100 - SLACK)
+        for at in range(0, len(left), 256):
+            x = left[at : at + 256, None]
+            near = signs[left[at : at + 256]] @ signs[right].T >= 8 * least - 5 * np.sqrt(8 * (marks.shape[1] - least))
+            near &= (comp[x] != comp[right]) & (np.minimum(able_n[x], able_n[right]) * (100 + percent) >= (n[x] + n[right]) * percent)
             i, j = np.nonzero(near)
             for low in range(0, len(i), _PAIRS):
                 a, b = left[at + i[low : low + _PAIRS]], right[j[low : low + _PAIRS]]
+                close = np.count_nonzero(fine[a] == fine[b], axis=1) >= least_fine
+                a, b = a[close], b[close]
                 same = marks[a] == marks[b]
-                ok = (same.mean(axis=1) >= percent / 100 - SLACK) & (same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == number)
+                ok = (same.sum(axis=1) >= least) & (same.reshape(len(a), bands, rows).all(axis=2).argmax(axis=1) == number)
                 found.append(np.stack([names[a[ok]], names[b[ok]]], axis=1))
         return pd.DataFrame(np.concatenate(found), columns=["class", "pivot"])
 

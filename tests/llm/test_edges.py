@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.llm import chat, html_text, mixing, packing, secrets
+from crowdsignal.llm import chat, html_text, mixing, near_dup, packing, secrets
 
 EXTRA = "doc_id bigint, text string, source string, score string, n_shingles string, leaks string, size string, target string, bucket string, shard string"
 
@@ -155,3 +155,41 @@ def test_packing_spreads_repeated_rows_and_keeps_long_texts(spark, monkeypatch):
             segments = [(p, a, b, r) for r in rows for d, p, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:], strict=False) if d == i]
             flat = np.concatenate([np.frombuffer(r.input_ids, "<u2")[a:b] for _, a, b, r in sorted(segments, key=lambda x: x[0])])
             assert encoder.decode(flat[:-1].tolist()) == texts[i]
+
+
+# ---- 4 -------------------------------------------------------------------------------------------------------------
+
+
+def test_near_duplicates_in_a_bucket_of_many(spark, monkeypatch):
+    """A family of copies edited apart: what pivots leave is settled in blocks, against brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(near_dup, "PART_ROWS", 50)
+    rng = random.Random(6)
+    base = words(rng, 60, 5000)
+    texts = []
+    for k in range(260):
+        c = list(base)
+        for _ in range(rng.choice([2, 3])):
+            c[rng.randrange(len(c))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(c))
+        if k % 9 == 0:  # a copy of a copy
+            texts.append(" ".join([*c[:-1], "last"]))
+    texts += ["far off " * 40_000, texts[0], None, ""]
+    calls = []
+    rest = near_dup._rest
+    monkeypatch.setattr(near_dup, "_rest", lambda *a: calls.append(1) or rest(*a))
+    got = near_dup.near_duplicates(frame(spark, texts), n_words=4).collect()
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert calls and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
