@@ -10,13 +10,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .texts import add_columns
 
 #: A seed is so many characters; a piece is asked for at most so many seeds. Longest piece (it fits a machine word).
 SAMPLED, REPEATS, PIECE = 6, 12, 60
 #: Share of the items at the edit limit, edited at random places, that the seeds have to find.
 RECALL = 0.99
+#: Characters of items that a task searches for at once.
+BLOCK_CHARS = 1_000_000
 _BLOCK, _CHUNK, _GAP = 1 << 16, 4096, 160
 _SHIFT = np.int64(1 << 40)
 _WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -255,13 +257,14 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, text_col: str = "text", keep: list[str] | None = None, repeats: int = REPEATS, sampled: int = SAMPLED, block: int = 20_000, seed: int = 11) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, text_col: str = "text", keep: list[str] | None = None, repeats: int = REPEATS, sampled: int = SAMPLED, block: int = BLOCK_CHARS, seed: int = 11) -> DataFrame:
     """``docs`` with a column ``leaks``: array of (item_id, edits, start, end), by item; empty where nothing leaks.
 
     An item leaks where some part of a text is within ``max_edits`` of the item's length in edits (lower case, words set
     apart by one space; start and end bound the words around it, in code points). Every place of every whole text is
-    searched. Items go to the tasks in blocks of ``block`` rows, one pass over the documents for each block, so that no
-    task holds more; texts are never shuffled.
+    searched. Items go to the tasks in blocks of about ``block`` characters (an index takes some 250 bytes for each), one
+    pass over the documents for each block, written in between, so that no task and no driver holds two indexes; texts
+    are never shuffled.
 
     An unedited item is always found. Seeds are chosen so that an item with random edits up to the limit is found with
     probability ``RECALL`` (drawn for its length); edits set evenly so as to hit every seed can hide a long item.
@@ -272,8 +275,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, te
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    count = rows.count()
-    blocks = max(1, -(-count // block))
+    count, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-chars // block))
     kind = "leaks array<struct<item_id: bigint, edits: int, start: int, end: int>>"
     out, names = docs, docs.columns
     for b in range(blocks):
@@ -282,6 +285,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, te
         if blocks == 1:
             return add_columns(docs, text_col, kind, lambda texts, index=index: [(x,) for x in index.value.leaks(texts)], keep)
         out = add_columns(out, text_col, f"_leaks{b} {kind[6:]}", lambda texts, index=index: [(x,) for x in index.value.leaks(texts)])
+        if b < blocks - 1:
+            out = materialize(out, "leaks")
+            index.unpersist()
     every = F.array_sort(F.concat(*[F.col(f"_leaks{b}") for b in range(blocks)]))
     return out.select(*[c for c in names if (keep is None or c in keep) and c != "leaks"], every.alias("leaks"))
 

@@ -160,7 +160,7 @@ def test_leaks(spark):
     bench = spark.createDataFrame([*enumerate(items), (4, items[4]), (9, None), (None, "x y z")], "item_id bigint, text string")
     got = {r.doc_id: [(x.item_id, x.edits > 0) for x in r.leaks] for r in decontaminate.with_leaks(frame(spark, texts), bench).collect()}
     assert got == {0: [(2, False)], 1: [(3, True)], 2: [], 3: [], 4: [], 5: [(0, False)], 6: [(1, False), (4, False)]}
-    in_blocks = decontaminate.with_leaks(frame(spark, texts), bench, block=2)
+    in_blocks = decontaminate.with_leaks(frame(spark, texts), bench, block=150)
     assert {r.doc_id: [(x.item_id, x.edits > 0) for x in r.leaks] for r in in_blocks.collect()} == got
     span = decontaminate.with_leaks(frame(spark, texts), bench).where("doc_id = 0").first().leaks[0]
     assert items[2].upper() in texts[0][span.start : span.end]
