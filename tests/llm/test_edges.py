@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.llm import chat, html_text, mixing, near_dup, packing, secrets
+from crowdsignal.llm import chat, components, decontaminate, fingerprints, html_text, mixing, near_dup, packing, quality, secrets, toxicity
 
 EXTRA = "doc_id bigint, text string, source string, score string, n_shingles string, leaks string, size string, target string, bucket string, shard string"
 
@@ -193,3 +193,104 @@ def test_near_duplicates_in_a_bucket_of_many(spark, monkeypatch):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     assert calls and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def test_components_of_nothing(spark):
+    assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---- 7 -------------------------------------------------------------------------------------------------------------
+
+
+def test_leaks_in_long_texts_and_among_items_that_share_words(spark):
+    rng = random.Random(7)
+    shared = " ".join(words(rng, 12, 9000))
+    items = [(i, f"{shared} {' '.join(words(rng, 8, 9000))}") for i in range(300)] + [(900, None), (901, " ")]
+    long = " ".join(words(rng, 150_000, 9000))
+    texts = [f"{long} {items[17][1].upper()} {long}", items[5][1], items[5][1], shared, None, ""]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.with_leaks(frame(spark, texts), bench).collect()
+    plain = lambda t: " ".join((t or "").lower().split())
+    for r in got[1:]:
+        want = {i for i, t in items if plain(t) and decontaminate.best_distance(plain(t), plain(texts[r.doc_id]))[0] <= 0.2 * len(plain(t))}
+        assert {x.item_id for x in r.leaks} == want
+    first = next(x for x in got[0].leaks if x.item_id == 17)
+    assert first.edits == 0 and texts[0][first.start : first.end] == items[17][1].upper()
+
+
+# ---- 8, 1 ----------------------------------------------------------------------------------------------------------
+
+
+def labelled(spark, n=600):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(n):
+        w, toxic, good = words(rng, rng.randrange(20, 60), 200), rng.random() < 0.3, rng.random() < 0.6
+        w += [rng.choice(["blockhead", "scum"]) for _ in range(3 * toxic)]
+        w = w if good else [w[k // 4] for k in range(len(w))]
+        rng.shuffle(w) if good else None
+        docs.append((i if i % 40 else None, " ".join(w), "score", "predicted", "y"))
+        labels.append((i if i % 50 else None, None if i % 30 == 0 else int(good), None if i % 31 == 0 else int(toxic), "text"))
+    docs += docs[:20]
+    return spark.createDataFrame(docs, "doc_id bigint, text string, score string, predicted string, y string"), spark.createDataFrame(labels + labels[:9], "doc_id bigint, quality int, toxic int, text string")
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, labels = labelled(spark)
+    scorer = toxicity.learn(docs, labels)
+    assert {"blockhead", "scum"} <= set(scorer.terms)
+    odd = frame(spark, ["w1 " * 400_000 + "you scum scum scum", "w" * 1_000_000, None, "", "you scun and blcokhead, blockheed", "you scun and blcokhead, blockheed"])
+    got = toxicity.toxicity(odd, scorer).orderBy("doc_id").collect()
+    assert got[4].score == got[5].score > got[2].score == got[3].score == got[1].score and all(0 <= r.score <= 1 for r in got)
+    assert set(got[0].asDict()) == {*odd.columns, "predicted"}
+    for none in (toxicity.learn(docs.where("false"), labels), toxicity.learn(docs, labels.where("false"))):
+        assert 0 <= none.score("scum") < 0.5
+
+
+def test_quality_weights_are_the_direct_ridge_solution(spark):
+    docs, labels = labelled(spark)
+    model = quality.learn(docs, labels, n_features=32)
+    sample = quality.labelled_sample(docs, labels, "quality", quality.LABELLED).where("pmod(xxhash64(text), 4) <> 0").collect()
+    z = model.fourier(np.array([quality.statistics(r.text) for r in sample]))
+    direct = np.linalg.solve(z.T @ z + np.diag([quality.RIDGE] * 31 + [1e-6]), z.T @ np.array([r.y for r in sample], float))
+    assert np.allclose(direct, model.weights, atol=1e-6)
+    odd = quality.quality(frame(spark, ["", None, "same text", "same text", "a" * 1_000_000, "\n" * 1000]), model).orderBy("doc_id").collect()
+    assert odd[0].score == odd[1].score and odd[2].score == odd[3].score and all(0 <= r.score <= 1 for r in odd)
+    assert quality.quality(docs.where("false"), model).count() == 0
+    for none in (quality.learn(docs.where("false"), labels), quality.learn(docs, labels.where("false"))):
+        assert 0 <= none.score(["x"])[0] <= 1
+
+
+# ---- 9 -------------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints_of_odd_rows(spark):
+    texts = ["word " * 200_000 + "end", None, "", " \n", "a b c", "a b c", "null one", "null two", "null two"]
+    ids = [1, 2, 3, 4, 5, 5, None, None, None]
+    df = frame(spark, texts, ids).withColumn("fact", F.lit(1)).withColumn("place", F.lit(2))
+    got = fingerprints.fingerprint_documents(df).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(ids)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.n_chars, r.fingerprint))
+    assert len(by[5]) == 1 and {n for n, _ in by[None]} == {8} and len(by[None]) == 2
+    zero = "0" * (fingerprints.SAMPLES * fingerprints.DIGITS)
+    assert all(by[i] == {(len(t or ""), zero)} for i, t in ((2, None), (3, ""), (4, " \n")))
+    assert by[1] != by[4] and next(iter(by[1]))[0] == 1_000_003
+
+
+def test_fingerprints_match_a_plain_model_of_the_samples(spark):
+    """Equal words with other weights: the share of equal samples is near the generalised Jaccard similarity."""
+    rng = random.Random(18)
+    texts = []
+    for _ in range(40):
+        w = words(rng, 100, 40)
+        texts.append(" ".join(w))
+    got = fingerprints.fingerprint_documents(frame(spark, texts)).orderBy("doc_id").collect()
+    off = []
+    for i, r in enumerate(got):
+        half = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - half] + texts[(i + 1) % len(texts)][:half]
+        a, b = collections.Counter(texts[i].split()), collections.Counter(edited.split())
+        off.append(r.near_edited - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(off)) < 0.04 and np.sqrt(np.mean(np.square(off))) < 0.09
