@@ -1,6 +1,7 @@
 """Streaming twins of the order-sensitive operators.
 
-State is one small value per key. Within a micro-batch the rows of a key are sorted by arrival; batches follow arrival,
+State is one small value per key. With ``ttl`` it goes when a key has not been seen for so many seconds of processing
+time; such a query runs on, as it waits for keys to expire, so leave it out where a query is to end. Within a micro-batch the rows of a key are sorted by arrival; batches follow arrival,
 as a queue or a growing folder gives them. Checkpoints restore the state after a restart, so no decision is taken twice.
 """
 
@@ -29,21 +30,26 @@ def dedupe_stream(stream: DataFrame, key: str = "fingerprint", event: str = "eve
     return stream.withWatermark(event, window).dropDuplicatesWithinWatermark([key])
 
 
-def _stateful(stream: DataFrame, by: list[str], order: list[str], flag: str, state: str, decide) -> DataFrame:
+def _stateful(stream: DataFrame, by: list[str], order: list[str], flag: str, state: str, decide, ttl: int | None) -> DataFrame:
     """Adds the boolean ``flag`` that ``decide(state, rows)`` gives for a key's rows in order, and its new state."""
     names = stream.columns
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         flags, kept = decide(group.get if group.exists else None, rows)
         group.update(kept)
+        if ttl:
+            group.setTimeoutDuration(ttl * 1000)
         yield rows[names].assign(**{flag: flags})
 
     schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes) + f", {flag} boolean"
-    return stream.groupBy(*by).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*by).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
-def order_guard_stream(stream: DataFrame, event: str = "event_s", order: tuple[str, ...] = ("arrival_s", "event_id")) -> DataFrame:
+def order_guard_stream(stream: DataFrame, event: str = "event_s", order: tuple[str, ...] = ("arrival_s", "event_id"), ttl: int | None = None) -> DataFrame:
     """Adds ``out_of_order``: below the largest earlier event time of the source and asset, less the source's tolerance."""
 
     def decide(state, rows):
@@ -54,11 +60,14 @@ def order_guard_stream(stream: DataFrame, event: str = "event_s", order: tuple[s
             seen = t if seen is None else max(seen, t)
         return flags, (int(seen),)
 
-    return _stateful(stream, ["source", "asset"], list(order), "out_of_order", "seen bigint", decide)
+    return _stateful(stream, ["source", "asset"], list(order), "out_of_order", "seen bigint", decide, ttl)
 
 
-def admit_stream(stream: DataFrame, by: str, limit: int, window: int = 60, ts: str = "arrival_s", order: tuple[str, ...] = ("arrival_s", "event_id")) -> DataFrame:
-    """Adds ``admitted`` as the batch operator does; the state is the times admitted within the window, ``limit`` at most."""
+def admit_stream(stream: DataFrame, by: str, limit: int, window: int = 60, ts: str = "arrival_s", order: tuple[str, ...] = ("arrival_s", "event_id"), ttl: int | None = None) -> DataFrame:
+    """Adds ``admitted`` as the batch operator does; the state is the times admitted within the window, ``limit`` at most.
+
+    ``ttl`` must be longer than the window.
+    """
 
     def decide(state, rows):
         kept, flags = (list(state[0]) if state else []), []
@@ -69,7 +78,7 @@ def admit_stream(stream: DataFrame, by: str, limit: int, window: int = 60, ts: s
                 kept.append(int(t))
         return flags, (kept,)
 
-    return _stateful(stream, [by], list(order), "admitted", "kept array<bigint>", decide)
+    return _stateful(stream, [by], list(order), "admitted", "kept array<bigint>", decide, ttl)
 
 
 def suppress_stream(stream: DataFrame, by: str = "alert_key", quiet: int = 600, ts: str = "arrival_s", order: tuple[str, ...] = ("arrival_s", "event_id")) -> DataFrame:

@@ -1,5 +1,7 @@
 """Streaming operators give the batch operators' rows over the same data in several micro-batches."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,16 @@ def test_lateness_is_by_wall_clock(spark):
     assert [r.lateness for r in stateful.with_lateness(df).collect()] == [None, "late", "future"]
 
 
+def fine(source="source"):
+    lag = F.col("arrival_s") - F.col("event_s")
+    return F.col("text").isNotNull() & (lag >= 0) & (lag <= F.coalesce(*[F.when(F.col(source) == k, v) for k, v in P.MAX_DELAY.items()]))
+
+
+def whole(spark, path, table):
+    out = [spark.read.parquet(f"{path}/{s}/{table}") for s in P.RELIABILITY]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def test_pipeline_writes_each_batch_once(spark, data, tmp_path):
     path, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     for _ in range(2):  # the second start finds nothing new
@@ -68,9 +80,64 @@ def test_pipeline_writes_each_batch_once(spark, data, tmp_path):
         for q in pipeline.start_pipeline(streams, path, ck).values():
             q.awaitTermination(120)
     rows_in = spark.read.parquet(data)
-    raw = spark.read.parquet(f"{path}/twitter/raw").unionByName(spark.read.parquet(f"{path}/reddit/raw")).unionByName(spark.read.parquet(f"{path}/telegram/raw"))
-    assert raw.count() == rows_in.where("text is not null").count() == raw.select("event_id").distinct().count()
+    raw = whole(spark, path, "raw")
+    assert 0 < raw.count() == rows_in.where(fine()).count() == raw.select("event_id").distinct().count()
     drops = spark.read.parquet(f"{path}/twitter/drops").groupBy("reason").agg(F.sum("count").alias("n")).collect()
-    assert sum(r.n for r in drops) == rows_in.where("source = 'twitter'").count()
-    mood = spark.read.parquet(f"{path}/reddit/sentiment")
-    assert set(r.label for r in mood.select("label").distinct().collect()) <= {-1, 1}
+    assert sum(r.n for r in drops) == rows_in.where("source = 'twitter'").count() and {"late", "future"} & {r.reason for r in drops}
+    assert {r.label for r in spark.read.parquet(f"{path}/reddit/sentiment").select("label").distinct().collect()} <= {-1, 1}
+    quality = whole(spark, path, "quality")
+    assert quality.agg(F.sum("collected")).first()[0] == rows_in.count() and quality.agg(F.sum("inserted")).first()[0] == raw.count()
+
+
+def test_pipeline_goes_on_after_a_restart_with_more_to_read(spark, data, tmp_path):
+    path, ck, folder = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "in")
+    rows_in = spark.read.parquet(data)
+    for part in ("event_id < 100", "event_id >= 100"):
+        rows_in.where(part).coalesce(1).write.mode("append").parquet(folder)
+        streams = {s: stream_records(spark, folder, FULL, 1).where(F.col("source") == s) for s in P.RELIABILITY}
+        for q in pipeline.start_pipeline(streams, path, ck, hook=lambda d: d.withColumn("text", F.upper("text"))).values():
+            q.awaitTermination(120)
+    raw = whole(spark, path, "raw")
+    assert raw.count() == rows_in.where(fine()).count() == raw.select("event_id").distinct().count()
+    assert raw.where("text <> upper(text)").count() == 0
+
+
+def test_one_source_fails_and_the_others_go_on(spark, data, tmp_path):
+    path, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    streams = {s: stream_records(spark, data, FULL, 2).where(F.col("source") == s) for s in P.RELIABILITY}
+    streams["reddit"] = streams["reddit"].withColumn("text", F.raise_error(F.lit("away")))
+    queries = pipeline.start_pipeline(streams, path, ck)
+    with pytest.raises(Exception, match="away"):
+        queries["reddit"].awaitTermination(120)
+    for s in ("twitter", "telegram"):
+        queries[s].awaitTermination(120)
+        assert spark.read.parquet(f"{path}/{s}/raw").count() == spark.read.parquet(data).where((F.col("source") == s) & fine()).count()
+
+
+def test_pipeline_runs_on_and_drops_repeats(spark, data, tmp_path):
+    path, ck, folder = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "in")
+    rows_in = spark.read.parquet(data).where("source = 'reddit'")
+    for _ in range(2):
+        rows_in.coalesce(1).write.mode("append").parquet(folder)
+    q = pipeline.start_pipeline({"reddit": stream_records(spark, folder, FULL, 1)}, path, ck, every="0 seconds", dedupe="fingerprint")["reddit"]
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+        raw = spark.read.parquet(f"{path}/reddit/raw")
+        assert raw.count() == raw.select("fingerprint").distinct().count() == rows_in.where(fine()).select("fingerprint").distinct().count()
+    finally:
+        q.stop()
+
+
+def test_state_of_a_key_expires(spark, data, tmp_path):
+    stream = stateful.admit_stream(stream_records(spark, data, FULL, 1), "channel", 3, ttl=1)
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="0 seconds").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            progress = q.lastProgress
+            if progress and progress["stateOperators"] and progress["numInputRows"] == 0 and progress["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+        assert q.isActive and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        q.stop()
