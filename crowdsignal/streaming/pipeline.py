@@ -49,7 +49,7 @@ def start_pipeline(streams: dict[str, DataFrame], path: str, checkpoint: str, ev
     """One query per source; a source that fails does not stop the others.
 
     Runs on, a batch ``every`` so often ("10 seconds"), or, without it, over what is there now. With ``dedupe`` the first
-    row of each value of that column passes, by an ``event_time`` within the longest window of the sources.
+    row of each value of that column goes on to the rules, by an ``event_time`` within the longest window of the sources.
     """
     out = {}
     for name, stream in streams.items():
