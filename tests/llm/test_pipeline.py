@@ -1,11 +1,13 @@
 """Stages of the pipeline against brute force, with repeated rows, shared ids and null ids."""
 
+import collections
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from crowdsignal.llm import decontaminate
+from crowdsignal.llm import decontaminate, mixing, packing, toxicity
 
 STAGES = dict(corpus_pipeline.STAGES)
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -67,3 +69,56 @@ def test_decontamination_drops_every_row_with_an_item(spark, rows, tmp_path):
     bad = lambda t: any(i and decontaminate.best_distance(low(i), low(t))[0] <= 0.2 * len(low(i)) for _, i in items)
     got = STAGES["decontamination"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert plain(got.collect()) == plain(r for r in rows if not bad(r[1]))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A folder of small tables with planted toxic documents, copies and benchmark items."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    docs, labels = [], []
+    items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(15))) for i in range(6)]
+    for i in range(240):
+        w, toxic = [word() for _ in range(rng.randrange(15, 60))], i % 4 == 0
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(["blockhead", "nitwit"]))
+        if i % 10 == 3:
+            w.insert(5, items[i % 6][1])
+        docs.append((i, " ".join(w), "en", None if i % 11 == 0 else f"s{i % 3}"))
+        labels.append((i, 1, int(toxic)))
+    docs += [(500 + i, docs[i][1], "en", "s1") for i in range(1, 60, 3)] + [docs[1]] * 5 + [(None, "a text without an id", "en", "s2"), (700, "", "en", "s0"), (701, None, None, None)]
+    path = str(tmp_path_factory.mktemp("sf"))
+    rows_in = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows_in.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_the_whole_pipeline_against_its_parts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = [tuple(r) for r in docs.collect()]
+    scorer = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    clean = [r for r in found if scorer.score(r[1]) < 0.5]
+    assert not any("blockhead" in (r[1] or "") or "nitwit" in (r[1] or "") for r in clean) and len(clean) > 150
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    low = lambda t: " ".join((t or "").lower().split())
+    kept = [r for r in brute_kept(clean) if not any(decontaminate.best_distance(i, low(r[1]))[0] <= 0.2 * len(i) for i in items)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(kept, docs.schema)).collect()
+    encoder = packing._encoder(packing.TOKENIZER).encoding
+    want = collections.Counter((r.doc_id, tuple(encoder.encode_ordinary(r.text or ""))) for r in mixed)
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        assert set(r.parts) == {0}  # no text is longer than a row here
+        for doc, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            assert ids[b - 1] == packing.END_OF_DOCUMENT
+            got[doc, tuple(ids[a : b - 1].tolist())] += 1
+    assert got == want
+
+
+def test_every_stage_but_the_last_keeps_the_columns_and_takes_an_empty_table(spark, folder):
+    none = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
