@@ -15,7 +15,10 @@ from crowdsignal.llm.common import materialize, small, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5, by what the labels outside the held-out fifth teach."""
+    """Documents that score under 0.5, by what the labels outside the held-out fifth teach.
+
+    Null and empty texts have no matches and stay, unless all labels are toxic; repeated rows are judged alike.
+    """
     scorer = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     model = spark.sparkContext.broadcast(scorer)
     scored = toxicity.add_columns(docs, "text", "_toxicity double", lambda texts: [(model.value.score(x),) for x in texts])
@@ -40,19 +43,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; each of repeated rows goes or stays."""
     names = docs.columns
     marked = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
     return marked.where(F.size("leaks") == 0).select(names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at weights 5, 2 and 1: documents repeated by epoch, the one at a budget's end cut at the word."""
+    """The sources at weights 5, 2 and 1: documents repeated by epoch, the one at a budget's end cut at the word.
+
+    Texts without words are kept once; a null source is one of its own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of 2,048 token ids."""
+    """Rows of 2,048 token ids; null and empty texts are a lone end mark."""
     return packing.pack(docs)
 
 
@@ -64,8 +70,7 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: Learned scores and token ids are beyond SQL; tests/llm/test_pipeline.py holds near_dedup and decontamination against brute
-#: force, tests/llm/test_llm.py the operators of the other stages.
+#: Learned scores and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force and its parts.
 ORACLE_SQL = None
 
 
