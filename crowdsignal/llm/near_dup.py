@@ -68,10 +68,10 @@ def minima(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     return low
 
 
-def _signs(minima: np.ndarray) -> np.ndarray:
-    """The lowest eight bits of each minimum as signs: a product of two such rows is eight times the equal minima, give or
-    take the root of eight times the others, as their bits agree by chance."""
-    return np.unpackbits((minima & 255).astype(np.uint8), axis=1).astype(np.float32) * 2 - 1
+def _signs(fine: np.ndarray) -> np.ndarray:
+    """The lowest bit of each byte as a sign: a product of two such rows is the number of equal minima, give or take the root
+    of the number of others, as their bits agree by chance."""
+    return (fine & 1).astype(np.float32) * 2 - 1
 
 
 def signatures(docs: DataFrame, text_col: str, n_words: int, bands: int, rows: int, seed: int) -> DataFrame:
@@ -267,7 +267,8 @@ def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands:
     involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
     bound = involved.join(_lonely(involved, n_words), "class", "left")
     bound = bound.withColumn("shareable", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely")
-    bound = _with_fine(bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent), n_words, seed)
+    bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent)
+    bound = _with_fine(bound.withColumn("bands", F.array(*_keys_of(bands, rows))).drop("minima"), n_words, seed)
     able = materialize(apart.select("band", "number", "class", "n", "component").join(bound, "class"), "able")
     sizes = able.groupBy("band", "component").agg(F.count("*").alias("size"), F.max("n").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
@@ -278,26 +279,25 @@ def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows_of.where("component <> main").withColumn("i", spot("n_few")).withColumn("j", every("n_all")).withColumn("few", F.lit(True))
     two = rows_of.withColumn("j", spot("n_all")).withColumn("i", every("n_few")).withColumn("few", F.lit(False))
-    columns = ["band", "i", "j", "few", "number", "class", "component", "n_shingles", "shareable", "minima", "fine"]
+    columns = ["band", "i", "j", "few", "number", "class", "component", "n_shingles", "shareable", "bands", "fine"]
     least_fine = FINE * (percent / 100 - FINE_SLACK + (1 - percent / 100 + FINE_SLACK) / 256)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         number, few, found = int(pdf["number"].iloc[0]), pdf["few"].to_numpy(), [np.zeros((0, 2), np.int64)]
         comp, n, able_n, names = (pdf[c].to_numpy() for c in ("component", "n_shingles", "shareable", "class"))
-        marks, left, right = np.array(pdf["minima"].tolist(), np.int32), np.flatnonzero(few), np.flatnonzero(~few)
+        keys, left, right = np.array(pdf["bands"].tolist(), np.int64), np.flatnonzero(few), np.flatnonzero(~few)
         fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
-        signs, least = _signs(marks), marks.shape[1] * (percent / 100 - SLACK)
+        signs, least = _signs(fine), FINE * (percent / 100 - FINE_SLACK)
         for at in range(0, len(left), 256):
             x = left[at : at + 256, None]
-            near = signs[left[at : at + 256]] @ signs[right].T >= 8 * least - 5 * np.sqrt(8 * (marks.shape[1] - least))
+            near = signs[left[at : at + 256]] @ signs[right].T >= least - 5 * np.sqrt(FINE - least)
             near &= (comp[x] != comp[right]) & (np.minimum(able_n[x], able_n[right]) * (100 + percent) >= (n[x] + n[right]) * percent)
             i, j = np.nonzero(near)
             for low in range(0, len(i), _PAIRS):
                 a, b = left[at + i[low : low + _PAIRS]], right[j[low : low + _PAIRS]]
                 close = np.count_nonzero(fine[a] == fine[b], axis=1) >= least_fine
                 a, b = a[close], b[close]
-                same = marks[a] == marks[b]
-                ok = (same.sum(axis=1) >= least) & (same.reshape(len(a), bands, rows).all(axis=2).argmax(axis=1) == number)
+                ok = (keys[a] == keys[b]).argmax(axis=1) == number
                 found.append(np.stack([names[a[ok]], names[b[ok]]], axis=1))
         return pd.DataFrame(np.concatenate(found), columns=["class", "pivot"])
 
