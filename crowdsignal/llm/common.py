@@ -6,6 +6,7 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders of the tables that ``materialize`` gave and nothing has deleted yet, in order.
+_written: list[str] = []
+_local: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``; a local run that sets none gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="spark-"))
+        shared = _local[0]
     return shared.rstrip("/")
 
 
@@ -34,7 +41,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    _written.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames, once nothing that is still to run reads them."""
+    for df in tables:
+        if (path := getattr(df, "_scratch_path", None)) in _written:
+            _delete(df.sparkSession, path)
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The written table of what ``make`` gives; all that was written on the way to it is deleted."""
+    before = set(_written)
+    out = materialize(make(), label)
+    for path in [p for p in _written if p not in before and p != out._scratch_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: the smallest node that each node of an edge can reach.
 
     Self-loops and repeated or null edges add nothing. No edges give no rows. Each round writes its edges to the shared
-    folder, so a lost executor costs one round. Neighbour lists are never collected: both steps are a minimum by key and
+    folder and drops those of the round before, so a lost executor costs one round. Neighbour lists are never collected: both steps are a minimum by key and
     a join, so that a node with millions of links is split like any skewed join key. ``max_rounds`` is a guard against a
     broken input (about the logarithm of the longest path is needed); reaching it raises an error.
     """
@@ -41,8 +41,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _stars(pairs):
             break
-        pairs = materialize(_small_star(_large_star(pairs)), "edges")
+        before, pairs = pairs, materialize(_small_star(_large_star(pairs)), "edges")
+        drop(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = pairs.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
-    return nodes.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    settled = materialize(nodes.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), "components")
+    drop(pairs)
+    return settled

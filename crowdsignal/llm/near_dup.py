@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import drop, materialize, table
 from .components import connected_components
 
 #: With 32 bands of 5 minima, a pair at the threshold of 0.8 misses every band with probability 3e-6.
@@ -198,7 +198,10 @@ def kept_rows(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str
     copies = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     bare = copies.where("n_shingles = 0").select("doc_id", "text_key", "copies")
     mine = copies.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies")
-    return best.join(mine, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "text_key", "copies").union(bare)
+    kept = best.join(mine, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "text_key", "copies").union(bare)
+    kept = materialize(kept, "kept")
+    drop(signed, classes, component)
+    return kept
 
 
 def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,17 +235,26 @@ def _groups(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
         apart = sizes.groupBy("band").agg(F.max(F.struct("size", "component", "pivot")).alias("main"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
         return materialize(_by_bucket(now, apart).select("band", "number", "class", "n", "component", F.col("main.component").alias("main"), F.col("main.pivot").alias("pivot")), "apart")
 
-    links = confirmed(best)
+    first = confirmed(best)
+    links, written = first, [first]
     component = connected_components(links)
     apart = still_apart(component)
     if not apart.isEmpty():
-        links = links.union(confirmed(apart.where("component <> main")))
+        second = confirmed(apart.where("component <> main"))
+        links = links.union(second)
+        drop(component, apart)
+        written.append(second)
         component = connected_components(links)
         apart = still_apart(component)
     if not apart.isEmpty():
-        more = confirmed(_rest(apart, sides, n_words, percent, bands, rows, seed))
-        if not more.isEmpty():
-            component = connected_components(links.union(more))
+        able = _able(apart, sides, n_words, percent, bands, rows, seed)
+        third = confirmed(_rest(able, percent))
+        drop(able)
+        written.append(third)
+        if not third.isEmpty():
+            drop(component)
+            component = connected_components(links.union(third))
+    drop(members, sides, apart, *written)
     return signed, classes, component
 
 
@@ -258,18 +270,22 @@ def _with_fine(sides: DataFrame, n_words: int, seed: int) -> DataFrame:
     return sides.mapInPandas(sign, T.StructType([*keep, T.StructField("fine", T.BinaryType())]))
 
 
-def _rest(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs (class, pivot) of different components within a bucket that the bound and the signatures allow.
-
-    A bucket's members outside its main component meet all its members in blocks of bounded size, so that neither a
-    large bucket nor its pairs are ever in one place; a pair is given only by the first bucket that its classes share.
-    """
+def _able(apart: DataFrame, sides: DataFrame, n_words: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """The members of ``apart`` that the bound on shared shingles leaves, with what ``_rest`` compares."""
     involved = sides.join(apart.select("class").distinct(), "class", "left_semi")
     bound = involved.join(_lonely(involved, n_words), "class", "left")
     bound = bound.withColumn("shareable", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely")
     bound = bound.where(F.col("shareable") * 100 >= F.col("n_shingles") * percent)
     bound = _with_fine(bound.withColumn("bands", F.array(*_keys_of(bands, rows))).drop("minima"), n_words, seed)
-    able = materialize(apart.select("band", "number", "class", "n", "component").join(bound, "class"), "able")
+    return materialize(apart.select("band", "number", "class", "n", "component").join(bound, "class"), "able")
+
+
+def _rest(able: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (class, pivot) of different components within a bucket that the bound and the signatures allow.
+
+    A bucket's members outside its main component meet all its members in blocks of bounded size, so that neither a
+    large bucket nor its pairs are ever in one place; a pair is given only by the first bucket that its classes share.
+    """
     sizes = able.groupBy("band", "component").agg(F.count("*").alias("size"), F.max("n").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1")
     blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
