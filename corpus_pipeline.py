@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdsignal.llm import decontaminate, mixing, near_dup, packing, toxicity
-from crowdsignal.llm.common import materialize, small, table
+from crowdsignal.llm.common import drop, settle, small, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null id stays only where its group has no other. Rows with one id and different texts are told apart.
     """
-    kept = materialize(near_dup.kept_rows(docs, n_words=5, percent=80), "kept").withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"})
+    kept = near_dup.kept_rows(docs, n_words=5, percent=80).withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"})
     key = near_dup.row_key(F.col("doc_id"), F.col("text"))
     same = key[0].eqNullSafe(F.col("kept_id")) & (key[1] == F.col("kept_key"))
     one = docs.join(kept.where("copies = 1"), same, "left_semi")
@@ -75,8 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Once a stage's result is written, what it was made from is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
