@@ -1,19 +1,15 @@
-"""Operators that depend on arrival order: time guard, velocity, repetition, admission, suppression.
+"""Operators that depend on arrival order: time guard, velocity, repetition, caps of a run.
 
-All are windows over (key, order) or folds per key and gap-session, so keys spread over the cluster. Times are whole
+All are windows over (key, slice of time), so keys spread over the cluster. Times are whole
 seconds or microseconds in BIGINT columns, which makes half-open frames exact.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import profiles as P
@@ -40,8 +36,10 @@ def time_guard(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s"
     Sources are named in any case. Out of order: below the largest earlier event time of the source and asset, less the
     tolerance. That maximum only moves on rows past the future and late tests (a row dropped later cannot raise it), so it
     is a running maximum: within slices of ``slice_s`` of arrival, on top of the earlier slices' maxima, so that a source
-    is never in one task (``order`` begins with the arrival). Duplicate: the fingerprint was accepted earlier; its window
-    is longer than the largest delay, so any repeat that passes the late test falls inside it and keep-first is exact.
+    is never in one task (``order`` begins with the arrival). Duplicate: the fingerprint was accepted earlier. It must be
+    made over the event time, as ``fingerprint("guard")`` is: then the duplicate window is longer than the largest delay,
+    any repeat that passes the late test falls inside it, and keep-first is exact. For fingerprints without the time there
+    is ``admission.flag_duplicates``. The first of a fingerprint is a minimum taken before rows shuffle.
     """
     source = F.lower("source")
     known = source.isin(*P.MAX_DELAY)
@@ -56,8 +54,10 @@ def time_guard(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s"
     seen = F.greatest("_carried", valid.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
     ordered = F.when(F.col("_early").isNull() & (F.col(event) < seen - C.by_source(source, P.ORDER_TOLERANCE)), "out_of_order")
     out = out.withColumn("_early", F.coalesce("_early", ordered))
-    first = F.row_number().over(Window.partitionBy(fingerprint, F.col("_early").isNull()).orderBy(*order))
-    return out.withColumn("guard_reason", F.coalesce("_early", F.when(first > 1, "duplicate"))).select(*df.columns, "guard_reason")
+    at = F.struct(*order)
+    first = out.where("_early is null").groupBy(F.col(fingerprint).alias("_of")).agg(F.min(at).alias("_first"))
+    out = out.join(first, F.col(fingerprint).eqNullSafe(F.col("_of")), "left")
+    return out.withColumn("guard_reason", F.coalesce("_early", F.when(at > F.col("_first"), "duplicate"))).select(*df.columns, "guard_reason")
 
 
 def time_check(df: DataFrame, event: str = "event_s", arrival: str = "arrival_s", future: int = 5, delay: int = 300) -> DataFrame:
@@ -142,48 +142,6 @@ def flag_pump_terms(df: DataFrame, terms: list[str] = P.PUMP_TERMS) -> DataFrame
     return df.withColumn("manipulation", (F.col("source") == "telegram") & (C.substring_hits(F.coalesce("text", F.lit("")), terms) > 0))
 
 
-def gap_sessions(df: DataFrame, by: tuple[str, ...], ts: str, gap: int, order: tuple[str, ...]) -> DataFrame:
-    """Adds ``session``: numbered runs of a key without a pause of ``gap`` seconds, after which no state survives."""
-    w = Window.partitionBy(*by).orderBy(ts, *order)
-    new = F.coalesce(F.col(ts) - F.lag(ts).over(w) >= gap, F.lit(True)).cast("int")
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
-
-
-def admit(df: DataFrame, by: tuple[str, ...], limit: int, window: int = 60, ts: str = "arrival_s", order: tuple[str, ...] = ("event_id", "replay")) -> DataFrame:
-    """Adds ``admitted``: fewer than ``limit`` rows of the key were admitted in the last ``window`` seconds, the start excluded.
-
-    A decision depends on earlier decisions, so each gap-session is read in order, row by row; the state is the last
-    ``limit`` admitted times, and no session is ever held whole. Sessions spread over the tasks. Rows without a time or
-    with a null in ``by`` belong to no window: null.
-    """
-    missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in (*by, ts)])
-    rows = gap_sessions(df.drop("admitted"), by, ts, window, order).withColumn("_missing", missing).withColumn("_t", F.col(ts).cast("long"))
-    rows = rows.repartition(*by, "session").sortWithinPartitions(*by, "session", "_t", *order)
-    names = rows.columns
-    key, time, none = [names.index(c) for c in (*by, "session")], names.index("_t"), names.index("_missing")
-    keep = [i for i, c in enumerate(names) if c not in ("session", "_missing", "_t")]
-    schema = T.StructType([*(rows.schema[i] for i in keep), T.StructField("admitted", T.BooleanType())])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, deque()
-        for batch in batches:
-            said = []
-            for *k, t, void in zip(*(batch.column(i).to_pylist() for i in (*key, time, none)), strict=True):
-                if void:
-                    said.append(None)
-                    continue
-                if k != last:
-                    last, kept = k, deque()
-                while kept and kept[0] <= t - window:
-                    kept.popleft()
-                said.append(len(kept) < limit)
-                if said[-1]:
-                    kept.append(t)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(said, pa.bool_())], names=schema.fieldNames())
-
-    return rows.mapInArrow(fold, schema)
-
-
 def admit_per_run(df: DataFrame, by: tuple[str, ...], per_key: int, overall: int, order: tuple[str, ...]) -> DataFrame:
     """Adds ``run_reason``: source_rate beyond the key's quota, else global_rate beyond the run's, null if admitted.
 
@@ -198,13 +156,8 @@ def admit_per_run(df: DataFrame, by: tuple[str, ...], per_key: int, overall: int
     return out.crossJoin(F.broadcast(cut)).withColumn("run_reason", reason).drop("_n", "_at", "_cut", "_taken")
 
 
-def suppress_alerts(df: DataFrame, by: tuple[str, ...] = ("alert_key",), quiet: int = 600, ts: str = "arrival_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Adds ``sent``: false within ``quiet`` seconds of the key's last sent alert; suppressed ones do not extend the pause."""
-    return admit(df, by, 1, quiet, ts, order).withColumnRenamed("admitted", "sent")
-
-
 def alert_stats(sent: DataFrame, as_of: int, by: tuple[str, ...] = ("alert_key",), quiet: int = 600, ts: str = "arrival_s") -> DataFrame:
-    """Per key of ``suppress_alerts``: alerts sent and suppressed, the last one sent, and seconds until the next may be."""
+    """Per key of ``admission.suppress_alerts``: alerts sent and suppressed, the last one sent, and seconds until the next may be."""
     last = F.max(F.when(F.col("sent"), F.col(ts)))
     out = sent.groupBy(*by).agg(F.count_if("sent").alias("n_sent"), F.count_if(~F.col("sent")).alias("n_suppressed"), last.alias("last_sent"))
     return out.withColumn("wait_s", F.coalesce(F.greatest(F.lit(0), quiet - (F.lit(as_of) - F.col("last_sent"))), F.lit(0)))
@@ -222,9 +175,11 @@ def latest_per(df: DataFrame, by: tuple[str, ...], ts: str, order: tuple[str, ..
 
 
 def dedupe_first(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """The first row of each key in order; rows with a null key all stay."""
-    null = F.lit(False)
-    for c in by:
-        null = null | F.col(c).isNull()
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_n", n).where(null | (F.col("_n") == 1)).drop("_n")
+    """The first row of each key in order; rows with a null key all stay, and do not shuffle.
+
+    A key's rows are first reduced within salted parts, so that one with a third of all rows is in many tasks.
+    """
+    null = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in by])
+    salted = df.where(~null).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
+    best = lambda d, keys: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
+    return best(best(salted, [*by, "_salt"]).drop("_salt"), by).union(df.where(null))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch_path
+
 PHRASES = ["to the moon, breakout confirmed", "accumulation and whale buying", "dump incoming, rug pull", "panic exit before collapse", "100x lambo all in", "quiet sideways market", "sell wall then dump dump", "buy wall and breakout", "exploit and hack reported", "moon moon yolo", "bankruptcy fear spreads", "nothing to report today"]
 _CASE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
 
@@ -42,10 +41,4 @@ def with_messages(sql: str) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share; a local run that names none gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)

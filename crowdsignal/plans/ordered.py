@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import profiles as P
-from ..operators import ordered, products, tables, validation
+from ..operators import admission, ordered, products, tables, validation
 from .core import ID, SENT, scored_messages
 from .inputs import messages, table, with_messages
 from .registry import Registry
@@ -16,7 +16,8 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 _FP = "md5(source || ':' || message_id || ':' || text)"
 _CASES = lambda d: "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + " END"
-GUARD = f"""g1 AS (SELECT *, {_FP} AS fingerprint, CASE WHEN arrival_s < event_s THEN 'future' WHEN arrival_s - event_s > {_CASES(P.MAX_DELAY)} THEN 'late' END AS e1 FROM m),
+_GUARD_FP = "sha256(source || '|' || asset || '|' || CAST(event_s AS VARCHAR) || '|' || lower(trim(text)))"
+GUARD = f"""g1 AS (SELECT *, {_GUARD_FP} AS fingerprint, CASE WHEN arrival_s < event_s THEN 'future' WHEN arrival_s - event_s > {_CASES(P.MAX_DELAY)} THEN 'late' END AS e1 FROM m),
  g2 AS (SELECT *, max(CASE WHEN e1 IS NULL THEN event_s END) OVER (PARTITION BY source, asset ORDER BY arrival_s, event_id, replay ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g1),
  g3 AS (SELECT *, coalesce(e1, CASE WHEN event_s < seen - {_CASES(P.ORDER_TOLERANCE)} THEN 'out_of_order' END) AS e2 FROM g2),
  guarded AS (SELECT *, coalesce(e2, CASE WHEN row_number() OVER (PARTITION BY fingerprint, e2 IS NULL ORDER BY arrival_s, event_id, replay) > 1 THEN 'duplicate' END) AS guard_reason FROM g3)"""
@@ -24,8 +25,8 @@ GUARD = f"""g1 AS (SELECT *, {_FP} AS fingerprint, CASE WHEN arrival_s < event_s
 
 def guarded(spark, sf_dir):
     m = messages(spark, sf_dir)
-    m = m.withColumn("fingerprint", C.fingerprint("store", source=F.col("source"), message_id=F.col("message_id"), text=F.col("text")))
-    return ordered.time_guard(m)
+    c = {n: F.col(n) for n in ("source", "asset", "text")}
+    return ordered.time_guard(m.withColumn("fingerprint", C.fingerprint("guard", timestamp=F.col("event_s").cast("string"), **c)))
 
 
 @register("tg5_time_guard", with_messages(f", {GUARD} SELECT event_id, replay, guard_reason FROM guarded"))
@@ -100,7 +101,7 @@ def mn4(spark, sf_dir):
     return ordered.flag_pump_terms(messages(spark, sf_dir)).select(*ID, "manipulation")
 
 
-def _fold(name: str, rows: str, by: str, limit: int, window: int) -> str:
+def _fold(name: str, rows: str, by: str, limit: int, window: int | str) -> str:
     """Two recursive tables: the rows of ``rows`` numbered by key, and each with its decision and the times then remembered."""
     kept = f"list_filter({name}.kept, lambda x: x > {name}_rows.arrival_s - {window})"
     return f"""{name}_rows AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY arrival_s, event_id, replay) AS rn FROM {rows}),
@@ -116,14 +117,20 @@ def _recursive(sql: str) -> str:
 @register("adm1_sliding_admission", _recursive(f", {_fold('f', 'm', 'channel', 5, 60)} SELECT event_id, replay, admitted FROM f"))
 def adm1(spark, sf_dir):
     """Five a minute and channel."""
-    return ordered.admit(messages(spark, sf_dir), ("channel",), 5).select(*ID, "admitted")
+    return admission.admit(messages(spark, sf_dir), ("channel",), 5).select(*ID, "admitted")
 
 
-@register("adm2_two_stage_admission", _recursive(f", {_fold('f', 'm', 'channel', 5, 60)}, p AS (SELECT m.* FROM m JOIN f USING (event_id, replay) WHERE admitted), {_fold('g', 'p', 'source', 8, 60)} SELECT event_id, replay, admitted FROM g"))
+_JOINT = """, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY arrival_s, event_id, replay) AS rn FROM m),
+ f AS (SELECT event_id, replay, source, rn, [{'t': arrival_s, 'c': channel}] AS kept, NULL::VARCHAR AS rate_reason FROM r WHERE rn = 1
+  UNION ALL SELECT event_id, replay, source, rn, CASE WHEN own < 2 AND len(kept) < 4 THEN list_append(kept, {'t': arrival_s, 'c': channel}) ELSE kept END, CASE WHEN own >= 2 THEN 'source_rate' WHEN len(kept) >= 4 THEN 'global_rate' END
+  FROM (SELECT *, len(list_filter(kept, lambda x: x.c = channel)) AS own FROM (SELECT r.*, list_filter(f.kept, lambda x: x.t > r.arrival_s - 60) AS kept FROM f JOIN r ON f.source = r.source AND r.rn = f.rn + 1)))
+ SELECT event_id, replay, rate_reason FROM f"""
+
+
+@register("adm2_two_stage_admission", _recursive(_JOINT))
 def adm2(spark, sf_dir):
-    """Per channel, then per source over what the channels admitted."""
-    first = ordered.admit(messages(spark, sf_dir), ("channel",), 5).where("admitted").drop("admitted")
-    return ordered.admit(first, ("source",), 8).select(*ID, "admitted")
+    """Two a minute for each channel of a source and four for the source; a row that either drops uses up neither."""
+    return admission.admit_jointly(messages(spark, sf_dir), ("source", "channel"), 2, ("source",), 4).select(*ID, "rate_reason")
 
 
 @register("adm3_per_run_caps", with_messages(""", a AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY arrival_s, event_id, replay) AS n FROM m), b AS (SELECT *, sum(CASE WHEN n <= 100 THEN 1 ELSE 0 END) OVER (ORDER BY arrival_s, event_id, replay ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM a)
@@ -132,12 +139,19 @@ def adm3(spark, sf_dir):
     return ordered.admit_per_run(messages(spark, sf_dir), ("channel",), 100, 500, ("arrival_s", "event_id", "replay")).select(*ID, "run_reason")
 
 
+@register("tg4_windowed_duplicates", _recursive(f", a AS (SELECT *, source || '|' || text AS fingerprint FROM m), {_fold('f', 'a', 'fingerprint', 1, "CASE split_part(f_rows.fingerprint, '|', 1) WHEN 'twitter' THEN 301 WHEN 'reddit' THEN 1801 ELSE 601 END")} SELECT event_id, replay, NOT admitted AS duplicate FROM f"))
+def tg4(spark, sf_dir):
+    """A text repeated within its source's window, which the fingerprint says nothing about."""
+    m = messages(spark, sf_dir).withColumn("fingerprint", F.concat_ws("|", "source", "text"))
+    return admission.flag_duplicates(m).select(*ID, "duplicate")
+
+
 _QUIET = f", a AS (SELECT *, asset || '|' || source AS alert_key FROM m), {_fold('f', 'a', 'alert_key', 1, 60)}"
 
 
 def _sent(spark, sf_dir):
     a = messages(spark, sf_dir).withColumn("alert_key", F.concat_ws("|", "asset", "source"))
-    return ordered.suppress_alerts(a, quiet=60, order=("event_id", "replay"))
+    return admission.suppress_alerts(a, quiet=60, order=("event_id", "replay"))
 
 
 @register("str8_alert_suppression", _recursive(f"{_QUIET} SELECT event_id, replay, admitted AS sent FROM f"))

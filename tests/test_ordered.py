@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdsignal.functions import profiles as P
-from crowdsignal.operators import ordered
+from crowdsignal.operators import admission, ordered
 
 
 def rows(seed, n=300):
@@ -63,14 +63,14 @@ def test_admission(spark, limit):
         want[i] = len(q) < limit
         if want[i]:
             q.append(t)
-    got = {r.event_id: r.admitted for r in ordered.admit(spark.createDataFrame(data, SCHEMA), ("channel",), limit).collect()}
+    got = {r.event_id: r.admitted for r in admission.admit(spark.createDataFrame(data, SCHEMA), ("channel",), limit).collect()}
     assert got == want
 
 
 def test_neither_admission_gathers_rows(spark):
     df = spark.createDataFrame(rows(3), SCHEMA)
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan(ordered.admit(df, ("channel",), 3))
+    assert "collect_list" not in plan(admission.admit(df, ("channel",), 3))
     assert "SinglePartition" not in plan(ordered.admit_per_run(df, ("channel",), 40, 60, ("arrival_s", "event_id"))).split("TakeOrderedAndProject")[0]
 
 
@@ -83,7 +83,7 @@ def test_admission_of_one_key_without_a_pause(spark):
         want[r[0]] = len(kept) < 8
         if want[r[0]]:
             kept.append(r[6])
-    got = {r.event_id: r.admitted for r in ordered.admit(spark.createDataFrame(data, SCHEMA).repartition(5), ("source",), 8).collect()}
+    got = {r.event_id: r.admitted for r in admission.admit(spark.createDataFrame(data, SCHEMA).repartition(5), ("source",), 8).collect()}
     assert got == want
 
 
@@ -124,7 +124,7 @@ def test_coordinated(spark):
 
 def test_suppressed_alerts_do_not_extend_the_pause(spark):
     df = spark.createDataFrame([(i, "k", t) for i, t in enumerate([0, 300, 599, 600, 900, 1200])], "event_id int, alert_key string, arrival_s bigint")
-    got = ordered.suppress_alerts(df).orderBy("event_id").collect()
+    got = admission.suppress_alerts(df).orderBy("event_id").collect()
     assert [r.sent for r in got] == [True, False, False, True, False, True]
 
 
@@ -139,5 +139,5 @@ def test_sort_by_event_time_keeps_every_row_in_order(spark):
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ordered.time_guard(empty).count() == 0
-    assert ordered.admit(empty, ("channel",), 3).count() == 0
+    assert admission.admit(empty, ("channel",), 3).count() == 0
     assert ordered.velocity(empty, "ing_tw").agg(F.count("*")).first()[0] == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdsignal.functions import profiles as P
-from crowdsignal.operators import ordered
+from crowdsignal.operators import admission, ordered
 from crowdsignal.sources.records import stream_records
 from crowdsignal.streaming import pipeline, stateful
 from test_ordered import SCHEMA, rows
@@ -35,10 +35,10 @@ def test_order_admission_and_suppression(spark, data, tmp_path):
     batch = spark.read.parquet(data)
     stream = lambda: stream_records(spark, data, FULL, 1)
     got = drained(spark, tmp_path, stateful.admit_stream(stream(), "channel", 3), "admit")
-    want = ordered.admit(batch, ("channel",), 3)
+    want = admission.admit(batch, ("channel",), 3)
     assert {(r.event_id, r.admitted) for r in got.collect()} == {(r.event_id, r.admitted) for r in want.collect()}
     got = drained(spark, tmp_path, stateful.suppress_stream(stream(), quiet=120), "suppress")
-    want = ordered.suppress_alerts(batch, quiet=120)
+    want = admission.suppress_alerts(batch, quiet=120)
     assert {(r.event_id, r.sent) for r in got.collect()} == {(r.event_id, r.sent) for r in want.collect()}
     seen, flags = {}, {}
     for i, _, s, _, a, e, _, _ in rows(21, 200):
