@@ -1,4 +1,7 @@
-"""The continuous pipeline: validated posts to raw, sentiment and risk tables, one query per source."""
+"""The continuous pipeline under the guard's limits: validated posts to raw, sentiment and risk tables, one query per source.
+
+The worker's live path, with its own time rule, repeats, weights and one commit a batch, is in ``worker``.
+"""
 
 from __future__ import annotations
 
