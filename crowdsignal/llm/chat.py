@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import blocked, let, offsets, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that an attachment expands to: image patches of so many pixels a side, audio frames a second, a page.
@@ -53,7 +53,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     width, height, seconds and pages the table has.
 
     Built-in functions only; one shuffle, whose rows are turns gathered by map task. A conversation is one value, so its
-    turns end in one task; conversations are spread by id. Cases: null text and roles are empty; null or empty parts give an
+    turns end in one task; conversations are spread by id. Places are sums of blocks, so many turns cost little more each. Cases: null text and roles are empty; null or empty parts give an
     empty turn; an unknown kind counts as text, and parts that meet cannot form a control string; equal turn numbers are ordered by role and content; repeated rows stay; null ids form one
     conversation; an empty table gives no rows; other columns are not read.
     """
@@ -67,15 +67,11 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     one = rows.groupBy("conv_id").agg(whole.alias("turns"))
     shown = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(f"{END}\n")))
 
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + len(START) + F.length(t["role"]) + 1
-        size = F.length(t["content"])
-        mask = F.when(t["role"] == learn_from, F.concat(acc["mask"], F.array(F.struct(begin.alias("start"), size.alias("length"))))).otherwise(acc["mask"])
-        return F.struct((begin + size + len(END) + 1).alias("at"), mask.alias("mask"))
-
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("mask"))
+    sizes = F.transform("turns", lambda t: F.length(t["role"]) + F.length(t["content"]) + (len(START) + len(END) + 2))
+    placed = F.zip_with("turns", offsets(sizes), lambda t, at: F.struct((t["role"] == learn_from).alias("learned"), (at + F.length(t["role"]) + (len(START) + 1)).alias("start"), F.length(t["content"]).alias("length")))
+    mask = F.transform(F.filter(placed, lambda m: m["learned"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length")))
     attachments = F.flatten(F.transform("turns", lambda t: F.transform(t["attached"], lambda a: F.struct(t["turn"].alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    return one.select("conv_id", F.array_join(shown, "").alias("formatted"), F.aggregate("turns", nothing, step, lambda acc: acc["mask"]).alias("loss_mask"), attachments.alias("attachments"))
+    return one.select("conv_id", F.array_join(shown, "").alias("formatted"), mask.alias("loss_mask"), attachments.alias("attachments"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -92,8 +88,20 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """What stands under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(mask, lambda m: unescape(formatted.substr(m["start"] + 1, m["length"]))), "")
+    """What stands under the loss mask, unescaped, in order. The mask ascends, as ``format_conversations`` gives it.
+
+    A string is walked from its start to reach a place in it. So it is first cut into blocks at turns, and each span read
+    from the block that holds it: the work grows with the length times the root of the number of turns.
+    """
+    pieces = F.split(formatted, r"(?=<\|im_start\|>)")
+    texts = F.transform(let(pieces, blocked), lambda b: F.array_join(b, ""))
+
+    def read(blocks: Column, held: Column) -> Column:
+        begins = F.zip_with(blocks, offsets(F.transform(blocks, lambda b: F.length(b))), lambda b, at: F.struct(b.alias("text"), at.alias("at"), (at + F.length(b)).alias("end")))
+        own = lambda b: F.filter(held, lambda m: (m["start"] >= b["at"]) & (m["start"] < b["end"]))
+        return F.flatten(F.transform(begins, lambda b: F.transform(own(b), lambda m: unescape(b["text"].substr(m["start"] - b["at"] + 1, m["length"])))))
+
+    return F.array_join(let(mask, lambda held: let(texts, lambda blocks: read(blocks, held))), "")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,26 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
 def small(dim: DataFrame, bound: int = 100_000) -> DataFrame:
     """``dim`` with a broadcast hint if it has at most ``bound`` rows, counted no further than that."""
     return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: what stands in a lambda is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocked(items: Column) -> Column:
+    """An array cut into about as many arrays as each of them is long."""
+    per = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
+    return F.when(F.size(items) == 0, F.filter(F.array(items), lambda x: F.lit(False))).otherwise(F.transform(F.sequence(F.lit(1), F.size(items), per), lambda at: F.slice(items, at, per)))
+
+
+def offsets(sizes: Column) -> Column:
+    """Where each item begins if items of these sizes (integers) stand in a row; sums of blocks first, so that the arrays
+    that grow by one number at a time stay short."""
+
+    def summed(start: Column, items: Column) -> Column:
+        nothing = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(items, nothing, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    total = lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n)
+    return F.flatten(let(let(sizes, blocked), lambda blocks: F.zip_with(blocks, summed(F.lit(0), F.transform(blocks, total)), lambda b, at: summed(at, b))))
