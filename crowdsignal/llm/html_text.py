@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +49,12 @@ _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
 
 
+#: Spaces that align a column, at most, for each visible character of its table; in all, for each character of the page.
+PADDING = 8
+# The most columns and rows that a cell may span in HTML.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -223,23 +230,105 @@ class _Flow:
         return self.lines
 
 
-def _next_row(rows: list[list[list[str]]], taken: dict[int, int]) -> None:
-    """Start a row; the columns that cells above it take are taken for one row less."""
-    rows.append([])
-    for c in list(taken):
-        taken[c] -= 1
-        if not taken[c]:
-            del taken[c]
+class _Grid:
+    """A table's cells by row and column; cells that span rows keep their columns taken below."""
 
-
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Cells in columns as wide as their widest line, two spaces apart; a cell of several lines takes several lines."""
-    columns = max((len(r) for r in rows), default=0)
-    widths = [max((len(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(columns)]
-    out = []
+    def __init__(self):
+        self.rows: list[dict[int, list[str]]] = []
+        self.column = 0
+        self.taken: dict[int, tuple[int, int]] = {}  # first column of a cell that spans rows -> (column after it, last row)
+        self.runs: dict[int, tuple[int, int]] = {}  # the same for what several of them take in a row, seen before
+
+    def next_row(self) -> None:
+        self.rows.append({})
+        self.column = 0
+
+    def place(self, lines: list[str], across: int, down: int) -> None:
+        row, start = len(self.rows) - 1, self.column
+        last, hops = row + down, 0
+        until = 1 << 40
+        while True:
+            found = self.runs.get(self.column) or self.taken.get(self.column)
+            if found is None or found[1] < row:
+                found = self.taken.get(self.column)
+            if found is None or found[1] < row:
+                break
+            self.column, until, hops = found[0], min(until, found[1]), hops + 1
+        if hops > 1:
+            self.runs[start] = (self.column, until)
+        self.rows[-1][self.column] = lines
+        end = self.column + across
+        if across > 1 and self.taken:
+            over = self.taken.keys() & set(range(self.column, end))
+            end = max([end, *(self.taken[c][0] for c in over if self.taken[c][1] >= row)])
+        if down > 1:
+            self.taken[self.column] = (self.column + across, last - 1)
+        self.column = end
+
+
+def _width(widths: set[int], lengths: list[int], empty: int, budget: int) -> tuple[int, int]:
+    """The widest of ``widths`` to which the ``lengths`` of a column can be padded within ``budget``, and the padding.
+
+    ``empty`` lines have nothing in the column but something after it.
+
+    -2 where not even the gap of an empty cell fits: such a column takes no place in lines that have nothing in it.
+    """
+    best, cost, below, total = (-2, 0), 0, 0, 0
+    for at in sorted(widths):
+        while below < len(lengths) and lengths[below] < at:
+            total += lengths[below]
+            below += 1
+        cost = at * below - total + empty * (at + 2)
+        if cost > budget:
+            break
+        best = at, cost
+    return best
+
+
+def _table(rows: list[dict[int, list[str]]], spare: list[int]) -> list[str]:
+    """Cells in columns as wide as their widest line, two spaces apart; a cell of several lines takes several lines.
+
+    A column's padding is at most ``PADDING`` times the visible characters and cells of its table, and a page's in all at
+    most ``spare``: beyond that a column is as wide as the widest line that keeps to it, and wider cells move what follows
+    them. So the text grows with the page, and nothing of it is lost or cut.
+    """
+    lines: list[list[tuple[int, str]]] = []
     for row in rows:
-        for i in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip(" "))
+        cells = sorted(row.items())
+        for i in range(max((len(x) for _, x in cells), default=0)):
+            lines.append([(c, x[i]) for c, x in cells if i < len(x) and x[i]])
+    lengths: dict[int, list[int]] = {}
+    widths: dict[int, set[int]] = {}
+    weight: dict[int, int] = {}
+    for line in lines:
+        for c, x in line:
+            weight[c] = weight.get(c, 0) + len(x) - x.count(" ") + 4
+            widths.setdefault(c, {0}).add(len(x))
+        for c, x in line[:-1]:
+            lengths.setdefault(c, []).append(len(x))
+    ends = sorted(line[-1][0] for line in lines if line)
+    place, at, before = {}, 0, -1
+    most = PADDING * (sum(weight.values()) + 16)
+    for c in sorted(weight):
+        bare = 2 * (c - before - 1)  # columns without a visible character in between
+        if bare and bare * (cost := len(ends) - bisect_right(ends, before)) <= min(most, spare[0]):
+            spare[0] -= bare * cost
+            at += bare
+        before = c
+        own = sorted(lengths.get(c, []))
+        beyond = len(ends) - bisect_right(ends, c) - len(own)
+        width, cost = _width(widths[c], own, beyond, min(most, spare[0]))
+        spare[0] -= cost
+        place[c] = at
+        at += width + 2
+    out = []
+    for line in lines:
+        parts, used = [], 0
+        for c, x in line:
+            gap = max(place[c] - used, 2 if used else 0)
+            parts += [" " * gap, x]
+            used += gap + len(x)
+        out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -248,6 +337,7 @@ class _Styles:
 
     def __init__(self, root: Node):
         self.rules: list[tuple[str, frozenset, str, str]] = []
+        self.by_key: dict[str, list[int]] = {}
         work: list[Node] = [root]
         while work:
             node = work.pop()
@@ -263,15 +353,21 @@ class _Styles:
             if (m := _SIMPLE.match(selector.strip())) and (m[1] or m[2]):
                 parts = re.findall(r"[.#][\w-]+", m[2])
                 ids = [p[1:] for p in parts if p[0] == "#"]
-                self.rules.append(((m[1] or "*").lower(), frozenset(p[1:] for p in parts if p[0] == "."), ids[0] if ids else "", body))
+                tag, classes = (m[1] or "*").lower(), [p[1:] for p in parts if p[0] == "."]
+                key = f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag
+                self.by_key.setdefault(key, []).append(len(self.rules))
+                self.rules.append((tag, frozenset(classes), ids[0] if ids else "", body))
 
     def of(self, node: Node) -> str:
-        """The declarations that hold for an element, its own last."""
+        """The declarations that hold for an element, its own last. Only rules named by its id, classes or tag are tried."""
         own = node.attributes.get("style", "")
         if not self.rules:
             return own
         classes = frozenset(node.attributes.get("class", "").split())
-        return ";".join([*(body for tag, want, id_, body in self.rules if tag in ("*", node.tag) and want <= classes and id_ in ("", node.attributes.get("id", ""))), own])
+        keys = ["*", node.tag, f"#{node.attributes.get('id', '')}", *(f".{c}" for c in classes)]
+        tried = sorted(i for k in keys for i in self.by_key.get(k, ()))
+        said = (self.rules[i] for i in tried)
+        return ";".join([*(body for tag, want, id_, body in said if tag in ("*", node.tag) and want <= classes and id_ in ("", node.attributes.get("id", ""))), own])
 
 
 def _displayed(node: Node, style: str) -> bool:
@@ -295,9 +391,9 @@ def _option(select: Node) -> list[Node | str]:
     return [next((o for o in options if "selected" in o.attributes), options[0])] if options else []
 
 
-def _span(node: Node, name: str) -> int:
+def _span(node: Node, name: str, most: int) -> int:
     given = node.attributes.get(name, "1")
-    return max(1, min(int(given), 100)) if given.isdigit() else 1
+    return max(1, min(int(given), most)) if given.isdigit() and len(given) < 20 else 1
 
 
 def render(source: str | None) -> str:
@@ -310,8 +406,8 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     flows = [_Flow()]
-    tables: list[list[list[list[str]]]] = []
-    held: list[dict[int, int]] = []  # of each table, the columns that cells from above still take, with the rows left
+    tables: list[_Grid] = []
+    spare = [PADDING * len(source) + 4096]
     lists: list[list] = []
     preserve = drawing = 0
     root = parse(source)
@@ -363,14 +459,13 @@ def render(source: str | None) -> str:
             elif tag in ("pre", "textarea"):
                 preserve += 1
             elif tag == "table":
-                tables.append([])
-                held.append({})
+                tables.append(_Grid())
                 flows.append(_Flow())  # text outside cells, such as a caption
             elif tag == "tr" and tables:
-                _next_row(tables[-1], held[-1])
+                tables[-1].next_row()
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    _next_row(tables[-1], held[-1])
+                if not tables[-1].rows:
+                    tables[-1].next_row()
                 flows.append(_Flow())
             work.append(("close", node, shown))
             work.extend(("open", c, shown) for c in reversed(node.children))
@@ -378,21 +473,12 @@ def render(source: str | None) -> str:
         if tag in ("svg", "math"):
             drawing -= 1
         if tag in ("td", "th") and tables:
-            row, taken = tables[-1][-1], held[-1]
-            while taken.get(len(row)):
-                row.append([])
-            across, down = _span(node, "colspan"), _span(node, "rowspan")
-            for c in range(len(row), len(row) + across):
-                if down > 1:
-                    taken[c] = down
-            row.append(flows.pop().done())
-            row.extend([] for _ in range(across - 1))
+            tables[-1].place(flows.pop().done(), _span(node, "colspan", MOST_ACROSS), _span(node, "rowspan", MOST_DOWN))
             continue
         if tag == "table":
-            outside, rows = flows.pop().done(), tables.pop()
-            held.pop()
+            outside, grid = flows.pop().done(), tables.pop()
             flow = flows[-1]
-            for x in [*outside, *_table(rows)]:
+            for x in [*outside, *_table(grid.rows, spare)]:
                 if x:
                     flow.word(x)
                 flow.newline()
