@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.llm import chat, components, decontaminate, fingerprints, html_text, mixing, near_dup, packing, quality, secrets, toxicity
+from crowdsignal.llm import chat, common, components, decontaminate, fingerprints, html_text, mixing, near_dup, packing, quality, secrets, toxicity
 
 EXTRA = "doc_id bigint, text string, source string, score string, n_shingles string, leaks string, size string, target string, bucket string, shard string"
 
@@ -74,17 +74,40 @@ def test_markov_spans_keep_off_base_spans(spark):
     assert secrets.scan_secrets(frame(spark, []), [1.0] * secrets._SIZE**2).count() == 0
 
 
-def test_markov_ratio_is_that_of_a_plain_sum(spark):
+def test_markov_ratio_is_that_of_a_plain_mean(spark):
     rng = random.Random(3)
     ratios = [rng.uniform(-2, 2) for _ in range(secrets._SIZE**2)]
     texts = ["".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(rng.randrange(16, 60))) for _ in range(80)]
-    place = lambda c: secrets.ALPHABET.find(c) + 1
-    want = [sum(ratios[place(a) * secrets._SIZE + place(b)] for a, b in zip(t, t[1:], strict=False)) for t in texts]
-    got = secrets.scan_secrets(frame(spark, texts), ratios).where("size(base_spans) = 0").collect()
-    assert len(got) > 60
+    place = lambda c: secrets.CLASSES.find("0" if c.isdigit() else c.lower()) + 1
+    want = [sum(ratios[place(a) * secrets._SIZE + place(b)] for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) for t in texts]
+    got = secrets.scan_secrets(frame(spark, texts), ratios, least=0.05).where("size(base_spans) = 0").collect()
+    assert len(got) > 60 and {bool(r.markov_spans) for r in got} == {True, False}
     for r in got:
-        if abs(want[r.doc_id] - secrets.LEAST_RATIO) > 1e-3:
-            assert bool(r.markov_spans) == (want[r.doc_id] >= secrets.LEAST_RATIO)
+        if abs(want[r.doc_id] - 0.05) > 1e-3:
+            assert bool(r.markov_spans) == (want[r.doc_id] >= 0.05)
+
+
+def test_learned_model_tells_random_strings_from_identifiers(spark):
+    """Trained as the query trains it: random strings of five alphabets, and names of words that the corpus does not have."""
+    rng = random.Random(8)
+    syllables = [a + b + c for a in ["", "b", "d", "f", "gr", "k", "l", "m", "n", "p", "r", "s", "st", "t", "v"] for b in "aeiou" for c in ["", "", "n", "r", "s", "t"]]
+    new = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([2, 3])))
+    known = [new() for _ in range(3000)]
+    docs = frame(spark, [" ".join(rng.choice(known) for _ in range(80)) for _ in range(400)])
+    ratios, least = secrets.learn(docs)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [secrets.ALPHABET[:62], secrets.ALPHABET[:64], letters, letters.upper(), letters + "0123456789"]
+    random_ones = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32]))) for a in alphabets for _ in range(100)]
+    names = []
+    for k in range(500):
+        few = [next(w for w in iter(new, "") if w not in known) for _ in range(4)]
+        names.append(["_".join(few), "/".join(few), "-".join(few) + "7", "".join(w.title() for w in few), "_".join(few).upper()][k % 5])
+    names = [n for n in names if len(n) >= 16]
+    found = {r.doc_id: bool(r.markov_spans) for r in secrets.scan_secrets(frame(spark, [f"x {v} y" for v in random_ones + names]), ratios, least=least).collect()}
+    for k in range(5):
+        assert sum(found[i] for i in range(100 * k, 100 * k + 100)) >= 90, alphabets[k]
+    assert sum(found[i] for i in range(500)) >= 0.95 * 500
+    assert sum(found[500 + i] for i in range(len(names))) <= 0.02 * len(names)
 
 
 # ---- 10 ------------------------------------------------------------------------------------------------------------
@@ -294,3 +317,48 @@ def test_fingerprints_match_a_plain_model_of_the_samples(spark):
         a, b = collections.Counter(texts[i].split()), collections.Counter(edited.split())
         off.append(r.near_edited - sum((a & b).values()) / sum((a | b).values()))
     assert abs(np.mean(off)) < 0.04 and np.sqrt(np.mean(np.square(off))) < 0.09
+
+
+def test_many_turns_of_one_conversation(spark):
+    n = 50_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.text_part(F.concat(F.lit("é <| number "), F.col("id").cast("string"))).alias("parts"))
+    began = time.time()
+    out = chat.format_conversations(turns).select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    assert out.n == n and out.loss == "".join(f"é <| number {i}" for i in range(1, n, 2))
+    assert time.time() - began < 30
+
+
+def test_offsets_are_prefix_sums(spark):
+    for sizes in ([], [3], [1, 2, 3, 4, 5], list(range(50))):
+        df = spark.createDataFrame([(sizes,)], "sizes array<int>")
+        assert df.select(common.offsets(F.col("sizes"))).first()[0] == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td>" + "a" * 50_000 + "<td>b" + "<tr><td>a<td>b" * 2000,
+        "<table>" + "<tr><td colspan=1000>a<td>b" * 5000,
+        "<table><tr>" + "<td>a" * 1000 + "<tr><td colspan=999>a<td>b" * 5000,
+        "<table><tr>" + "<td rowspan=65534>a" * 5000 + "<tr><td>b" * 5000,
+        "<table><tr><td>x<td>y<tr><td>" * 400 + "b" * 4000,
+    ],
+)
+def test_a_table_writes_no_more_than_a_few_times_its_page(page):
+    began = time.time()
+    out = html_text.render(page)
+    assert len(out) < 10 * len(page) + 10_000 and time.time() - began < 20
+    visible = re.sub(r"<[^>]*>", "", page)
+    assert sorted(out.replace(" ", "").replace("\n", "")) == sorted(visible)
+
+
+def test_spans_up_to_those_of_html():
+    assert html_text.render("<table><tr><td rowspan=150>a<td>b" + "<tr><td>c" * 149 + "<tr><td>d</table>").split("\n")[-2:] == ["   c", "d"]
+    assert html_text.render("<table><tr><td colspan=120>a<td>b<tr>" + "<td>c" * 121 + "</table>").split("\n")[0] == "a" + " " * 359 + "b"
+
+
+def test_html_of_an_empty_table_and_repeated_rows(spark):
+    rows = [(1, "<p>one"), (1, "<p>one"), (2, None)]
+    pages = spark.createDataFrame(rows, "page_id int, html string")
+    assert sorted((r.page_id, r.text) for r in html_text.extract_text(pages).collect()) == [(1, "one"), (1, "one"), (2, "")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
