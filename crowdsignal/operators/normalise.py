@@ -37,7 +37,7 @@ def as_output(df: DataFrame, kind: str) -> DataFrame:
     shapes = {
         "sentiment": ["bullish_count", "bearish_count", "fear_count", "greed_count", "score", "label", "confidence"],
         "risk": ["social_overheat", "panic_risk", "fomo_risk", "fear_greed_zone", "sentiment_reliability"],
-        "quality": ["overall", "time_integrity", "volume", "source_balance", "anomaly_frequency"],
+        "quality": ["overall", "availability", "time_integrity", "volume", "source_balance", "anomaly_frequency"],
     }
     if kind == "context":
         mood = F.struct("label", "confidence").alias("sentiment")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,39 @@ def merge_sentiment(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     })
 
 
+def classify_unmatched(df: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[int, float]]]], text_col: str = "text", rows: int = 256) -> DataFrame:
+    """Final label and confidence: the rules' wherever a term matched, else those of an injected classifier, else neutral.
+
+    ``load()`` gives the classifier, once for each Python worker and pass; it maps a list of texts, at most ``rows`` of
+    them, to (label, confidence). Only texts of rows with ``matches = 0`` reach it; other rows pass Python as nulls, and
+    nothing shuffles or is read twice. A label that is not -1, 0 or 1 counts as no answer; confidences are clamped, a null
+    one is 0.5. Needs ``matches``, ``label`` and ``confidence``, as ``sentiment`` gives them.
+    """
+
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = None
+        for texts in batches:
+            out = pd.DataFrame({"label": pd.array([None] * len(texts), "Int32"), "confidence": np.full(len(texts), np.nan)})
+            asked = np.flatnonzero(texts.notna())
+            for at in range(0, len(asked), rows):
+                model = model or load()
+                some = asked[at : at + rows]
+                for i, (label, sure) in zip(some, model(texts.iloc[some].tolist()), strict=True):
+                    out.iat[i, 0], out.iat[i, 1] = label, np.nan if sure is None else sure
+            yield out
+
+    ask = F.pandas_udf(answers, "label int, confidence double")
+    out = df.withColumn("_said", ask(F.when(F.col("matches") == 0, F.coalesce(F.col(text_col), F.lit("")))))
+    said = F.col("_said")
+    valid = F.coalesce((F.col("matches") == 0) & said["label"].isin(-1, 0, 1), F.lit(False))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(said["confidence"], F.lit(None).cast("double")), F.lit(0.5))))
+    return out.withColumns({
+        "model_used": valid,
+        "final_label": F.when(F.col("matches") > 0, F.col("label")).when(valid, said["label"]).otherwise(0),
+        "final_confidence": F.when(F.col("matches") > 0, F.col("confidence")).when(valid, sure).otherwise(0.0),
+    }).drop("_said")
+
+
 def zone(index: Column) -> Column:
     return F.when(index.isNull(), "unknown").when(index <= 20, "extreme_fear").when(index >= 80, "extreme_greed").otherwise("normal")
 

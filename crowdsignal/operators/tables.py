@@ -6,22 +6,18 @@ shuffles like any other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import profiles as P
-
-#: Rows up to which a dimension is broadcast.
-SMALL = 100_000
-
-
-def small(dim: DataFrame, bound: int = SMALL) -> DataFrame:
-    """``dim`` with a broadcast hint if it has at most ``bound`` rows, counted no further than that."""
-    return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim
+from ..scratch import delete, drop, materialize, small
 
 
 def attach_registry(df: DataFrame, registry: DataFrame, key: str = "channel") -> DataFrame:
@@ -98,25 +94,114 @@ def upsert_latest(base: DataFrame, changes: DataFrame, key: str, columns: list[s
     return out.select(F.coalesce(key, "_key").alias(key), *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def write_snapshot(base: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A snapshot in hashed buckets, a folder each, for ``merge_snapshot``."""
+    base.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_snapshot(spark: SparkSession, path: str, changes: DataFrame, key: str, columns: list[str], buckets: int, seq: str = "seq", delete_flag: str | None = None) -> None:
+    """Apply changes to a snapshot of ``write_snapshot`` as ``upsert_latest`` does, reading and writing changed buckets only.
+
+    The merged buckets are written beside the snapshot first and then put in place folder by folder, so a run that breaks
+    off before has changed nothing, and one that is run again gives the same. A bucket that is left empty goes.
+    """
+    own = materialize(changes.withColumn("bucket", _bucket(key, buckets)), "changes")
+    touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    stored = spark.read.parquet(path)
+    base = stored.where(F.col("bucket").isin(touched)).drop("bucket") if touched else stored.limit(0).drop("bucket")
+    merged = materialize(upsert_latest(base, own.drop("bucket"), key, columns, seq, delete_flag).withColumn("bucket", _bucket(key, buckets)), "merged")
+    full = {r.bucket for r in merged.select("bucket").distinct().collect()}
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(touched) - full:
+        delete(spark, f"{path}/bucket={b}")
+    drop(own, merged)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def skip_last_id(df: DataFrame, cursors: DataFrame, key: str = "channel", id_col: str = "message_id") -> DataFrame:
+    """Rows whose id is not the last one that the stored cursor of their key names; keys without a cursor keep all."""
+    last = cursors.select(F.col(key).alias("_key"), F.col("last_id").alias("_last"))
+    return df.join(small(last), F.col(key) == F.col("_key"), "left").where(F.col("_last").isNull() | F.col(id_col).isNull() | (F.col(id_col) != F.col("_last"))).drop("_key", "_last")
+
+
 def active_assets(catalog: DataFrame | None = None, bound: int = 1_000) -> list[tuple[str, list[str]]]:
     """(symbol, keywords) of the active catalog, by priority, then symbol; more than ``bound`` rows are an error.
 
-    Each keyword is a test on every text, so a larger catalog would not make a usable expression.
+    For built-in tests of each text; ``detect_assets`` searches larger catalogs in another way.
     """
     rows = P.ASSETS if catalog is None else [(r.symbol, r.name, r.keywords, r.priority) for r in catalog.where("is_active").limit(bound + 1).collect()]
     if len(rows) > bound:
         raise ValueError(f"more than {bound} active assets")
-    return [(s, kws) for s, _, kws, _ in sorted(rows, key=lambda r: (-r[3], r[0]))]
+    return [(s, kws or []) for s, _, kws, _ in sorted(rows, key=lambda r: (-r[3], r[0]))]
 
 
-def detect_assets(df: DataFrame, text_col: str = "text", catalog: DataFrame | None = None, default: str = "BTC") -> DataFrame:
-    """Adds ``assets`` (all whose keyword occurs anywhere, by priority) and ``asset_found`` (the first, or the default)."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hits = [F.when(reduce(or_, [F.contains(low, F.lit(k)) for k in kws]), F.lit(s)) for s, kws in active_assets(catalog) if kws]
-    out = df.withColumn("assets", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))
+def detect_assets(df: DataFrame, text_col: str = "text", catalog: DataFrame | None = None, default: str = "BTC", tests: int = 200, block: int = 100_000) -> DataFrame:
+    """Adds ``assets`` (all whose keyword occurs anywhere, by priority) and ``asset_found`` (the first, or the default).
+
+    A catalog of at most ``tests`` active assets becomes built-in tests of each text. A larger one is searched by automata
+    over its keywords, linear in a text's length however many there are: it is cut into blocks of ``block`` keywords, each
+    collected and sent to the tasks on its own, and a task runs one block's automaton after the other over its rows. So no
+    process holds more than a block, texts are read once, and nothing shuffles. Empty and null keywords match nothing.
+    """
+    if catalog is None or catalog.where("is_active").limit(tests + 1).count() <= tests:
+        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        hits = [F.when(reduce(or_, [F.contains(low, F.lit(k.lower())) for k in kws]), F.lit(s)) for s, kws in ((s, [k for k in kws if k]) for s, kws in active_assets(catalog, tests)) if kws]
+        out = df.withColumn("assets", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))
+    else:
+        out = _searched_assets(df, text_col, catalog, block)
     return out.withColumn("asset_found", F.coalesce(F.get("assets", F.lit(0)), F.lit(default)))
 
 
+def _searched_assets(df: DataFrame, text_col: str, catalog: DataFrame, block: int) -> DataFrame:
+    """``df`` with ``assets`` by one automaton for each block of keywords."""
+    keywords = catalog.where("is_active").select("symbol", "priority", F.explode("keywords").alias("k")).select("symbol", "priority", F.lower("k").alias("k")).where("k <> ''")
+    grouped = keywords.groupBy("k").agg(F.collect_set(F.struct((-F.col("priority")).alias("rank"), "symbol")).alias("of"))
+    blocks = max(1, -(-grouped.count() // block))
+    numbered = materialize(grouped.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")), "keywords")
+    spark = df.sparkSession
+    sent = [spark.sparkContext.broadcast([(r.k, [tuple(x) for x in r.of]) for r in numbered.where(F.col("b") == i).collect()]) for i in range(blocks)]
+    drop(numbered)
+    names = [c for c in df.columns if c != "assets"]
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField("assets", T.ArrayType(T.StringType()))])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        built = {}
+
+        def automaton(i: int):
+            if i not in built:
+                built.clear()  # one at a time
+                found = ahocorasick.Automaton()
+                for k, of in sent[i].value:
+                    found.add_word(k, of)
+                found.make_automaton()
+                built[i] = found
+            return built[i]
+
+        for batch in batches:
+            texts = [(x or "").lower() for x in batch.column(at).to_pylist()]
+            hits: list[set] = [set() for _ in texts]
+            for i in range(len(sent)):
+                search = automaton(i)
+                for text, own in zip(texts, hits, strict=True):
+                    for _, of in search.iter(text):
+                        own.update(of)
+            assets = pa.array([list(dict.fromkeys(s for _, s in sorted(h))) for h in hits], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(df_at) for df_at in kept), assets], names=schema.fieldNames())
+
+    kept = [df.columns.index(c) for c in names]
+    return df.mapInArrow(run, schema)
+
+
 def keyword_index(catalog: DataFrame) -> DataFrame:
     """Keyword -> symbol; the higher priority wins, then the smaller symbol."""
     rows = catalog.where("is_active").select("symbol", "priority", F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,42 +40,116 @@ def flatten_listing(df: DataFrame, json_col: str, data: str) -> DataFrame:
     return df.withColumn("_c", F.explode(F.from_json(json_col, shape)["data"]["children"])).select(*[c for c in df.columns if c != json_col], "_c.data.*")
 
 
-def _replies(source: str | None) -> list[tuple[list[int], str | None, str | None]]:
-    """(path, author, body) of a thread's replies, in pre-order; what does not parse has none.
-
-    Replies are objects or, nested, JSON strings; each string is parsed once.
+#: A JSON token: a sign, a string, or a number or word.
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s\[\]{},:"]+))', re.S)
+#: Depth up to which a reply's whole path is given.
+MOST_PATH = 1000
+
+
+def parse_json_deep(source: str):
+    """A JSON text of any depth, by a stack of its own; ValueError where it does not parse."""
+    stack: list[tuple[object, object]] = []  # open arrays and objects, with the key that waits for a value
+    done, whole, at, need = False, None, 0, "value"
+    end = len(source.rstrip(" \t\r\n"))
+    while at < end:
+        token = _TOKEN.match(source, at)
+        if not token or done:
+            raise ValueError("not JSON")
+        at, sign = token.end(), token[1]
+        held, key = stack[-1] if stack else (None, None)
+        if sign in (",", ":"):
+            if need != sign and not (need == "end" and sign == ","):
+                raise ValueError("not JSON")
+            need = "key" if sign == "," and isinstance(held, dict) else "value"
+            continue
+        if sign in ("]", "}"):
+            if not isinstance(held, list if sign == "]" else dict) or need not in ("end", "first", "first key"):
+                raise ValueError("not JSON")
+            value = stack.pop()[0]
+            held, key = stack[-1] if stack else (None, None)
+            if held is None:
+                done, whole = True, value
+            need = "end"
+            continue
+        if need in ("key", "first key"):
+            if not token[2]:
+                raise ValueError("not JSON")
+            stack[-1] = held, json.loads(token[2])
+            need = ":"
+            continue
+        if need not in ("value", "first"):
+            raise ValueError("not JSON")
+        value = [] if sign == "[" else {} if sign == "{" else json.loads(token[2] or token[3])
+        if isinstance(held, list):
+            held.append(value)
+        elif isinstance(held, dict):
+            held[key] = value
+        if sign:
+            stack.append((value, None))
+            need = "first" if sign == "[" else "first key"
+        elif held is None:
+            done, whole = True, value
+        else:
+            need = "end"
+    if not done:
+        raise ValueError("not JSON")
+    return whole
+
+
+def _parsed(source: str):
+    try:
+        return json.loads(source)
+    except RecursionError:
+        return parse_json_deep(source)
+
+
+def _replies(source: str | None, limit: int | None = None) -> list[tuple]:
+    """(place, parent, depth, path, author, body) of a thread's replies in pre-order, places from 0, parent null at the top.
+
+    Replies are objects or, nested, JSON strings; each string is parsed once. ValueError where one does not parse.
     """
-    out, work = [], [([], source)]
-    while work:
-        path, replies = work.pop()
+    out: list[tuple] = []
+    work: list[tuple] = [(None, 0, [], None, source)]
+    while work and (limit is None or len(out) < limit):
+        parent, depth, path, node, replies = work.pop()
+        place = parent
+        if node is not None:
+            place = len(out)
+            out.append((place, parent, depth, path, node.get("author"), node.get("body")))
         if isinstance(replies, str):
-            try:
-                replies = json.loads(replies) if replies else []
-            except (ValueError, RecursionError):
-                replies = []
+            replies = _parsed(replies) if replies else []
         below = []
-        for i, node in enumerate(replies if isinstance(replies, list) else []):
-            data = node.get("data") if isinstance(node, dict) and node.get("kind") == "t1" else None
+        for i, child in enumerate(replies if isinstance(replies, list) else []):
+            data = child.get("data") if isinstance(child, dict) and child.get("kind") == "t1" else None
             if isinstance(data, dict):
-                below.append(([*path, i], data))
-        out.extend((p, d.get("author"), d.get("body")) for p, d in below)
-        work.extend((p, d.get("replies")) for p, d in below)
-    return sorted(out, key=lambda x: x[0])
+                below.append((place, depth + 1, [*path, i] if path is not None and depth < MOST_PATH else None, data, data.get("replies")))
+        work.extend(reversed(below))
+    return out
 
 
-def flatten_thread(df: DataFrame, json_col: str, key: str, limit: int | None = None) -> DataFrame:
-    """``(key, depth, path, author, body)`` of a reply tree, in pre-order by ``path``; at most ``limit`` a tree.
+def flatten_thread(df: DataFrame, json_col: str, key: str, limit: int | None = None, report: bool = False) -> DataFrame:
+    """``(key, place, parent, depth, path, author, body, parsed)`` of a reply tree in pre-order; at most ``limit`` a tree.
 
-    One pass over the rows, whatever the depth: each tree is taken apart where it lies.
+    ``place`` numbers a tree's replies from 0, ``parent`` is the place of what a reply answers, null at the top. ``path``
+    holds the position at each level; it is null below ``MOST_PATH`` levels, as the paths of a deep chain would grow with
+    its square. One pass over the rows, whatever the depth. A null or empty tree has no rows, nor has one that does not
+    parse, unless ``report`` asks for it: then it is one row without a place, and ``parsed`` false.
     """
     kind = df.schema[key]
-    schema = T.StructType([kind, *T.StructType.fromDDL("depth int, path array<int>, author string, body string")])
+    schema = T.StructType([kind, *T.StructType.fromDDL("place int, parent int, depth int, path array<int>, author string, body string, parsed boolean")])
+
+    def tree(source: str | None) -> list[tuple]:
+        try:
+            return [(*r, True) for r in _replies(source, limit)]
+        except ValueError:
+            return [(None, None, None, None, None, None, False)] if report else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [to_arrow_type(f.dataType) for f in schema]
         for batch in batches:
-            rows = [(k, len(p), p, a, b) for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, a, b in _replies(source)[:limit]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=schema.fieldNames())
+            for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows := tree(source):
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), type=types[0]), *(pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types[1:]))], names=schema.fieldNames())
 
     return df.select(key, json_col).mapInArrow(run, schema)
 
