@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .texts import add_columns
+from .common import table
+from .texts import STEP, add_columns
 
 #: A seed is so many characters; a piece is asked for at most so many seeds. Longest piece (it fits a machine word).
 SAMPLED, REPEATS, PIECE = 6, 12, 60
@@ -124,7 +124,7 @@ class LeakIndex:
     the piece, many at a time, and then the exact distance of the item.
     """
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, repeats: int, sampled: int, seed: int):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float, repeats: int, sampled: int):
         self.max_edits = max_edits
         self.items = [(i, n) for i, t in items if (n := _normal(t))]
         owner, first, size, need, by_seed = [], [], [], [], defaultdict(list)
@@ -257,18 +257,19 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, text_col: str = "text", keep: list[str] | None = None, repeats: int = REPEATS, sampled: int = SAMPLED, block: int = BLOCK_CHARS, seed: int = 11) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, text_col: str = "text", keep: list[str] | None = None, repeats: int = REPEATS, sampled: int = SAMPLED, block: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a column ``leaks``: array of (item_id, edits, start, end), by item; empty where nothing leaks.
 
     An item leaks where some part of a text is within ``max_edits`` of the item's length in edits (lower case, words set
     apart by one space; start and end bound the words around it, in code points). Every place of every whole text is
-    searched. Items go to the tasks in blocks of about ``block`` characters (an index takes some 250 bytes for each), one
-    pass over the documents for each block, written in between, so that no task and no driver holds two indexes; texts
-    are never shuffled.
+    searched. Items go to the tasks in blocks of about ``block`` characters (an index takes some 250 bytes for each). All
+    blocks are searched in one pass over the documents: for each batch of rows a task loads one index after the other and
+    lets it go again, so that no task and no driver holds two; texts are neither shuffled nor written.
 
     An unedited item is always found. Seeds are chosen so that an item with random edits up to the limit is found with
     probability ``RECALL`` (drawn for its length); edits set evenly so as to hit every seed can hide a long item.
-    ``repeats`` and ``sampled`` bound the seeds asked for and their length; ``seed`` has no effect, nothing is drawn from it.
+    ``repeats`` and ``sampled`` bound the seeds asked for and their length. An item of more than 512 characters asks for
+    as many seeds of a piece as one of 512 does, which its more pieces make easier to find.
 
     Cases: null or empty texts and items match nothing; an item given twice is reported once; repeated rows are each
     reported; an empty ``benchmark`` gives empty arrays; a column named ``leaks`` is replaced.
@@ -277,19 +278,26 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, te
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     count, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-chars // block))
-    kind = "leaks array<struct<item_id: bigint, edits: int, start: int, end: int>>"
-    out, names = docs, docs.columns
+    indexes = []
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect() if count else []
-        index = spark.sparkContext.broadcast(LeakIndex(sorted((r.item_id, r.text) for r in own), max_edits, repeats, sampled, seed))
-        if blocks == 1:
-            return add_columns(docs, text_col, kind, lambda texts, index=index: [(x,) for x in index.value.leaks(texts)], keep)
-        out = add_columns(out, text_col, f"_leaks{b} {kind[6:]}", lambda texts, index=index: [(x,) for x in index.value.leaks(texts)])
-        if b < blocks - 1:
-            out = materialize(out, "leaks")
-            index.unpersist()
-    every = F.array_sort(F.concat(*[F.col(f"_leaks{b}") for b in range(blocks)]))
-    return out.select(*[c for c in names if (keep is None or c in keep) and c != "leaks"], every.alias("leaks"))
+        indexes.append(spark.sparkContext.broadcast(LeakIndex(sorted((r.item_id, r.text) for r in own), max_edits, repeats, sampled)))
+        if blocks > 1:
+            indexes[-1].__dict__.pop("_value", None)  # the driver keeps the file, not the index
+    kind = "leaks array<struct<item_id: bigint, edits: int, start: int, end: int>>"
+    if blocks == 1:
+        return add_columns(docs, text_col, kind, lambda texts: [(x,) for x in indexes[0].value.leaks(texts)], keep)
+
+    def search(texts: list) -> list[tuple]:
+        found: list[list] = [[] for _ in texts]
+        for index in indexes:
+            for at in range(0, len(texts), STEP):
+                for own, more in zip(found[at : at + STEP], index.value.leaks(texts[at : at + STEP]), strict=True):
+                    own += more
+            index.__dict__.pop("_value", None)
+        return [(sorted(x, key=lambda m: (m["item_id"], m["edits"], m["start"])),) for x in found]
+
+    return add_columns(docs, text_col, kind, search, keep, step=None)
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

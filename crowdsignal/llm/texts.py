@@ -13,10 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 STEP = 256
 
 
-def add_columns(df: DataFrame, text_col: str, new: str, make: Callable[[list], list[tuple]], keep: list[str] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, new: str, make: Callable[[list], list[tuple]], keep: list[str] | None = None, step: int | None = STEP) -> DataFrame:
     """``df``'s columns ``keep`` (all by default) and the columns of the DDL ``new``; ``make`` maps texts to tuples of values.
 
-    A new column replaces a kept one of the same name. Values pass in Arrow, so nulls and 64-bit integers stay exact.
+    ``make`` gets ``step`` texts at once, or a whole Arrow batch. A new column replaces a kept one of the same name. Values pass in Arrow, so nulls and 64-bit integers stay exact.
     """
     added = T.StructType.fromDDL(new)
     names = {f.name.lower() for f in added}
@@ -28,8 +28,9 @@ def add_columns(df: DataFrame, text_col: str, new: str, make: Callable[[list], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [to_arrow_type(f.dataType) for f in added]
         for whole in batches:
-            for start in range(0, whole.num_rows, STEP):
-                batch = whole.slice(start, STEP)
+            size = step or max(1, whole.num_rows)
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
                 rows = make(batch.column(source).to_pylist())
                 columns = [pa.array([row[i] for row in rows], type=kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *columns], names=schema.fieldNames())
