@@ -51,10 +51,11 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def _in_buckets(docs: DataFrame, per_bucket: int) -> DataFrame:
-    """``docs(doc_id, text)`` with a bucket of about ``per_bucket`` rows; buckets follow each other in the order of ids.
+    """``docs(doc_id, text, h)`` with a bucket of about ``per_bucket`` rows; buckets follow each other by id, then ``h``.
 
     Buckets are equal ranges of ids where no range gets over twenty times its share (counted), else ranges of equal
-    counts, found from the sorted ids alone. Null ids come first, in a bucket of their own.
+    counts, found from the sorted ids and hashes alone; there, rows of one id spread by their hash, and copies of one row
+    over as many buckets as they fill. Null ids come first.
     """
     facts = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     if not facts.n or facts.low is None:
@@ -65,11 +66,15 @@ def _in_buckets(docs: DataFrame, per_bucket: int) -> DataFrame:
     most = dealt.groupBy("bucket").count().agg(F.max("count")).first()[0]
     if most <= 20 * per_bucket:
         return dealt
-    parts = max(1, facts.n // 50_000)
-    ids = materialize(docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(parts, "doc_id").select("doc_id", F.spark_partition_id().cast("long").alias("part")), "ids")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    known = ids.select("doc_id", (F.col("part") * F.lit(1 << 32) + F.floor(place / per_bucket)).alias("bucket"))
-    return docs.join(known, "doc_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("long")))
+    # copies of a row are told apart by number only, so that a group of them takes as many buckets as it needs
+    key = [F.col("doc_id").alias("id"), F.col("h").alias("hash")]
+    groups = materialize(docs.groupBy(*key).agg(F.count("*").alias("n")).repartitionByRange(max(1, facts.n // 50_000), "id", "hash").withColumn("part", F.spark_partition_id().cast("long")), "groups")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("id", "hash"))
+    at = lambda place: F.col("part") * F.lit(1 << 40) + F.floor(place / per_bucket)
+    known = groups.withColumn("upto", upto).select("id", "hash", at(F.col("upto") - F.col("n")).alias("low"), at(F.col("upto") - 1).alias("high"))
+    spread = F.pmod(F.xxhash64("no"), F.col("high") - F.col("low") + 1)
+    numbered = docs.withColumn("no", F.monotonically_increasing_id()).join(known, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("h").eqNullSafe(F.col("hash")))
+    return numbered.withColumn("bucket", F.col("low") + F.when(F.col("high") > F.col("low"), spread).otherwise(0)).drop("id", "hash", "low", "high", "no")
 
 
 def _successors(buckets: DataFrame) -> DataFrame:
@@ -95,7 +100,7 @@ def with_next(docs: DataFrame, per_bucket: int = _ROWS_A_BUCKET) -> DataFrame:
     first row of the following bucket. Rows with one id are ordered by a hash of their text; of repeated rows each but
     the last is followed by its own copy.
     """
-    dealt = _in_buckets(docs, per_bucket).withColumn("h", F.xxhash64("text"))
+    dealt = _in_buckets(docs.withColumn("h", F.xxhash64("text")), per_bucket)
     order = Window.partitionBy("bucket").orderBy("doc_id", "h")
     rows = dealt.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("lead"), F.lead(F.lit(True)).over(order).alias("has_lead"))
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head"))

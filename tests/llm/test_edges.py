@@ -362,3 +362,35 @@ def test_html_of_an_empty_table_and_repeated_rows(spark):
     pages = spark.createDataFrame(rows, "page_id int, html string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(pages).collect()) == [(1, "one"), (1, "one"), (2, "")]
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_next_rows_where_one_id_null_ids_or_copies_are_many(spark):
+    rows = [(7, f"same id {i}") for i in range(150)] + [(None, f"no id {i}") for i in range(150)] + [(9, "copy")] * 150 + [(i, f"own {i}") for i in range(1000, 1020)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = fingerprints.with_next(df, per_bucket=3).collect()
+    assert len(out) == len(rows)
+    assert max(collections.Counter(r.bucket for r in out).values()) <= 20
+    ids = sorted({r.doc_id for r in out}, key=lambda x: (x is not None, x or 0))
+    by_text = {t: i for i, t in rows}
+    for r in out:  # the next row is of the same id, of the next one, or, after the last, of the first
+        after = by_text[r.next_text]
+        assert after == r.doc_id or ids.index(after) == (ids.index(r.doc_id) + 1) % len(ids)
+    assert sum(r.text == "copy" and r.next_text == "copy" for r in out) == 149
+    for i in (7, None):  # each of these is the next one of another, once
+        own = [r.next_text for r in out if by_text[r.next_text] == i]
+        assert len(own) == len(set(own)) == 150
+
+
+def test_long_items_are_found_and_blocks_are_one_pass(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(words(rng, n, 3000))) for i, n in enumerate([120, 300, 300])]
+    edit = lambda t, share: "".join(rng.choice("xyz") if rng.random() < share else c for c in t)
+    texts = [f"{' '.join(words(rng, 40))} {edit(t, share)} {' '.join(words(rng, 40))}" for _, t in items for share in (0.0, 0.1)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = decontaminate.with_leaks(frame(spark, texts), bench)
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in one.collect()}
+    assert got == {2 * i + k: [i] for i in range(3) for k in range(2)}
+    many = decontaminate.with_leaks(frame(spark, texts), bench, block=500)
+    assert {r.doc_id: r.leaks for r in many.collect()} == {r.doc_id: r.leaks for r in one.collect()}
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert decontaminate.with_leaks(frame(spark, []), bench).count() == 0

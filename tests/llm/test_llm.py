@@ -170,7 +170,7 @@ def test_leaks(spark):
 def test_leak_recall_under_light_edits():
     rng = random.Random(6)
     items = [(i, " ".join(words(rng, 36, 3000))) for i in range(100)]
-    index = decontaminate.LeakIndex(items, 0.2, decontaminate.REPEATS, decontaminate.SAMPLED, 11)
+    index = decontaminate.LeakIndex(items, 0.2, decontaminate.REPEATS, decontaminate.SAMPLED)
     hits = 0
     for i, text in items:
         s = list(text)
@@ -186,7 +186,7 @@ def brute_leaks(items, texts, share=0.2):
 
 
 def leak_index(items):
-    return decontaminate.LeakIndex(items, 0.2, decontaminate.REPEATS, decontaminate.SAMPLED, 11)
+    return decontaminate.LeakIndex(items, 0.2, decontaminate.REPEATS, decontaminate.SAMPLED)
 
 
 @pytest.mark.parametrize("percent", [5, 10, 20])
