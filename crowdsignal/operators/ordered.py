@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import profiles as P
+from ..scratch import materialize, small
 
 #: Parts in which a key's rows are looked through for its first ones.
 _SALTS = 64
@@ -168,6 +169,20 @@ def sort_by_event_time(df: DataFrame, ts: str = "event_s", order: tuple[str, ...
     return df.orderBy(F.col(ts).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])
 
 
+def with_places(df: DataFrame, ts: str = "event_s", order: tuple[str, ...] = ("event_id", "replay"), name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order of ``sort_by_event_time``.
+
+    Rows are range-sorted and written once with their task and place in it; the counts of the tasks tell where each one's
+    rows begin, so no task numbers the table.
+    """
+    sort = [F.col(ts).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order]]
+    placed = materialize(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "places")
+    placed = placed.withColumns({"_task": F.shiftright("_at", 33), "_no": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(F.col("_task").alias("_of")).agg(F.count("*").alias("_n")).select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(small(starts), F.col("_task") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_no") + 1).drop("_at", "_task", "_no", "_of", "_before")
+
+
 def latest_per(df: DataFrame, by: tuple[str, ...], ts: str, order: tuple[str, ...] = (), k: int = 1) -> DataFrame:
     """The ``k`` newest rows of each key."""
     w = Window.partitionBy(*by).orderBy(F.desc(ts), *[F.desc(o) for o in order])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring, tables
+from ..sources import records
 from .core import ID, SENT
 from .inputs import messages, scratch, table, with_messages
 from .ordered import _last
@@ -61,3 +62,13 @@ def cur2(spark, sf_dir):
     stored, path = m.where((F.col("event_s") <= _last(m) // 2) & (F.col("channel") != "ch5")), scratch(spark, "cursors")
     tables.next_cursors(stored).write.parquet(path)
     return tables.skip_last_id(m, spark.read.parquet(path)).select(*ID)
+
+
+@register("src2_range_predicates", "SELECT " + " + ".join(f"CAST(event_id >= lo + ((hi - lo) * {i}) // 4 AS INTEGER)" for i in (1, 2, 3)) + " AS part, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, min(event_id) OVER () AS lo, max(event_id) OVER () AS hi FROM events) GROUP BY ALL")
+def src2(spark, sf_dir):
+    """Events by the conditions that a relational read would send, one for each task."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = records.range_predicates("event_id", low, high, 4)
+    part = F.coalesce(*[F.when(F.expr(p), i) for i, p in enumerate(cuts)])
+    return events.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -237,13 +237,10 @@ def al3(spark, sf_dir):
     return products.format_alert(alerts(spark, sf_dir).where("alert_type = 'SOURCE_DOWN'")).select(*ID, "message")
 
 
-@register("so1_sort_by_time", with_messages("SELECT event_id, replay, row_number() OVER (ORDER BY event_s NULLS FIRST, event_id, replay) AS place FROM (SELECT * FROM m ORDER BY event_s LIMIT 500)"))
+@register("so1_sort_by_time", with_messages("SELECT event_id, replay, row_number() OVER (ORDER BY event_s NULLS FIRST, event_id, replay) AS place FROM m"))
 def so1(spark, sf_dir):
-    """The earliest 500 in order, with their places, as the query's SQL asks; so1_sort_whole has every row."""
-    from pyspark.sql import Window
-
-    top = ordered.sort_by_event_time(messages(spark, sf_dir)).limit(500)
-    return top.select(*ID, F.row_number().over(Window.orderBy(F.col("event_s").asc_nulls_first(), "event_id", "replay")).cast("long").alias("place"))
+    """Every message's place by time."""
+    return ordered.with_places(messages(spark, sf_dir)).select(*ID, "place")
 
 
 @register("so1_sort_whole", with_messages("SELECT event_id, replay, event_s FROM m ORDER BY event_s NULLS FIRST, event_id, replay"))

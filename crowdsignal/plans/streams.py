@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
+from ..sources.records import stream_records
 from ..streaming import commits, processors, worker
 from .core import ID
 from .inputs import messages, scratch, with_messages
@@ -44,7 +45,7 @@ def in_two_runs(rows: DataFrame, start: Callable[[DataFrame, str], list], ts: st
     try:
         for half in (F.col(ts) <= middle, F.col(ts) > middle):
             rows.where(half).write.mode("append").parquet(folder)
-            for query in start(spark.readStream.schema(rows.schema).parquet(folder), checkpoint):
+            for query in start(stream_records(spark, folder, rows.schema, 100_000), checkpoint):
                 query.awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, provider)
@@ -131,11 +132,17 @@ _LIVE = f""", d AS (SELECT * REPLACE (CASE WHEN event_id % 17 = 0 THEN event_s -
  a AS (SELECT * FROM q WHERE reason IS NULL), {_velocity_of('a', P.VELOCITY['ing_tw'])}"""
 
 
-def _worker(spark: SparkSession, sf_dir: str) -> str:
+@register("src9_stream_records", with_messages("SELECT event_id, replay, text FROM m WHERE likes > 50"))
+def src9(spark, sf_dir):
+    """Messages as they arrive, filtered."""
+    return drained(arrivals(spark, sf_dir), lambda s: {"rows": s.where("likes > 50").select(*ID, "text")})["rows"]
+
+
+def _worker(spark: SparkSession, sf_dir: str, hook: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """The folder of a worker's tables, after both runs."""
     e, path = F.col("event_id"), scratch(spark, "worker")
     rows = arrivals(spark, sf_dir).withColumn("event_s", F.when(e % 17 == 0, F.col("event_s") - 400).when(e % 19 == 0, F.col("event_s") + 60).otherwise(F.col("event_s")))
-    in_two_runs(rows, lambda stream, checkpoint: [worker.start_worker(stream, path, checkpoint, keywords=KEYWORDS, order=ORDER)])
+    in_two_runs(rows, lambda stream, checkpoint: [worker.start_worker(stream, path, checkpoint, hook=hook, keywords=KEYWORDS, order=ORDER)])
     return path
 
 
@@ -154,3 +161,10 @@ def snk8(spark, sf_dir):
     path = _worker(spark, sf_dir)
     commits.committed(spark, path, "drops").drop("batch").write.parquet(f"{path}/drops/batch=1000000")
     return commits.committed(spark, path, "drops").groupBy("source", "reason").agg(F.sum("n").alias("n"))
+
+
+@register("ud4_batch_hook", with_messages(f"{_LIVE} SELECT source, coalesce(reason, CASE WHEN reposts = 0 THEN 'unwanted' END, 'accepted') AS reason, count(*) AS n FROM q GROUP BY ALL"))
+def ud4(spark, sf_dir):
+    """A caller's function drops what it does not want of every batch, before rows are scored and stored."""
+    unwanted = lambda rows: rows.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("reposts") == 0, "unwanted")))
+    return commits.committed(spark, _worker(spark, sf_dir, unwanted), "drops").groupBy("source", "reason").agg(F.sum("n").alias("n"))

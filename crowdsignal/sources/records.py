@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..scratch import scratch_path
+
 #: The sentiment input record.
 RECORD = "source string, asset string, text string, timestamp string, engagement struct<like: long, reply: long, share: long>, author struct<followers: long, reputation_score: double>"
 TWEET = "id string, id_str string, text string, full_text string, created_at string, favorite_count long, retweet_count long, reply_count long, user struct<screen_name: string, followers_count: long>"
@@ -22,7 +24,7 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
     return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).json(path)
 
 
-def stream_records(spark: SparkSession, path: str, schema: str, files: int = 10) -> DataFrame:
+def stream_records(spark: SparkSession, path: str, schema: str | T.StructType, files: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -210,19 +212,15 @@ def to_pipeline_event(df: DataFrame) -> DataFrame:
 def union_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], stage: str | None = None) -> tuple[DataFrame | None, DataFrame]:
     """The union of what loads, by name, and a status row for each source; a failed one adds no rows and does not fail the rest.
 
-    Each source is read whole before it counts, so that one which fails only while it is read is left out too: into a
-    folder of its own under ``stage`` (overwritten), from which the union reads; or, without ``stage``, twice.
+    Each source is read whole, once, before it counts, so that one which fails only while it is read is left out too: into
+    a folder of its own under ``stage`` (overwritten; by default a new one in the shared folder), from which the union reads.
     """
-    frames, status = [], []
+    frames, status, stage = [], [], stage or scratch_path(spark, "sources")
     for name, load in loaders.items():
         try:
             df = load()
-            if stage:
-                df.write.mode("overwrite").parquet(f"{stage}/{name}")
-                df = spark.read.schema(df.schema).parquet(f"{stage}/{name}")
-            else:
-                df.write.format("noop").mode("overwrite").save()
-            frames.append(df)
+            df.write.mode("overwrite").parquet(f"{stage}/{name}")
+            frames.append(spark.read.schema(df.schema).parquet(f"{stage}/{name}"))
             status.append((name, True, None))
         except Exception as e:
             status.append((name, False, f"{type(e).__name__}: {e}"))
@@ -230,3 +228,21 @@ def union_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out, spark.createDataFrame(status, T.StructType.fromDDL("source string, ok boolean, error string"))
+
+
+def range_predicates(column: str, low: int, high: int, parts: int) -> list[str]:
+    """SQL conditions that cut a table by ``column`` into ``parts`` ranges: each row meets one, also beyond low and high, or null."""
+    edges = [low + (high - low) * i // parts for i in range(1, parts)]
+    edges = sorted(set(edges))
+    if not edges:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(edges, edges[1:], strict=False)]
+    return [f"{column} < {edges[0]} OR {column} IS NULL", *inner, f"{column} >= {edges[-1]}"]
+
+
+def read_relational(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int = 32, **properties: str) -> DataFrame:
+    """A table of a relational store, read by one task for each range of ``column``; filters and columns are pushed to it.
+
+    Needs the store's JDBC driver on the class path.
+    """
+    return spark.read.jdbc(url, name, predicates=range_predicates(column, low, high, parts), properties=properties)

@@ -90,3 +90,11 @@ def test_a_classifier_sees_texts_without_a_match_only(spark):
     got = {r.text: (r.model_used, r.final_label, r.final_confidence) for r in scoring.classify_unmatched(df, load, rows=3).collect()}
     assert got == {"to the moon": (False, 1, 0.7), "up": (True, 1, 1.0), "down": (True, -1, 0.5), "odd": (False, 0, 0.0), None: (True, 0, 0.0)}
     assert scoring.classify_unmatched(df.limit(0), load).count() == 0
+
+
+def test_every_row_meets_one_range(spark):
+    for low, high, parts in ((0, 100, 7), (5, 5, 3), (0, 2, 8), (-10, 10, 1)):
+        cuts = records.range_predicates("id", low, high, parts)
+        df = spark.range(-20, 120).select(F.when(F.col("id") != 3, F.col("id")).alias("id"))
+        met = sum((F.coalesce(F.expr(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+        assert {r.n for r in df.select(met.alias("n")).collect()} == {1}
