@@ -1,16 +1,18 @@
 """Cross-tokenizer alignment: where two tokenizers' tokens end at the same byte, and which of their tokens are linked.
 
 Both id sequences of a document cover the same bytes. Pointers into all sequences of a batch advance in lockstep, as one
-NumPy state; where both ends meet, a cut and the links of the group before it are emitted.
+NumPy state; where both ends meet, a cut and the links of the group before it are emitted. Both tokenizers always end a token
+before a space between words, so a text's groups are those of its pieces between such spaces: the lockstep's sequences are
+a batch's pieces that are not known yet, and documents add up what was found for theirs.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,22 @@ LANE = 1024
 _BATCH, _BLOCK = 2 << 20, 16 << 20
 #: A group with more links than this is counted by distinct ids, not link by link.
 _WIDE = 4096
-#: Pieces whose ids are remembered, each of at most so many characters.
-_REMEMBERED, _LONG = 400_000, 48
+#: Pieces that are remembered, each of at most so many characters, and how many are encoded as one text.
+_REMEMBERED, _LONG, _RUN = 400_000, 48, 128
 #: A space before a visible character and after anything but a space: no token of either tokenizer reaches across it.
 _SPLIT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: A space that is not before a visible character.
+_ODD = re.compile(r" (?!\S)")
+
+
+def _pieces(text: str) -> list[str]:
+    """The text cut at ``_SPLIT``; most texts have no other spaces and are cut by the faster way."""
+    return _SPLIT.split(text) if text[:1] == " " or _ODD.search(text) else text.split(" ") if text else []
+
+
+def _alone(piece: str) -> bool:
+    """Whether a piece is too long to be remembered, or not cut off again where it is joined with others by spaces."""
+    return len(piece) > _LONG or piece[0].isspace() or piece[-1] == " "
 
 
 def byte_level() -> dict[str, int]:
@@ -71,11 +85,11 @@ def _byte_level_encoder(path: str) -> tuple[dict[bytes, int], Callable[[list[str
 
 
 class TokenizerPair:
-    """Ids of a text by both tokenizers, and the bytes that each id stands for.
+    """Ids of pieces of texts by both tokenizers, and the bytes that each id stands for.
 
-    A encodes a space and the text, B adds that space itself. Pieces between single spaces are encoded once and their ids
-    remembered: A's pre-tokens start at such a space, and no piece of B has a space after a visible character, which is
-    tested when B is loaded. So the ids are those of the whole text.
+    A encodes a space and the text, B adds that space itself. A's pre-tokens start at the spaces between pieces, and no piece
+    of B's vocabulary has a space after a visible character, which is tested when B is loaded. So the ids of a text are
+    those of its pieces.
     """
 
     def __init__(self, path_a: str = TOKENIZER_A, path_b: str = TOKENIZER_B):
@@ -92,44 +106,39 @@ class TokenizerPair:
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece has a space inside: texts cannot be cut at spaces")
         self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of pieces, as 16-bit integers; b"" for both where their bytes are not a space and the piece."""
-        order, out_a, out_b = list(pieces), {}, {}
-        for p, a, b in zip(order, self.encode_a([f" {p}" for p in order]), self.b.encode(order, num_threads=1), strict=True):
-            want = f" {p}".encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out_a[p], out_b[p] = (array("H", x).tobytes() if same else b"" for x in (a, b))
-        return out_a, out_b
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Both id arrays of each text; empty ones where it is null or empty, or the bytes of its ids are not its own."""
-        split = [_SPLIT.split(t) if t else [] for t in texts]
-        new = {p for ps in split for p in ps}.difference(self.known_a)
-        if len(self.known_a) + len(new) > _REMEMBERED:
-            self.known_a.clear()
-            self.known_b.clear()
-            new = {p for ps in split for p in ps}
-        long = {p for p in new if len(p) > _LONG}
-        more_a, more_b = self._learn(long)
-        for known, found in zip((self.known_a, self.known_b), self._learn(new - long), strict=True):
-            known.update(found)
-        get_a, get_b = ((self.known_a | more_a, self.known_b | more_b) if long else (self.known_a, self.known_b))
-        nothing, out = np.zeros(0, np.uint16), []
-        for ps in split:
-            parts = list(map(get_a.__getitem__, ps))
-            if b"" in parts or not parts:
-                out.append((nothing, nothing))
-            else:
-                out.append((np.frombuffer(b"".join(parts), np.uint16), np.frombuffer(b"".join(map(get_b.__getitem__, ps)), np.uint16)))
-        return out
+
+    def encode(self, runs: list[list[str]]) -> tuple[list[str], list[str], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The runs' pieces that have ids and those that have none, then, for A and B, all ids and the places of each piece's first.
+
+        A piece has none where the bytes of its ids are not a space and the piece. A run is encoded as one text; where its
+        bytes differ, its pieces are encoded one by one. The places end with the number of ids.
+        """
+        found, lost, ids = [], [], ([], [])
+        while runs:
+            again, texts = [], [" ".join(run) for run in runs]
+            for run, text, a, b in zip(runs, texts, self.encode_a([f" {t}" for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
+                want = f" {text}".encode()
+                if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
+                    found += run
+                    ids[0].append(a)
+                    ids[1].append(b)
+                elif len(run) > 1:
+                    again += [[p] for p in run]
+                else:
+                    lost += run
+            runs = again
+        starts = np.concatenate([[0], np.cumsum([1 + len(p.encode()) for p in found], dtype=np.int64)])
+        flat = tuple(np.fromiter(chain.from_iterable(x), np.uint16, sum(map(len, x))) for x in ids)
+        ends = [np.concatenate([[0], np.cumsum(size[x])]) for size, x in zip((self.size_a, self.size_b), flat, strict=True)]
+        firsts = tuple(np.searchsorted(e, starts) for e in ends)
+        if any((e[f] != starts).any() for e, f in zip(ends, firsts, strict=True)):
+            raise ValueError("a token reaches across a space between pieces")
+        return found, lost, flat, firsts
 
 
 @lru_cache(maxsize=1)
-def _pair(path_a: str, path_b: str) -> TokenizerPair:
-    return TokenizerPair(path_a, path_b)
+def _known(path_a: str, path_b: str) -> Alignments:
+    return Alignments(TokenizerPair(path_a, path_b))
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -194,47 +203,134 @@ def link_counts(groups: np.ndarray, doc_of: np.ndarray, ids_a: np.ndarray, ids_b
     return key, total
 
 
-def groups_text(groups: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, shown: list[str], n_a: int, n_b: int) -> str:
-    """The ids of consecutive groups as ``a1,a2|b1;a3|b2,b3``. ``shown`` has each id with what may follow it (``_shown``)."""
-    first_a, first_b = groups[0, 0], groups[0, 2]
-    key_a, key_b = ids_a[first_a : groups[-1, 1]].astype(np.int64), ids_b[first_b : groups[-1, 3]] + np.int64(2 * n_a)
-    key_a[groups[:, 1] - 1 - first_a] += n_a
-    key_b[groups[:, 3] - 1 - first_b] += n_b
-    sizes = groups[:, 1] - groups[:, 0], groups[:, 3] - groups[:, 2]
+def groups_texts(groups: np.ndarray, last: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, n_a: int, n_b: int) -> list[str]:
+    """The ids of all groups as ``a1,a2|b1;a3|b2,b3``, one text up to each of the groups ``last``."""
+    if not len(groups):
+        return []
+    key_a, key_b = ids_a.astype(np.int64), ids_b + np.int64(2 * n_a)
+    key_a[groups[:, 1] - 1] += n_a
+    key_b[groups[:, 3] - 1] += n_b
+    key_b[groups[last, 3] - 1] += n_b
     out = np.empty(len(key_a) + len(key_b), np.int64)
-    out[np.arange(len(key_a)) + np.repeat(groups[:, 2] - first_b, sizes[0])] = key_a
-    out[np.arange(len(key_b)) + np.repeat(groups[:, 1] - first_a, sizes[1])] = key_b
-    return "".join(map(shown.__getitem__, out.tolist()))[:-1]
+    out[np.arange(len(key_a)) + np.repeat(groups[:, 2], groups[:, 1] - groups[:, 0])] = key_a
+    out[np.arange(len(key_b)) + np.repeat(groups[:, 1], groups[:, 3] - groups[:, 2])] = key_b
+    return "".join(map(_shown(n_a, n_b).__getitem__, out.tolist())).split("\n")[:-1]
 
 
 @lru_cache(maxsize=1)
 def _shown(n_a: int, n_b: int) -> list[str]:
-    return [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
-
-
-def align_texts(texts: list[str | None], pair: TokenizerPair) -> list[tuple]:
-    """For each text (n_a, n_b, n_groups, n_links, groups, pairs, times): ``groups`` as text, distinct links and how often each."""
-    ids = pair.encode(texts)
-    counts = [np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1)]
-    used = np.flatnonzero(counts[0])
-    empty = np.zeros(0, np.int64)
-    out: list[tuple] = [(0, 0, 0, 0, "", empty, empty)] * len(texts)
-    if not len(used):
-        return out
-    ids_a, ids_b = (np.concatenate([ids[i][k] for i in used]) for k in (0, 1))
-    firsts = [np.concatenate([[0], np.cumsum(c[used])]) for c in counts]
-    groups = lockstep(np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b]), *firsts)
-    doc_of = np.searchsorted(firsts[0], groups[:, 0], "right") - 1
-    keys, times = link_counts(groups, doc_of, ids_a, ids_b)
-    bounds = np.searchsorted(doc_of, np.arange(len(used) + 1))
-    cut = np.searchsorted(keys >> 32, np.arange(len(used) + 1))
-    n_a, n_b = len(pair.bytes_a), len(pair.bytes_b)
-    shown = _shown(n_a, n_b)
-    links = (groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2])
-    for d, i in enumerate(used.tolist()):
-        own = slice(bounds[d], bounds[d + 1])
-        mine = slice(cut[d], cut[d + 1])
-        out[i] = (int(counts[0][i]), int(counts[1][i]), own.stop - own.start, int(links[own].sum()), groups_text(groups[own], ids_a, ids_b, shown, n_a, n_b), keys[mine] & 0xFFFFFFFF, times[mine])
+    """Each id with what may follow it: within a group, after a group's side, after the last group."""
+    return [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;\n")) for end in ends for i in range(n)]
+
+
+class Alignments:
+    """What the lockstep found for pieces, kept from batch to batch: groups as text, numbers, distinct links and how often each."""
+
+    def __init__(self, pair: TokenizerPair):
+        self.pair = pair
+        self.place: dict[str, int] = {}
+        self.shown: list[str] = []
+        #: n_a, n_b, n_groups and n_links by piece; zeros where it has no ids.
+        self.numbers = np.zeros((0, 4), np.int64)
+        #: Where each piece's links begin, and lastly their number; links as ``a << 16 | b``.
+        self.first = np.zeros(1, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+        #: How many of the last pieces are not to be remembered.
+        self.passing = 0
+
+    def learn(self, pieces: set[str]) -> None:
+        """Align those of ``pieces`` that are not known. If too many would be, the half that was used most stays."""
+        new = pieces.difference(self.place)
+        if len(self.place) and len(self.place) + len(new) > _REMEMBERED:
+            self._keep(np.sort(np.argsort(self.uses, kind="stable")[::-1][: _REMEMBERED // 2]))
+            self.uses //= 2
+            new = pieces.difference(self.place)
+        alone = [p for p in new if _alone(p)]
+        # B reads its sign for a space as a space: such a piece would fail its whole run.
+        signs = [p for p in new.difference(alone) if "▁" in p]
+        joined = list(new.difference(alone, signs))
+        self._add([*(joined[i : i + _RUN] for i in range(0, len(joined), _RUN)), *([p] for p in signs)])
+        self._add([[p] for p in alone])
+        self.passing = len(alone)
+
+    def forget(self) -> None:
+        """Drop the pieces that are not to be remembered: they were learned last."""
+        if self.passing:
+            n, self.passing = len(self.shown) - self.passing, 0
+            for piece in list(islice(reversed(self.place), len(self.shown) - n)):
+                del self.place[piece]
+            del self.shown[n:]
+            self.numbers, self.uses, self.first = self.numbers[:n], self.uses[:n], self.first[: n + 1]
+            self.pairs, self.times = self.pairs[: self.first[-1]], self.times[: self.first[-1]]
+
+    def _keep(self, which: np.ndarray) -> None:
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(which.tolist())}
+        self.shown = [self.shown[k] for k in which.tolist()]
+        at, n = _ranges(self.first[which], self.first[which + 1])
+        self.pairs, self.times, self.first = self.pairs[at], self.times[at], np.concatenate([[0], np.cumsum(n)])
+        self.numbers, self.uses = self.numbers[which], self.uses[which]
+
+    def _add(self, runs: list[list[str]]) -> None:
+        if not runs:
+            return
+        pair = self.pair
+        found, lost, (ids_a, ids_b), (first_a, first_b) = pair.encode(runs)
+        groups = lockstep(np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b]), first_a, first_b)
+        bounds = np.searchsorted(groups[:, 0], first_a)
+        keys, times = link_counts(groups, np.repeat(np.arange(len(found)), np.diff(bounds)), ids_a, ids_b)
+        links = np.concatenate([[0], np.cumsum((groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2]))])
+        numbers = np.stack([np.diff(first_a), np.diff(first_b), np.diff(bounds), np.diff(links[bounds])], 1)
+        more = np.append(np.searchsorted(keys >> 32, np.arange(1, len(found) + 1)), [len(keys)] * len(lost)).astype(np.int64)
+        start = len(self.shown)
+        self.place.update(zip([*found, *lost], range(start, start + len(found) + len(lost)), strict=True))
+        self.shown += [*groups_texts(groups, bounds[1:] - 1, ids_a, ids_b, len(pair.bytes_a), len(pair.bytes_b)), *[""] * len(lost)]
+        self.numbers = np.concatenate([self.numbers, numbers, np.zeros((len(lost), 4), np.int64)])
+        self.first = np.concatenate([self.first, self.first[-1] + more])
+        self.pairs, self.times = np.concatenate([self.pairs, keys & 0xFFFFFFFF]), np.concatenate([self.times, times])
+        self.uses = np.append(self.uses, np.zeros(len(found) + len(lost), np.int64))
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one after the other, and how many each has."""
+    n = stop - start
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), n
+
+
+def align_texts(texts: list[str | None], pair: TokenizerPair, known: Alignments | None = None) -> list[tuple]:
+    """For each text (n_a, n_b, n_groups, n_links, groups, pairs, times): ``groups`` as text, distinct links and how often each.
+
+    Pieces that ``known`` has need not be aligned again.
+    """
+    known = known or Alignments(pair)
+    split = [_pieces(t) if t else [] for t in texts]
+    known.learn(set().union(*split))
+    places = [list(map(known.place.__getitem__, ps)) for ps in split]
+    sizes = np.array(list(map(len, places)), np.int64)
+    flat = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
+    known.uses += np.bincount(flat, minlength=len(known.uses))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    used = np.flatnonzero(sizes)
+    numbers, whole = np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), bool)
+    if len(used):
+        numbers[used] = np.stack([np.add.reduceat(x[flat], starts[used]) for x in known.numbers.T], 1)
+        whole[used] = np.logical_and.reduceat(known.numbers[flat, 0] > 0, starts[used])
+    numbers[~whole] = 0
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    mine = whole[doc]
+    held, often = np.unique((doc[mine] << 32) | flat[mine], return_counts=True)
+    at, n = _ranges(known.first[held & 0xFFFFFFFF], known.first[(held & 0xFFFFFFFF) + 1])
+    keys, times = np.repeat(held >> 32 << 32, n) | known.pairs[at], np.repeat(often, n) * known.times[at]
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    distinct = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    keys, times = keys[distinct], np.add.reduceat(times, distinct) if len(distinct) else times
+    cut = np.searchsorted(keys >> 32, np.arange(len(texts) + 1)).tolist()
+    keys &= 0xFFFFFFFF
+    shown = known.shown.__getitem__
+    out = [(*row, ";".join(map(shown, ps)) if ok else "", keys[i:j], times[i:j]) for row, ps, ok, i, j in zip(numbers.tolist(), places, whole.tolist(), cut, cut[1:], strict=False)]
+    known.forget()
     return out
 
 
@@ -261,14 +357,14 @@ def align(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     schema = T.StructType([*kept, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block, filled = _pair(path_a, path_b), TaskContext.get().partitionId() << 32, 0
+        known, block, filled = _known(path_a, path_b), TaskContext.get().partitionId() << 32, 0
         for whole in batches:
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(whole.column(source)), 0))
             start, bytes_before = 0, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             while start < whole.num_rows:
                 stop = max(start + 1, int(np.searchsorted(bytes_before, bytes_before[start] + _BATCH)))
                 batch = whole.slice(start, stop - start)
-                rows = align_texts(batch.column(source).to_pylist(), pair)
+                rows = align_texts(batch.column(source).to_pylist(), known.pair, known)
                 start = stop
                 columns = list(zip(*rows, strict=True))
                 filled += sum(len(x) for x in columns[5]) * 8

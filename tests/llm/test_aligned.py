@@ -148,6 +148,42 @@ def test_lockstep_groups_and_links_match_whole_texts(pair, plain_model, monkeypa
     assert aligned > 300
 
 
+def test_a_batch_aligns_repeated_pieces_once(pair, plain_model, monkeypatch):
+    walked, lockstep = [], alignment.lockstep
+    monkeypatch.setattr(alignment, "lockstep", lambda ends_a, *rest: walked.append(len(ends_a)) or lockstep(ends_a, *rest))
+    texts = [" ".join(random.Random(i).choices(["alpha", "don't", "x=1;", "αβγ", "end.\nNo"], k=200)) for i in range(40)]
+    for text, got in zip(texts, alignment.align_texts(texts, pair), strict=True):
+        assert got[4] == shown(plain_model(text))
+    assert 0 < sum(walked) < 40
+
+
+@pytest.mark.parametrize("run", [1, 3, 128])
+def test_pieces_remembered_over_batches_give_the_same_rows(pair, plain_model, monkeypatch, run):
+    monkeypatch.setattr(alignment, "_REMEMBERED", 60)
+    monkeypatch.setattr(alignment, "_RUN", run)
+    rng, known = random.Random(run), alignment.Alignments(pair)
+    often = ["the", "of", "a▁b", "naïve", "end."]
+    texts = some_texts(100) + [" ".join(rng.choice(often) if rng.random() < 0.8 else f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(100)]
+    texts += ["o" * 300 + " the", "  the", "the of ", "a  b the", "the\x1cof of", "\n the"]
+    for start in range(0, len(texts), 7):
+        batch = texts[start : start + 7]
+        for text, got, fresh in zip(batch, alignment.align_texts(batch, pair, known), alignment.align_texts(batch, pair), strict=True):
+            groups = plain_model(text)
+            links = collections.Counter(x << 16 | y for g, h in groups or [] for x in g for y in h)
+            assert got[:5] == fresh[:5] == (sum(len(g) for g, _ in groups or []), sum(len(h) for _, h in groups or []), len(groups or []), sum(links.values()), shown(groups or []))
+            assert dict(zip(got[5].tolist(), got[6].tolist(), strict=True)) == dict(links) and (np.diff(got[5]) > 0).all()
+        assert not any(map(alignment._alone, known.place)) and len(known.place) == len(known.shown) == len(known.numbers) == len(known.first) - 1
+        if start > 150:
+            assert {"the", "of", "naïve", "end."} <= known.place.keys() and len(known.place) < 200
+
+
+def test_texts_are_cut_alike_by_both_ways():
+    rng = random.Random(7)
+    for _ in range(5000):
+        text = "".join(rng.choices([" ", "a", "b", "\n", "\t", "\x1c", "\u3000", "\u00a0"], [6, 5, 5, 1, 1, 1, 1, 1], k=rng.randrange(1, 12)))
+        assert alignment._pieces(text) == alignment._SPLIT.split(text)
+
+
 def test_alignment_query_against_brute_force(spark, plain_model, tmp_path):
     texts = some_texts(150)
     texts += texts[:20]
