@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ QUERIES, ORACLES = register.queries, register.oracles
 #: Seconds added to all times: a stream's watermark starts at 0, and a minute begins here.
 EPOCH = 1_600_000_020
 ORDER = ("event_id", "replay")
+#: Rows of a micro-batch, about, and the files that hold them.
+BATCH, FILES = 4_000_000, 20
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,10 +34,34 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumns({"arrival_s": F.col("arrival_s") + EPOCH, "event_s": F.col("event_s") + EPOCH})
 
 
-def in_two_runs(rows: DataFrame, start: Callable[[DataFrame, str], list], ts: str = "arrival_s") -> None:
+def arrive(rows: DataFrame, folder: str, label: str, ts: str, most: int) -> int:
+    """Add ``rows`` to ``folder`` in files that follow ``ts``, also by their times of change, by which a stream takes them.
+
+    Gives how many files hold ``most`` rows, about. Rows of one second are in one file. A store that does not keep times
+    of change has no order of files, so there all of them are one batch.
+    """
+    spark, staged, n = rows.sparkSession, scratch(rows.sparkSession, "staged"), rows.count()
+    rows.repartitionByRange(max(1, -(-n * FILES // most)), ts).write.parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    parts = sorted(p for x in fs.listStatus(path(staged)) if (p := x.getPath().getName()).startswith("part-"))
+    times, now = [], int(time.time() * 1000)
+    for i, part in enumerate(parts):
+        to = path(f"{folder}/{label}-{i:08d}.parquet")
+        if not fs.rename(path(f"{staged}/{part}"), to):
+            raise OSError(f"{to} could not be written")
+        fs.setTimes(to, now + i, -1)
+        times.append(fs.getFileStatus(to).getModificationTime())
+    ordered = all(a < b for a, b in zip(times, times[1:], strict=False))
+    return max(1, len(parts) * most // n if ordered and n else len(parts))
+
+
+def in_two_runs(rows: DataFrame, start: Callable[[DataFrame, str], list], ts: str = "arrival_s", most: int = BATCH) -> None:
     """Files of the first half of the time, then of the second, each read to the end by the queries that ``start`` starts.
 
     ``start(stream, checkpoint)`` gives started queries; the second run goes on from the first one's checkpoint and state.
+    A run takes ``most`` rows at a time, about, in the order of ``ts``.
     """
     spark = rows.sparkSession
     folder, checkpoint = scratch(spark, "arrivals"), scratch(spark, "checkpoint")
@@ -43,9 +70,9 @@ def in_two_runs(rows: DataFrame, start: Callable[[DataFrame, str], list], ts: st
     provider = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        for half in (F.col(ts) <= middle, F.col(ts) > middle):
-            rows.where(half).write.mode("append").parquet(folder)
-            for query in start(stream_records(spark, folder, rows.schema, 100_000), checkpoint):
+        for label, half in (("first", F.col(ts) <= middle), ("second", F.col(ts) > middle)):
+            files = arrive(rows.where(half), folder, label, ts, most)
+            for query in start(stream_records(spark, folder, rows.schema, files), checkpoint):
                 query.awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, provider)

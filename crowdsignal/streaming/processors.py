@@ -25,6 +25,8 @@ from ..functions import profiles as P
 AT = "arrived_at"
 #: Parts of a source that remember its fingerprints, each in a state of its own.
 PARTS = 64
+#: A slice of time of the velocity, in long windows; a slice of a source is a key of its own.
+SLICE = 32
 #: Timers are set at multiples of so many seconds, so that a key has few.
 _TICK = 60
 
@@ -47,7 +49,13 @@ class _Step(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         live = frame["drop_reason"].isna() if "drop_reason" in frame else pd.Series(True, frame.index)
-        yield frame.assign(**self.decide(key, frame, live.tolist(), frame[self.ts].tolist()))
+        frame = self.own(key, frame.assign(**self.decide(key, frame, live.tolist(), frame[self.ts].tolist())))
+        if len(frame):
+            yield frame
+
+    def own(self, key, frame: pd.DataFrame) -> pd.DataFrame:
+        """The rows that the key gives back."""
+        return frame
 
     def wake(self, second: float) -> None:
         """Fire once the watermark has passed ``second``."""
@@ -99,9 +107,9 @@ def order_guard(stream: DataFrame, event: str = "event_s", ts: str = "arrival_s"
 
 
 class _Duplicates(_Step):
-    def __init__(self, ts, order, fingerprint, windows, default):
+    def __init__(self, ts, order, fingerprint, windows, default, delay):
         super().__init__(ts, order)
-        self.fingerprint, self.windows, self.default = fingerprint, windows, default
+        self.fingerprint, self.windows, self.default, self.delay = fingerprint, windows, default, delay
 
     def state(self, handle):
         self.accepted = handle.getMapState("accepted", "fingerprint string", "at bigint")
@@ -111,15 +119,19 @@ class _Duplicates(_Step):
 
     def decide(self, key, frame, live, times):
         window, known, changed, out = self.window(key), {}, {}, []
+        # what is remembered ends before the key's last timer, so only rows before that can meet it
+        last = max(self.handle.listTimers(), default=0) // 1000
         for ok, fp, t in zip(live, frame[self.fingerprint].tolist(), times, strict=True):
             if not ok or fp is None:
                 out.append(False)
                 continue
             if fp not in known:
-                known[fp] = self.accepted.getValue((fp,))[0] if self.accepted.containsKey((fp,)) else None
+                known[fp] = self.accepted.getValue((fp,))[0] if t < last and self.accepted.containsKey((fp,)) else None
             out.append(known[fp] is not None and t <= known[fp] + window)
             if not out[-1]:
                 known[fp] = changed[fp] = int(t)
+        if self.delay is not None:  # rows to come are not before the latest one less the delay
+            changed = {fp: t for fp, t in changed.items() if t + window >= times[-1] - self.delay}
         for fp, t in changed.items():
             self.accepted.updateValue((fp,), (t,))
         if changed:
@@ -137,16 +149,24 @@ def duplicates(stream: DataFrame, fingerprint: str = "fingerprint", windows: dic
     """Adds ``duplicate``: the source accepted the fingerprint within its own window of seconds, both ends included.
 
     State: the fingerprints of a source's window and when each was accepted, in ``parts`` maps by a hash of the
-    fingerprint, so that a source is in many tasks. A repeat does not extend the window. Null fingerprints are none.
+    fingerprint, so that a source is in many tasks. What no row within the watermark's delay can repeat is not stored, so
+    that a batch that holds days of a backlog leaves its last minutes only. A repeat does not extend the window. Null
+    fingerprints are none.
     """
+    delay = stream.schema[AT].metadata.get("spark.watermarkDelayMs")
     keyed = stream.withColumns({"key_source": F.lower("source"), "key_part": F.pmod(F.xxhash64(fingerprint), F.lit(parts)).cast("int")})
-    return _applied(keyed, ["key_source", "key_part"], _Duplicates(ts, order, fingerprint, windows, default), "duplicate boolean").drop("key_source", "key_part")
+    return _applied(keyed, ["key_source", "key_part"], _Duplicates(ts, order, fingerprint, windows, default, None if delay is None else delay / 1000), "duplicate boolean").drop("key_source", "key_part")
 
 
 class _Velocity(_Step):
+    """By key and slice of time; rows of the slice before only count in the windows."""
+
     def __init__(self, ts, order, profile):
         super().__init__(ts, order)
-        self.p = profile
+        self.p, self.span = profile, SLICE * profile["long"]
+
+    def own(self, key, frame):
+        return frame[frame[self.ts] >= key[-1] * self.span]
 
     def state(self, handle):
         self.ring = handle.getValueState("ring", "seconds array<bigint>, counts array<int>")
@@ -191,9 +211,15 @@ class _Velocity(_Step):
 def velocity(stream: DataFrame, profile: str = "ing_tw", by: tuple[str, ...] = ("source",), ts: str = "arrival_s", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Adds ``velocity`` as the batch operator does (unrounded): the short window's rate over the long one's; null where dropped.
 
-    State: a ring of counts by second, at most as many as the long window has, whatever the rate; gone once it is over.
+    State: for each slice of time a ring of counts by second, at most as many as the long window has, whatever the rate;
+    gone once it is over. The last window of a slice also goes to the next one. So a batch that holds days of a backlog is
+    in as many tasks as it has slices, and a task holds the rows of one.
     """
-    return _applied(stream, list(by), _Velocity(ts, order, P.VELOCITY[profile]), "velocity double")
+    step = _Velocity(ts, order, P.VELOCITY[profile])
+    at, live = F.floor(F.col(ts) / step.span), F.col("drop_reason").isNull() if "drop_reason" in stream.columns else F.lit(True)
+    twice = live & (F.col(ts) >= (at + 1) * step.span - step.p["long"])
+    keyed = stream.withColumn("key_slice", F.explode(F.when(twice, F.array(at, at + 1)).otherwise(F.array(at))))
+    return _applied(keyed, [*by, "key_slice"], step, "velocity double").drop("key_slice")
 
 
 class _Chats(_Step):

@@ -107,3 +107,64 @@ def test_worker_reads_what_comes_later_and_stores_it_once(spark, tmp_path):
     drops = {(r.source, r.reason): r.n for r in commits.committed(spark, path, "drops").groupBy("source", "reason").agg(F.sum("n").alias("n")).collect()}
     assert drops["telegram", "duplicate"] == 1 and drops["twitter", "delayed"] == 1 and drops["twitter", "Missing text content"] == 1
     assert {r.label for r in commits.committed(spark, path, "risk").where("event_id = 6").collect()} == {-1}
+
+
+def backlog(n=600, step=40):
+    """Rows of one source over hours: repeats within, at and beyond the window of 300 s, some of them in another batch."""
+    t = streams.EPOCH
+    return [(i, "twitter", "BTC", f"c{i % 3}", "x", f"f{(i // 14) * 7 + i % 7}" if i % 5 else f"f{i}", t + step * i, t + step * i) for i in range(n)]
+
+
+def test_a_run_takes_bounded_batches_in_order(spark):
+    rows, seen = random.Random(5).sample(backlog(), 600), []
+
+    def start(stream, checkpoint):
+        note = lambda batch, _: seen.append(sorted(r.arrival_s for r in batch.select("arrival_s").collect()))
+        return [stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()]
+
+    streams.in_two_runs(spark.createDataFrame(rows, SCHEMA), start, most=100)
+    assert [t for batch in seen for t in batch] == sorted(r[7] for r in rows)
+    assert len(seen) >= 6 and max(map(len, seen)) <= 200
+
+
+def in_batches(spark, monkeypatch, rows, step, most):
+    monkeypatch.setattr(streams.in_two_runs, "__defaults__", ("arrival_s", most))
+    return stepped(spark, rows, step).collect()
+
+
+@pytest.mark.parametrize("most", [90, 100_000])
+def test_repeats_over_batches_against_the_model(spark, monkeypatch, most):
+    rows, accepted, want = backlog(), {}, {}
+    for i, s, _, _, _, fp, _, t in rows:
+        want[i] = fp in accepted and t <= accepted[fp] + P.DUPLICATE_WINDOW[s]
+        if not want[i]:
+            accepted[fp] = t
+    got = in_batches(spark, monkeypatch, rows, lambda s: processors.duplicates(s, parts=2), most)
+    assert {r.event_id: r.duplicate for r in got} == want and 0 < sum(want.values()) < len(rows)
+
+
+def state_rows(spark, tmp_path, step):
+    """Rows of state after one batch that holds the whole backlog."""
+    spark.createDataFrame(backlog(), SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = step(processors.arriving(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))))
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+
+
+def test_a_backlog_leaves_the_fingerprints_of_its_last_minutes(spark, tmp_path):
+    assert 0 < state_rows(spark, tmp_path, lambda s: processors.duplicates(s.withColumn("fingerprint", F.col("event_id").cast("string")), parts=2)) <= 2 * (600 + 300) // 40 + 2
+
+
+@pytest.mark.parametrize("profile,most", [("ing_tw", 90), ("ing_tw", 100_000), ("crawl_tw", 300)])
+def test_velocity_over_slices_and_batches_equals_the_batch_operator(spark, monkeypatch, profile, most):
+    rows = backlog(step=30 if profile == "ing_tw" else 300)
+    got = {r.event_id: r.velocity for r in in_batches(spark, monkeypatch, rows, lambda s: processors.velocity(s, profile), most)}
+    want = ordered.velocity(spark.createDataFrame(rows, SCHEMA), profile, ("source",), "arrival_s", exact=True)
+    assert got == {r.event_id: pytest.approx(r.velocity) for r in want.collect()}
+
+
+def test_a_source_of_a_backlog_is_a_key_for_each_slice(spark, tmp_path):
+    span, times = processors.SLICE * 300, [r[7] for r in backlog()]
+    slices = {t // span for t in times} | {(t + 300) // span for t in times}
+    assert state_rows(spark, tmp_path, lambda s: processors.velocity(s, "ing_tw")) == len(slices) >= 3
