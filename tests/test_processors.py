@@ -168,3 +168,20 @@ def test_a_source_of_a_backlog_is_a_key_for_each_slice(spark, tmp_path):
     span, times = processors.SLICE * 300, [r[7] for r in backlog()]
     slices = {t // span for t in times} | {(t + 300) // span for t in times}
     assert state_rows(spark, tmp_path, lambda s: processors.velocity(s, "ing_tw")) == len(slices) >= 3
+
+
+def test_the_worker_counts_and_stores_the_same_in_many_batches(spark, tmp_path):
+    rows = [(i, s, "BTC", "c", "btc moon" if i % 11 else "nothing", None, streams.EPOCH + 40 * (i - i % 4) - 9 + 90 * (i % 13 == 0), streams.EPOCH + 40 * i) for i in range(300) for s in ("twitter", "telegram")]
+    got = []
+    for most in (150, 100_000):
+        path = str(tmp_path / f"out{most}")
+
+        def start(stream, checkpoint, path=path):
+            return [worker.start_worker(stream.drop("fingerprint"), path, checkpoint)]
+
+        streams.in_two_runs(spark.createDataFrame(rows, SCHEMA), start, most=most)
+        commits.committed(spark, path, "drops").drop("batch").write.parquet(f"{path}/drops/batch=1000000")  # never committed
+        drops = commits.committed(spark, path, "drops")
+        got.append((sorted(map(tuple, drops.groupBy("source", "reason").agg(F.sum("n")).collect())), sorted(map(tuple, commits.committed(spark, path, "raw").select("source", "event_id", "velocity").collect())), drops.select("batch").distinct().count()))
+    assert got[0][:2] == got[1][:2] and got[0][2] >= 4 > got[1][2]
+    assert sum(n for *_, n in got[0][0]) == len(rows) and {r for _, r, _ in got[0][0]} >= {"accepted", "duplicate", "future", "No keyword match"}
